@@ -1,18 +1,19 @@
 """Group-wise building blocks that stay safe when one key holds most of the rows.
 
-A window over an unordered partition sends the whole group to one task. The same
-answer comes from an aggregate, which combines map-side, joined back to the rows:
-the join's row side is then an ordinary skewed side that adaptive execution splits.
+A window over raw rows sends a whole group to one task. Two ways round it: an
+aggregate, which combines map-side, joined back to the rows (the row side is then an
+ordinary skewed side that adaptive execution splits); or, where the rows themselves
+are not the answer, merging copies first and using the window on what is left.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oncolens.functions.columns import all_of
+from oncolens.functions.columns import all_of, any_of
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -31,11 +32,56 @@ def group_stats(rows: DataFrame, keys: Sequence[str], **aggregates: Column) -> D
     return join_groups(rows, stats, keys, "inner")
 
 
-def drop_conflicting_groups(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def merge_copies(rows: DataFrame, *columns: str) -> DataFrame:
+    """Distinct values of ``columns`` with how many rows each stands for in ``n_rows``."""
+    n = F.sum("n_rows") if "n_rows" in rows.columns else F.count("*")
+    return rows.groupBy(*columns).agg(n.alias("n_rows"))
+
+
+def by_patient(merged: DataFrame) -> DataFrame:
+    """Place all rows of a patient together, once, for the patient-wise steps that follow.
+
+    Only for merged rows: what is left of a patient is then bounded by calendar days
+    times the vocabulary, however many copies there were. Windows and groupings by
+    patient_id and anything else need no further shuffle.
+    """
+    return merged.repartition("patient_id")
+
+
+def flag_groups(
+    rows: DataFrame,
+    keys: Sequence[str],
+    spans: dict[str, str],
+    flags: Callable[[dict[str, Column], dict[str, Column]], dict[str, Column]],
+    merged: bool = False,
+) -> DataFrame:
+    """Rows with boolean columns that judge their whole group.
+
+    ``spans`` names the columns whose group-wide smallest and largest values ``flags``
+    receives. Merged rows have small groups, so a window does it in place. Otherwise
+    groups are judged in an aggregate and only the flagged ones are joined back.
+    """
+    if merged:
+        group = Window.partitionBy(*keys)
+        low = {name: F.min(column).over(group) for name, column in spans.items()}
+        high = {name: F.max(column).over(group) for name, column in spans.items()}
+        return rows.withColumns({n: F.coalesce(c, F.lit(False)) for n, c in flags(low, high).items()})
+    ends = [F.min(column).alias(f"min_{name}") for name, column in spans.items()]
+    ends += [F.max(column).alias(f"max_{name}") for name, column in spans.items()]
+    wanted = flags({n: F.col(f"min_{n}") for n in spans}, {n: F.col(f"max_{n}") for n in spans})
+    judged = rows.groupBy(*keys).agg(*ends).select(*keys, *[c.alias(n) for n, c in wanted.items()])
+    flagged = judged.where(any_of(F.col(n) for n in wanted))
+    joined = join_groups(rows, flagged, keys, "left")
+    return joined.withColumns({n: F.coalesce(F.col(n), F.lit(False)) for n in wanted})
+
+
+def drop_conflicting_groups(rows: DataFrame, keys: Sequence[str], value: str, merged: bool = False) -> DataFrame:
     """Drop whole groups in which ``value`` takes two or more non-null values."""
-    conflicting = rows.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    conflicting = conflicting.where(F.col("low") != F.col("high")).select(*keys)
-    return join_groups(rows, conflicting, keys, "left_anti")
+
+    def conflicts(low, high):
+        return {"conflicts": low["value"] != high["value"]}
+
+    return flag_groups(rows, keys, {"value": value}, conflicts, merged).where(~F.col("conflicts")).drop("conflicts")
 
 
 def dense_rank_values(rows: DataFrame, keys: Sequence[str], value: str, rank: str) -> DataFrame:

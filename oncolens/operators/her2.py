@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from oncolens.functions import vocab
 from oncolens.functions.columns import all_of, any_like, day_diff, drop_plus, ends_with_plus, first_match
-from oncolens.operators.grouping import join_groups
-from oncolens.operators.nearest import nearest_days
+from oncolens.operators.grouping import by_patient, flag_groups, merge_copies
+from oncolens.operators.nearest import match_nearest
 from oncolens.operators.windowed import her2_test_filter
 
 SAME_DAY = ("patient_id", "test_date", "test_name_name", "test_method_name")
@@ -70,35 +70,28 @@ def clean_numeric(tests: DataFrame) -> DataFrame:
     return tests.withColumn("test_value_numeric_cleaned", cleaned)
 
 
-def same_day_indicator(tests: DataFrame, ruleset: str = "revised") -> DataFrame:
+def same_day_indicator(tests: DataFrame, ruleset: str = "revised", merged: bool = False) -> DataFrame:
     """Adds sameday_ind: change, conflicting or none for tests repeated on one day.
 
     ``change`` marks one value name, results within {low, Negative}, and scores that
     are missing or '1' with both present. (The mirrored score test, smallest '1' and
     largest the sentinel, cannot hold: the sentinel sorts first.)
-
-    Groups are judged in an aggregate and only the marked ones come back to the rows.
     """
     settled = (vocab.RULESETS[ruleset].low, "Negative")
+
+    def judge(low, high):
+        one_name = low["name"] == high["name"]
+        all_settled = low["result"].isin(*settled) & high["result"].isin(*settled)
+        missing_or_one = (low["number"] == vocab.NUMERIC_MISSING) & (high["number"] == "1")
+        return {"may_change": one_name & all_settled & missing_or_one, "conflicts": low["result"] != high["result"]}
+
     spans = {"name": "test_value_name", "result": "test_result", "number": "test_value_numeric_cleaned"}
-    groups = tests.groupBy(*SAME_DAY).agg(
-        *[F.min(c).alias(f"min_{s}") for s, c in spans.items()],
-        *[F.max(c).alias(f"max_{s}") for s, c in spans.items()],
-    )
-    one_name = F.col("min_name") == F.col("max_name")
-    all_settled = F.col("min_result").isin(*settled) & F.col("max_result").isin(*settled)
-    missing_or_one = (F.col("min_number") == vocab.NUMERIC_MISSING) & (F.col("max_number") == "1")
-    marked = groups.select(
-        *SAME_DAY,
-        F.coalesce(one_name & all_settled & missing_or_one, F.lit(False)).alias("may_change"),
-        F.coalesce(F.col("min_result") != F.col("max_result"), F.lit(False)).alias("conflicts"),
-    ).where(F.col("may_change") | F.col("conflicts"))
     indicator = first_match(
         [((F.col("test_method") == "IHC") & F.col("may_change"), "change"), (F.col("conflicts"), "conflicting")],
         otherwise="none",
     )
-    joined = join_groups(tests, marked, SAME_DAY, "left")
-    return joined.withColumn("sameday_ind", indicator).drop("may_change", "conflicts")
+    judged = flag_groups(tests, SAME_DAY, spans, judge, merged)
+    return judged.withColumn("sameday_ind", indicator).drop("may_change", "conflicts")
 
 
 def apply_change(tests: DataFrame, ruleset: str = "revised") -> DataFrame:
@@ -113,11 +106,26 @@ def apply_change(tests: DataFrame, ruleset: str = "revised") -> DataFrame:
 
 
 def label_tests(
-    tests: DataFrame, ruleset: str = "revised", ihc_patterns: Sequence[str] = vocab.IHC_PATTERNS
+    tests: DataFrame,
+    ruleset: str = "revised",
+    ihc_patterns: Sequence[str] = vocab.IHC_PATTERNS,
+    merged: bool = False,
 ) -> DataFrame:
     """Every labelling step on tests already selected; other columns pass through."""
     labelled = clean_numeric(clean_result(label_method(tests, ihc_patterns), ruleset))
-    return apply_change(same_day_indicator(labelled, ruleset), ruleset)
+    return apply_change(same_day_indicator(labelled, ruleset, merged), ruleset)
+
+
+def label_merged(
+    tests: DataFrame, ruleset: str = "revised", ihc_patterns: Sequence[str] = vocab.IHC_PATTERNS
+) -> DataFrame:
+    """The labels of ``label_tests`` on merged rows, for analyses that do not list tests.
+
+    Only the columns the labels depend on are kept, copies are merged before the first
+    patient-wise step, and ``n_rows`` says how many tests a row stands for.
+    """
+    merged = merge_copies(tests, *SAME_DAY, "test_value_name", "test_value_numeric")
+    return label_tests(by_patient(merged), ruleset, ihc_patterns, merged=True)
 
 
 def her2_label(patient_test: DataFrame, ruleset: str = "revised") -> DataFrame:
@@ -166,49 +174,37 @@ def her2_label_with_genetic(patient_test: DataFrame, genetic_test: DataFrame) ->
     )
 
 
-def _usable(labelled: DataFrame, method: str, scores: Sequence[str], prefix: str) -> DataFrame:
-    """Conflict-free tests of one method with a clean score, merged with a row count."""
-    clean = F.col("test_value_numeric").isin(*scores) | F.col("test_value_numeric").isNull()
-    return (
-        labelled.where((F.col("test_method") == method) & (F.col("sameday_ind") == "none") & clean)
-        .groupBy(
-            "patient_id",
-            F.col("test_date").alias(f"{prefix}_test_date"),
-            F.col("test_result").alias(f"{prefix}_test_result"),
-            F.col("test_method").alias(f"{prefix}_test_method"),
-        )
-        .agg(F.count("*").alias(f"{prefix}_rows"))
-    )
-
-
 def nearest_fish_for_ihc(labelled: DataFrame, window_days: tuple[int, int] | None = None) -> DataFrame:
     """Each dated IHC test with the FISH test(s) nearest to it, before or after.
 
-    Ties are kept. Undated FISH counts only for patients without a dated one, and an
-    IHC test of a patient without FISH stays with empty FISH columns.
+    Takes labelled rows or merged ones. Tests with a same-day flag or an unclean score
+    take no part. Ties are kept; undated FISH counts only for patients without a dated
+    one; an IHC test of a patient without FISH stays with empty FISH columns.
 
     Copies of a test would multiply with copies of its match, so equal result rows
     come once with their number in ``n_rows``; ``repeat_rows`` writes them out.
     """
-    ihc = _usable(labelled, "IHC", vocab.IHC_SCORES, "ihc").where(F.col("ihc_test_date").isNotNull())
-    fish = _usable(labelled, "FISH", vocab.FISH_SCORES, "fish")
-    placed = nearest_days(ihc, "ihc_test_date", fish, "fish_test_date", "nearest_day")
-    fish = fish.withColumnRenamed("patient_id", "fish_patient")
-    matched = placed.join(
-        fish,
-        (F.col("patient_id") == F.col("fish_patient")) & F.col("nearest_day").eqNullSafe(F.col("fish_test_date")),
-        "left",
+    method, numeric = F.col("test_method"), F.col("test_value_numeric")
+    clean = ((method == "IHC") & (numeric.isNull() | numeric.isin(*vocab.IHC_SCORES))) | (
+        (method == "FISH") & (numeric.isNull() | numeric.isin(*vocab.FISH_SCORES))
+    )
+    usable = labelled.where(clean & (F.col("sameday_ind") == "none"))
+    tests = merge_copies(usable, "patient_id", "test_date", "test_method", "test_result")
+    value = F.struct("test_result", "n_rows")
+    # One entry per distinct result of a patient's day.
+    days = tests.groupBy("patient_id", F.col("test_date").alias("day")).agg(
+        *[F.collect_list(F.when(method == kind, value)).alias(kind.lower()) for kind in ("IHC", "FISH")]
     )
-    out = matched.select(
+    out = match_nearest(days, "ihc", "fish").select(
         "patient_id",
-        "ihc_test_date",
-        "ihc_test_result",
-        "ihc_test_method",
-        "fish_test_date",
-        "fish_test_result",
-        "fish_test_method",
-        day_diff(F.col("ihc_test_date"), F.col("fish_test_date")).alias("datediffer"),
+        F.col("day").alias("ihc_test_date"),
+        F.col("ihc.test_result").alias("ihc_test_result"),
+        F.lit("IHC").alias("ihc_test_method"),
+        F.col("right_day").alias("fish_test_date"),
+        F.col("fish.test_result").alias("fish_test_result"),
+        F.when(F.col("fish").isNotNull(), "FISH").alias("fish_test_method"),
+        day_diff(F.col("day"), F.col("right_day")).alias("datediffer"),
         F.lit(1).alias("closest_test"),
-        (F.col("ihc_rows") * F.coalesce("fish_rows", F.lit(1))).alias("n_rows"),
+        (F.col("ihc.n_rows") * F.coalesce("fish.n_rows", F.lit(1))).alias("n_rows"),
     )
     return out if window_days is None else out.where(F.col("datediffer").between(*window_days))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ GENETIC_COLUMNS = (
     "patient_id", "test_date", "test_collection_date", "test_method_name", "test_name_name", "test_value_name",
     "test_value_numeric", "test_unit_name", "biomarker",
 )
+# All that conflict detection and the combined table look at.
+CONFLICT_COLUMNS = (*SAME_DAY, "biomarker", "test_method", "test_result")
 RECEPTOR_COLUMNS = ("patient_id", "biomarker", "test_result", "test_date", "test_method")
 
 # Patterns that also recognise genetic IHC/ICC rows and receptor diagnoses.
@@ -54,14 +58,19 @@ def _clean_receptor_result(tests: DataFrame) -> DataFrame:
     )
 
 
-def _with_columns_of(df: DataFrame, like: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+def _with_columns_of(df: DataFrame, like: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``columns`` of df, the absent ones as nulls of the type they have in ``like``."""
     kinds = {f.name: f.dataType for f in like.schema}
     return df.select(*[c if c in df.columns else F.lit(None).cast(kinds[c]).alias(c) for c in columns])
 
 
-def er_pr_label(patient_test: DataFrame, condition: DataFrame) -> DataFrame:
-    """Distinct labelled ER/PR tests, with receptor diagnoses as ER results by IHC."""
+def er_pr_label(
+    patient_test: DataFrame, condition: DataFrame, columns: Sequence[str] = LABEL_COLUMNS
+) -> DataFrame:
+    """Distinct labelled ER/PR tests, with receptor diagnoses as ER results by IHC.
+
+    ``columns`` narrows the rows before copies are merged.
+    """
     tests = _clean_receptor_result(_receptor_rows(patient_test)).withColumn(
         "test_method", F.when(method_mentions(vocab.IHC_PATTERNS), "IHC").otherwise("Not Specified")
     )
@@ -72,11 +81,15 @@ def er_pr_label(patient_test: DataFrame, condition: DataFrame) -> DataFrame:
         F.lit("IHC").alias("test_method"),
         _diagnosis_result().alias("test_result"),
     )
-    return tests.select(*LABEL_COLUMNS).union(_with_columns_of(diagnoses, tests, LABEL_COLUMNS)).distinct()
+    return tests.select(*columns).union(_with_columns_of(diagnoses, tests, columns)).distinct()
 
 
 def er_pr_label_with_genetic(
-    patient_test: DataFrame, genetic_test: DataFrame, condition: DataFrame, fix_ihc_label: bool = False
+    patient_test: DataFrame,
+    genetic_test: DataFrame,
+    condition: DataFrame,
+    fix_ihc_label: bool = False,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """As ``er_pr_label`` with ESR1/PGR stains of the genetic table.
 
@@ -106,16 +119,17 @@ def er_pr_label_with_genetic(
         _diagnosis_result().alias("test_value_name"),
         F.lit("ER").alias("biomarker"),
     )
-    rows = clinical.union(genetic).union(_with_columns_of(diagnoses, clinical, GENETIC_COLUMNS)).distinct()
+    rows = clinical.union(genetic).union(_with_columns_of(diagnoses, clinical, GENETIC_COLUMNS))
     patterns = IHC_PATTERNS_FIXED if fix_ihc_label else vocab.IHC_PATTERNS
-    return _clean_receptor_result(rows).withColumn(
-        "test_method", F.when(method_mentions(patterns), "IHC").otherwise(vocab.OTHER_METHOD)
-    )
+    method = F.when(method_mentions(patterns), "IHC").otherwise(vocab.OTHER_METHOD)
+    if columns:
+        return _clean_receptor_result(rows).withColumn("test_method", method).select(*columns).distinct()
+    return _clean_receptor_result(rows.distinct()).withColumn("test_method", method)
 
 
-def drop_same_day_conflicts(er_pr: DataFrame) -> DataFrame:
+def drop_same_day_conflicts(er_pr: DataFrame, merged: bool = False) -> DataFrame:
     """Without the tests whose results disagree within a patient's day, name and method."""
-    return drop_conflicting_groups(er_pr, SAME_DAY, "test_result")
+    return drop_conflicting_groups(er_pr, SAME_DAY, "test_result", merged)
 
 
 def receptor_tests(er_pr: DataFrame, nearest: DataFrame) -> DataFrame:

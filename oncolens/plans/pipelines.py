@@ -7,12 +7,13 @@ rules on clinical tests, or the revised rules with genetic tests added.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
 from oncolens.functions import vocab
 from oncolens.operators import her2, onset, ras, receptor, windowed
+from oncolens.operators.grouping import by_patient
 
 Load = Callable[[str], DataFrame]
 SOURCES = ("revised", "current", "genetic")
@@ -63,23 +64,36 @@ def both_in_window(load: Load, first: int, last: int) -> DataFrame:
 
 # --- receptor status ------------------------------------------------------
 def labelled(load: Load, source: str = "revised") -> DataFrame:
+    """HER2 tests row by row, with their labels."""
     if source == "genetic":
         return her2.her2_label_with_genetic(load("patient_test"), load("genetic_test"))
     return her2.her2_label(load("patient_test"), source)
 
 
+def labelled_merged(load: Load, source: str = "revised") -> DataFrame:
+    """The same labels on merged tests, for everything that does not list tests."""
+    if source == "genetic":
+        tests = her2.her2_tests_with_genetic(load("patient_test"), load("genetic_test"))
+        return her2.label_merged(tests, "revised", vocab.IHC_PATTERNS_GENETIC)
+    return her2.label_merged(windowed.her2_test_filter(load("patient_test")), source)
+
+
 def nearest_fish(load: Load, source: str = "revised") -> DataFrame:
-    return her2.nearest_fish_for_ihc(labelled(load, source))
+    return her2.nearest_fish_for_ihc(labelled_merged(load, source))
 
 
-def er_pr_labelled(load: Load, source: str = "revised") -> DataFrame:
+def er_pr_labelled(load: Load, source: str = "revised", columns: Sequence[str] | None = None) -> DataFrame:
+    narrowed = {"columns": columns} if columns else {}
     if source == "genetic":
-        return receptor.er_pr_label_with_genetic(load("patient_test"), load("genetic_test"), load("condition"))
-    return receptor.er_pr_label(load("patient_test"), load("condition"))
+        return receptor.er_pr_label_with_genetic(
+            load("patient_test"), load("genetic_test"), load("condition"), **narrowed
+        )
+    return receptor.er_pr_label(load("patient_test"), load("condition"), **narrowed)
 
 
 def receptor_tests(load: Load, source: str = "revised") -> DataFrame:
-    settled = receptor.drop_same_day_conflicts(er_pr_labelled(load, source))
+    er_pr = by_patient(er_pr_labelled(load, source, receptor.CONFLICT_COLUMNS))
+    settled = receptor.drop_same_day_conflicts(er_pr, merged=True)
     return receptor.receptor_tests(settled, nearest_fish(load, source))
 
 

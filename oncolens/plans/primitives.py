@@ -313,7 +313,7 @@ def a09_pivot(load: Load) -> DataFrame:
         F.max(F.when(col("test_method") == method, col("test_result"))).alias(f"largest_{method.lower()}")
         for method in ("IHC", "FISH")
     ]
-    return pipelines.labelled(load).groupBy("patient_id").agg(*cells)
+    return pipelines.labelled_merged(load).groupBy("patient_id").agg(*cells)
 
 
 def a10_distinct(load: Load) -> DataFrame:
@@ -395,8 +395,15 @@ def u03_update(load: Load) -> DataFrame:
     )
 
 
-PRIMITIVES = {
-    name: fn
-    for name, fn in list(globals().items())
-    if callable(fn) and len(name) > 3 and name[0] in "pfjawou" and name[1:3].isdigit() and name[3] == "_"
-}
+_ALL = (
+    p01_projection, p02_select_star, p03_literal_columns, p04_typed_nulls, p09_comparison, p10_in_list,
+    p11_null_or_match, p12_precedence, p13_like, p14_ends_with_plus, p15_ilike, p16_similar_to, p17_regex,
+    p18_not_regex, f01_case, f02_lower, f03_replace, f04_length, f05_abs, f06_day_diff, f07_month_diff,
+    f08_trunc_to_date, f09_year, f10_percent, f11_date_literal, j01_inner_using, j02_inner_on, j03_dimension_chain,
+    j04_two_left_joins, j05_left_one_to_many, j06_month_band, j07_nearest, j08_semi_for_distinct, j09_in_subquery,
+    j10_not_in_subquery, j11_scalar_subqueries, a01_count, a02_count_distinct, a03_count_distinct_grouped, a04_min,
+    a05_sum_flags, a06_having, a08_group_by_case, a09_pivot, a10_distinct, w01_dense_rank_value,
+    w02_dense_rank_distance, w03_dense_rank_distance_by_test, w04_group_min_max, w05_all_equal, w06_any_conflict,
+    w07_keep_best_rank, o01_order_by, o02_limit, u01_union, u02_except, u03_update,
+)
+PRIMITIVES = {fn.__name__: fn for fn in _ALL}

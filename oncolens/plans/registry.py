@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,15 +166,18 @@ REPORTS: dict[str, Callable[[Load], DataFrame]] = {
     "q_h12_any_her2_current": _n(_wide("current"), reports.any_her2),
     "q_h13_wide": _n(_wide("revised")),
     "q_h13_wide_current": _n(_wide("current")),
-    "q_h13_labelled_genetic": _n(partial(pipelines.labelled, source="genetic")),
-    "q_h14_labelled_counts": lambda load: reports.labelled_counts(pipelines.labelled(load)),
-    "q_h14_labelled_counts_current": lambda load: reports.labelled_counts(pipelines.labelled(load, "current")),
+    "q_h13_labelled_genetic": _n(partial(pipelines.labelled_merged, source="genetic")),
+    "q_h14_labelled_counts": lambda load: reports.labelled_counts(pipelines.labelled_merged(load)),
+    "q_h14_labelled_counts_current": lambda load: reports.labelled_counts(pipelines.labelled_merged(load, "current")),
     "q_h15_conflict_rows": lambda load: reports.conflict_rows(pipelines.labelled(load)),
     "q_h16_nearest_negative": _n(pipelines.nearest_fish, _ihc_negative),
     "q_h16_nearest_negative_current": _n(partial(pipelines.nearest_fish, source="current"), _ihc_negative),
     "q_h16_combined_negative": _n(pipelines.receptor_tests, _her2_negative_rows),
     "q_h16_combined_negative_current": _n(partial(pipelines.receptor_tests, source="current"), _her2_negative_rows),
-    "q_h17_labelled": _diff(pipelines.labelled, "revised", "current", _any_stained, reports.stained_negative),
+    "q_h17_labelled": lambda load: reports.ruleset_diff(
+        pipelines.labelled(load).where(_any_stained()),
+        pipelines.labelled_merged(load, "current").where(reports.stained_negative()),
+    ),
     "q_h17_nearest": _diff(pipelines.nearest_fish, "revised", "current", _ihc_negative, _ihc_negative),
     "q_h17_combined": _diff(
         pipelines.receptor_tests, "revised", "current", _her2_negative_rows, _her2_negative_rows
@@ -248,4 +251,4 @@ ALL: dict[str, Callable[[Load], DataFrame]] = {**COMPOSITES, **REPORTS, **PRIMIT
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(ALL[name](partial(view, spark, sf_dir)))
+    return plain(ALL[name](cache(partial(view, spark, sf_dir))))
