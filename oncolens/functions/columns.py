@@ -21,6 +21,12 @@ def all_of(conditions: Iterable[Column]) -> Column:
     return reduce(and_, conditions)
 
 
+def one_of(column: str, values: Iterable[str]) -> Column:
+    """``column IN (...)``, parsed once: a literal per call is slow for long lists."""
+    listed = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"`{column}` IN ({listed})")
+
+
 def any_like(text: Column, patterns: Iterable[str]) -> Column:
     """Whole-string alternatives with ``%`` wildcards (the dialect's SIMILAR TO)."""
     return any_of(text.like(p) for p in patterns)

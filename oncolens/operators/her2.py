@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oncolens.functions import vocab
-from oncolens.functions.columns import all_of, any_like, day_diff, drop_plus, ends_with_plus, first_match
+from oncolens.functions.columns import all_of, any_like, day_diff, drop_plus, ends_with_plus, first_match, one_of
 from oncolens.operators.grouping import by_patient, flag_groups, merge_copies
 from oncolens.operators.nearest import match_nearest
 from oncolens.operators.windowed import her2_test_filter
@@ -45,10 +45,10 @@ def _rule_holds(rule: vocab.ResultRule) -> Column:
     if rule.ihc_only:
         parts.append(F.col("test_method") == "IHC")
     if rule.names:
-        named = name.isin(*rule.names)
+        named = one_of("test_value_name", rule.names)
         parts.append(named | name.isNull() if rule.name_may_be_missing else named)
     if rule.numerics:
-        parts.append(numeric.isin(*rule.numerics))
+        parts.append(one_of("test_value_numeric", rule.numerics))
     if rule.numeric_missing:
         parts.append(numeric.isNull())
     return all_of(parts)
@@ -163,7 +163,7 @@ def her2_tests_with_genetic(patient_test: DataFrame, genetic_test: DataFrame) ->
             F.col("test_result").alias("test_value_name"),
             F.inline(readings),
         )
-        .where(F.col("test_unit_name").isin(*vocab.GENETIC_HER2_UNITS))
+        .where(one_of("test_unit_name", vocab.GENETIC_HER2_UNITS))
     )
     return clinical.union(genetic.select(*GENETIC_COLUMNS)).distinct()
 
@@ -185,8 +185,8 @@ def nearest_fish_for_ihc(labelled: DataFrame, window_days: tuple[int, int] | Non
     come once with their number in ``n_rows``; ``repeat_rows`` writes them out.
     """
     method, numeric = F.col("test_method"), F.col("test_value_numeric")
-    clean = ((method == "IHC") & (numeric.isNull() | numeric.isin(*vocab.IHC_SCORES))) | (
-        (method == "FISH") & (numeric.isNull() | numeric.isin(*vocab.FISH_SCORES))
+    clean = ((method == "IHC") & (numeric.isNull() | one_of("test_value_numeric", vocab.IHC_SCORES))) | (
+        (method == "FISH") & (numeric.isNull() | one_of("test_value_numeric", vocab.FISH_SCORES))
     )
     usable = labelled.where(clean & (F.col("sameday_ind") == "none"))
     tests = merge_copies(usable, "patient_id", "test_date", "test_method", "test_result")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oncolens.functions import vocab
-from oncolens.functions.columns import first_match, matches, percent
+from oncolens.functions.columns import first_match, matches, one_of, percent
 from oncolens.operators.grouping import dense_rank_values, join_groups, keys_in
 
 RANK_KEYS = ("patient_id", "biomarker_name_name", "biomarker_variant_type_name")
@@ -37,8 +37,8 @@ def relevant_class() -> Column:
 def _ras_rows(biomarker: DataFrame) -> DataFrame:
     chosen = biomarker.where(
         F.col("biomarker_name_name").ilike("%ras")
-        & F.col("test_result_name").isin(*vocab.RAS_RESULTS)
-        & F.col("biomarker_variant_type_name").isin(*vocab.RAS_VARIANT_TYPES)
+        & one_of("test_result_name", vocab.RAS_RESULTS)
+        & one_of("biomarker_variant_type_name", vocab.RAS_VARIANT_TYPES)
         & relevant_class()
     )
     return with_variant(chosen).select(*RANK_KEYS, "report_date", "variant")
@@ -103,7 +103,7 @@ def _kras_mutant() -> Column:
     return (
         (F.col("biomarker_name_name") == "KRAS")
         & (F.col("biomarker_variant_type_name") == "Gene Mutation")
-        & F.col("test_result_name").isin(*vocab.RAS_RESULTS)
+        & one_of("test_result_name", vocab.RAS_RESULTS)
         & relevant_class()
     )
 
@@ -111,7 +111,7 @@ def _kras_mutant() -> Column:
 def _amplified(gene: Column) -> Column:
     return (
         gene
-        & F.col("test_result_name").isin(*vocab.AMPLIFIED_RESULTS)
+        & one_of("test_result_name", vocab.AMPLIFIED_RESULTS)
         & (F.col("biomarker_variant_type_name") == "Gene Amplification")
     )
 
@@ -128,7 +128,7 @@ def _kras_not_amplified() -> Column:
     return (
         (F.col("biomarker_name_name") == "KRAS")
         & (F.col("test_result_name") == "Negative")
-        & F.col("biomarker_variant_type_name").isin(*vocab.COPY_NUMBER_TYPES)
+        & one_of("biomarker_variant_type_name", vocab.COPY_NUMBER_TYPES)
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oncolens.functions import vocab
-from oncolens.functions.columns import drop_plus, first_match
+from oncolens.functions.columns import drop_plus, first_match, one_of
 from oncolens.operators.grouping import drop_conflicting_groups
 from oncolens.operators.her2 import SAME_DAY, method_mentions
 from oncolens.operators.nearest import keep_nearest, rank_by_distance
@@ -48,8 +48,8 @@ def _clean_receptor_result(tests: DataFrame) -> DataFrame:
     name = F.col("test_value_name")
     result = first_match(
         [
-            (name.isin(*vocab.NEGATIVE_NAMES), "Negative"),
-            (name.isin(*vocab.UNKNOWN_RECEPTOR_NAMES) | name.isNull(), "Unknown"),
+            (one_of("test_value_name", vocab.NEGATIVE_NAMES), "Negative"),
+            (one_of("test_value_name", vocab.UNKNOWN_RECEPTOR_NAMES) | name.isNull(), "Unknown"),
         ],
         otherwise=name,
     )
@@ -100,7 +100,8 @@ def er_pr_label_with_genetic(
     clinical = _receptor_rows(patient_test).select(*GENETIC_COLUMNS)
     gene = F.col("biomarker_name")
     genetic = genetic_test.where(
-        gene.isin(*vocab.GENE_TO_RECEPTOR) & F.col("biomarker_test_type").isin(*vocab.RECEPTOR_GENE_TEST_TYPES)
+        one_of("biomarker_name", vocab.GENE_TO_RECEPTOR)
+        & one_of("biomarker_test_type", vocab.RECEPTOR_GENE_TEST_TYPES)
     ).select(
         "patient_id",
         F.col("report_date").alias("test_date"),
@@ -184,7 +185,7 @@ def receptor_wide(nearest: DataFrame) -> DataFrame:
         ).alias(name)
         for name, (marker, method) in cells.items()
     ]
-    wide = nearest.where(F.col("test_method").isin("FISH", "IHC")).groupBy("patient_id", "met_date").agg(*largest)
+    wide = nearest.where(one_of("test_method", ("FISH", "IHC"))).groupBy("patient_id", "met_date").agg(*largest)
     er, pr, both = F.col("er"), F.col("pr"), F.col("er_pr")
     status = first_match(
         [

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oncolens.functions import vocab
-from oncolens.functions.columns import any_like, month_diff
+from oncolens.functions.columns import any_like, month_diff, one_of
 
 
 def her2_test_filter(patient_test: DataFrame, methods: Sequence[str] = vocab.METHODS_CONTAINS) -> DataFrame:
@@ -16,16 +16,17 @@ def her2_test_filter(patient_test: DataFrame, methods: Sequence[str] = vocab.MET
     code = F.col("test_name_code")
     assay = any_like(F.lower("test_method_name"), methods)
     amplification = any_like(F.lower("genetic_test_type_name"), vocab.AMPLIFICATION_TEST_TYPES)
-    scored = F.col("test_value_numeric").isin(*vocab.HER2_STATUS_SCORES)
+    scored = one_of("test_value_numeric", vocab.HER2_STATUS_SCORES)
     qualified = (
-        code.isin(*vocab.HER2_CODES)
+        one_of("test_name_code", vocab.HER2_CODES)
         | ((code == vocab.HER2_GENE_CODE) & assay)
         | ((code == vocab.HER2_AMPLIFICATION_CODE) & assay & (amplification | F.col("genetic_test_type_name").isNull()))
         | ((code == vocab.HER2_STATUS_CODE) & (scored | F.col("test_value_numeric").isNull()))
     )
     # Implied by the rule above, but in a form the parquet reader can skip row groups by.
-    coded = code.isin(
-        *vocab.HER2_CODES, vocab.HER2_GENE_CODE, vocab.HER2_AMPLIFICATION_CODE, vocab.HER2_STATUS_CODE
+    coded = one_of(
+        "test_name_code",
+        (*vocab.HER2_CODES, vocab.HER2_GENE_CODE, vocab.HER2_AMPLIFICATION_CODE, vocab.HER2_STATUS_CODE),
     )
     return patient_test.where(coded & qualified)
 
@@ -35,8 +36,8 @@ def receptor_rules(method_pattern: str, panel_pattern: str) -> dict[str, Column]
     code, method = F.col("test_name_code"), F.col("test_method_name")
     stained = method.ilike(method_pattern)
     return {
-        "ER": code.isin(*vocab.ER_CODES) | ((code == vocab.ER_GENE_CODE) & stained),
-        "PR": code.isin(*vocab.PR_CODES) | ((code == vocab.PR_GENE_CODE) & stained),
+        "ER": one_of("test_name_code", vocab.ER_CODES) | ((code == vocab.ER_GENE_CODE) & stained),
+        "PR": one_of("test_name_code", vocab.PR_CODES) | ((code == vocab.PR_GENE_CODE) & stained),
         "ER/PR": F.col("test_name_name").ilike(vocab.HORMONE_PANEL) & method.ilike(panel_pattern),
     }
 

@@ -14,6 +14,7 @@ from oncolens.functions.columns import (
     first_match,
     matches,
     month_diff,
+    one_of,
     percent,
 )
 from oncolens.operators import her2, nearest, ras, receptor, windowed
@@ -65,7 +66,7 @@ def p11_null_or_match(load: Load) -> DataFrame:
     numeric = col("test_value_numeric")
     return (
         load("patient_test")
-        .where(col("test_date").isNotNull() & (numeric.isNull() | numeric.isin(*vocab.FISH_SCORES)))
+        .where(col("test_date").isNotNull() & (numeric.isNull() | one_of("test_value_numeric", vocab.FISH_SCORES)))
         .select("patient_id", "test_date", "test_value_numeric")
     )
 
@@ -376,7 +377,7 @@ def u01_union(load: Load) -> DataFrame:
 def u02_except(load: Load) -> DataFrame:
     biomarker = load("biomarker_table").where(col("biomarker_name_name") == "KRAS")
     negative = biomarker.where(col("test_result_name") == "Negative").select("patient_id")
-    positive = biomarker.where(col("test_result_name").isin(*vocab.AMPLIFIED_RESULTS)).select("patient_id")
+    positive = biomarker.where(one_of("test_result_name", vocab.AMPLIFIED_RESULTS)).select("patient_id")
     return negative.subtract(positive)
 
 

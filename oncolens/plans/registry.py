@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oncolens.functions import vocab
+from oncolens.functions.columns import one_of
 from oncolens.operators import her2, ras, receptor, windowed
 from oncolens.operators.grouping import count_patients
 from oncolens.plans import pipelines, reports
@@ -145,7 +146,7 @@ def _diff(stage, left: str, right: str, rows, others) -> Callable[[Load], DataFr
 
 
 def _any_stained():
-    return F.col("test_method").isin(*reports.STAINED)
+    return one_of("test_method", reports.STAINED)
 
 
 REPORTS: dict[str, Callable[[Load], DataFrame]] = {

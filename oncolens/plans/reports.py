@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oncolens.functions import vocab
-from oncolens.functions.columns import any_like
+from oncolens.functions.columns import any_like, one_of
 from oncolens.operators.grouping import count_patients, keys_in, keys_not_in
 
 STAINED = ("IHC", "FISH")
@@ -25,7 +25,7 @@ def her2_low(labels: Sequence[str], or_missing: bool) -> Column:
 
     The labels belong to a ruleset: the current rules write Low1+ and Low2+ instead.
     """
-    return F.col("her2_ihc").isin(*labels) & _fish_negative(or_missing)
+    return one_of("her2_ihc", labels) & _fish_negative(or_missing)
 
 
 def her2_negative() -> Column:
@@ -70,7 +70,7 @@ def receptor_report(wide: DataFrame, **labels: Sequence[str]) -> DataFrame:
 
 # --- labelled tests -------------------------------------------------------
 def stained_negative() -> Column:
-    return F.col("test_method").isin(*STAINED) & (F.col("test_result") == "Negative")
+    return one_of("test_method", STAINED) & (F.col("test_result") == "Negative")
 
 
 def flagged() -> Column:
@@ -89,7 +89,7 @@ def labelled_counts(labelled: DataFrame) -> DataFrame:
 def conflict_rows(labelled: DataFrame) -> DataFrame:
     """Flagged stained rows of patients who have a flagged negative."""
     return keys_in(
-        labelled.where(F.col("test_method").isin(*STAINED) & flagged()),
+        labelled.where(one_of("test_method", STAINED) & flagged()),
         labelled.where((F.col("test_result") == "Negative") & flagged()),
     )
 
@@ -116,7 +116,7 @@ def preview(df: DataFrame, n: int = 50) -> DataFrame:
 # --- genetic and clinical look-ups ----------------------------------------
 def erbb2(genetic_test: DataFrame, *test_types: str) -> DataFrame:
     rows = genetic_test.where(F.col("biomarker_name") == "ERBB2")
-    return rows.where(F.col("biomarker_test_type").isin(*test_types)) if test_types else rows
+    return rows.where(one_of("biomarker_test_type", test_types)) if test_types else rows
 
 
 def distinct_values(df: DataFrame, *columns: str) -> DataFrame:
@@ -129,7 +129,7 @@ def patients_by(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def scored_genetic(genetic_test: DataFrame) -> DataFrame:
-    return genetic_test.where(F.col("test_result_1_numeric").isin(*vocab.GENETIC_SCORES))
+    return genetic_test.where(one_of("test_result_1_numeric", vocab.GENETIC_SCORES))
 
 
 def named_her2(patient_test: DataFrame) -> DataFrame:

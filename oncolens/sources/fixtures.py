@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def _lit(value: str | None) -> str:
@@ -185,10 +186,20 @@ VIEWS: dict[str, View] = {
 }
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet file; its footer is asked for the schema once per process."""
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One clinical table over the parquet files in ``sf_dir``."""
     spec = VIEWS[name]
-    frames = [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in spec.tables]
+    frames = [_read(spark, f"{sf_dir}/{t}.parquet") for t in spec.tables]
     df = frames[0]
     if spec.tables == ORDER_LINES:
         df = df.join(frames[1], F.col("l_orderkey") == F.col("o_orderkey"))
