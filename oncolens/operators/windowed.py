@@ -17,10 +17,12 @@ def her2_test_filter(patient_test: DataFrame, methods: Sequence[str] = vocab.MET
     assay = any_like(F.lower("test_method_name"), methods)
     amplification = any_like(F.lower("genetic_test_type_name"), vocab.AMPLIFICATION_TEST_TYPES)
     scored = one_of("test_value_numeric", vocab.HER2_STATUS_SCORES)
+    by_method = assay & (
+        (code == vocab.HER2_GENE_CODE) | amplification | F.col("genetic_test_type_name").isNull()
+    )
     qualified = (
         one_of("test_name_code", vocab.HER2_CODES)
-        | ((code == vocab.HER2_GENE_CODE) & assay)
-        | ((code == vocab.HER2_AMPLIFICATION_CODE) & assay & (amplification | F.col("genetic_test_type_name").isNull()))
+        | (one_of("test_name_code", (vocab.HER2_GENE_CODE, vocab.HER2_AMPLIFICATION_CODE)) & by_method)
         | ((code == vocab.HER2_STATUS_CODE) & (scored | F.col("test_value_numeric").isNull()))
     )
     # Implied by the rule above, but in a form the parquet reader can skip row groups by.

@@ -10,6 +10,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # A hot patient or a pile of copied rows is split at the join, not sent to one task.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # HotSpot never compiles a method above 8000 bytes of bytecode; beyond it the
+    # per-operator path is faster than one huge fused method left interpreted.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
 }
 

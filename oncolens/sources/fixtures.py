@@ -1,7 +1,9 @@
 """The clinical input tables as projections of the driver's star schema.
 
-Each table is one SELECT whose expressions read the same in Spark SQL and in
-DuckDB, so both engines start from identical rows (see FIXTURES.md).
+Each table is one SELECT that means the same in Spark SQL and in DuckDB, so both
+engines start from identical rows (see FIXTURES.md). The texts differ in one place:
+a choice by remainder is a CASE in DuckDB and an index into a constant array in Spark,
+since long CASE chains outgrow the size up to which the JVM compiles a method.
 """
 
 from __future__ import annotations
@@ -17,10 +19,39 @@ def _lit(value: str | None) -> str:
     return "NULL" if value is None else f"'{value}'"
 
 
-def pick(expr: str, *values: str | None) -> str:
+@dataclass(frozen=True)
+class Choice:
     """values[expr], the last one standing for every other remainder."""
-    whens = " ".join(f"WHEN {i} THEN {_lit(v)}" for i, v in enumerate(values[:-1]))
-    return f"CASE {expr} {whens} ELSE {_lit(values[-1])} END"
+
+    expr: str
+    values: tuple[str | None, ...]
+
+    def spark(self) -> str:
+        items = ", ".join(_lit(v) for v in self.values)
+        return f"get(array({items}), CAST(least({self.expr}, {len(self.values) - 1}) AS INT))"
+
+    def duckdb(self) -> str:
+        whens = " ".join(f"WHEN {i} THEN {_lit(v)}" for i, v in enumerate(self.values[:-1]))
+        return f"CASE {self.expr} {whens} ELSE {_lit(self.values[-1])} END"
+
+
+@dataclass(frozen=True)
+class Either:
+    """One choice where ``condition`` holds, another where not."""
+
+    condition: str
+    then: Choice
+    otherwise: Choice
+
+    def spark(self) -> str:
+        return f"CASE WHEN {self.condition} THEN {self.then.spark()} ELSE {self.otherwise.spark()} END"
+
+    def duckdb(self) -> str:
+        return f"CASE WHEN {self.condition} THEN {self.then.duckdb()} ELSE {self.otherwise.duckdb()} END"
+
+
+def pick(expr: str, *values: str | None) -> Choice:
+    return Choice(expr, values)
 
 
 def lookup(expr: str, pairs: dict, otherwise: str | None) -> str:
@@ -41,7 +72,7 @@ RESULT_NAMES = ("Positive", "Negative", "Negative", "Borderline", "Equivocal", "
 @dataclass(frozen=True)
 class View:
     tables: tuple[str, ...]
-    columns: dict[str, str] = field(default_factory=dict)
+    columns: dict[str, str | Choice | Either] = field(default_factory=dict)
     where: str | None = None
 
 
@@ -127,8 +158,9 @@ VIEWS: dict[str, View] = {
                 "Progesterone receptor by immune stain", "Progesterone receptor", "Hormone receptor panel",
                 "Progesterone receptor", "Ki-67",
             ),
-            "test_value_name": f"CASE WHEN o_orderkey % 7 < 4 THEN {pick('o_custkey % 8', *RESULT_NAMES)} "
-            f"ELSE {pick('l_partkey % 8', *RESULT_NAMES)} END",
+            "test_value_name": Either(
+                "o_orderkey % 7 < 4", pick("o_custkey % 8", *RESULT_NAMES), pick("l_partkey % 8", *RESULT_NAMES)
+            ),
             "test_value_numeric": pick("l_suppkey % 9", None, None, "1", "1+", "2+", "0", "3+", "1.0", "2"),
             "test_unit_name": "CASE WHEN l_suppkey % 2 = 0 THEN 'Staining Intensity (+)' ELSE NULL END",
             "genetic_test_type_name": pick(
@@ -205,13 +237,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         df = df.join(frames[1], F.col("l_orderkey") == F.col("o_orderkey"))
     if spec.where:
         df = df.where(spec.where)
-    return df.selectExpr(*[f"{expr} AS {column}" for column, expr in spec.columns.items()])
+    return df.selectExpr(
+        *[f"{e if isinstance(e, str) else e.spark()} AS {column}" for column, e in spec.columns.items()]
+    )
 
 
 def view_sql(name: str) -> str:
     """The same table as a SELECT over the driver's registered tables."""
     spec = VIEWS[name]
-    columns = ", ".join(f"{expr} AS {column}" for column, expr in spec.columns.items())
+    columns = ", ".join(
+        f"{e if isinstance(e, str) else e.duckdb()} AS {column}" for column, e in spec.columns.items()
+    )
     source = spec.tables[0]
     if spec.tables == ORDER_LINES:
         source += " JOIN orders ON l_orderkey = o_orderkey"
