@@ -93,14 +93,21 @@ def dense_rank_values(rows: DataFrame, keys: Sequence[str], value: str, rank: st
     return rows.select(*keys, value).distinct().withColumn(rank, F.dense_rank().over(order))
 
 
-def keys_in(rows: DataFrame, other: DataFrame, key: str = "patient_id") -> DataFrame:
-    """``key IN (SELECT key FROM other)``; the list is made distinct first, so a key
-    with many rows in ``other`` reaches the join as one row per map task."""
-    return rows.join(other.select(key).distinct(), key, "left_semi")
+def keys_in(rows: DataFrame, other: DataFrame, key: str = "patient_id", merged: bool = False) -> DataFrame:
+    """``key IN (SELECT key FROM other)``, the list made distinct before the join.
+
+    ``merged`` says that ``rows`` hold few rows per key: then a partitioning by key
+    that is already there is used again. Otherwise the rows get a shuffle of their own
+    at the join, so that a hot key can be split.
+    """
+    listed = other.where(F.col(key).isNotNull()).select(key).distinct()
+    return rows.join(listed, key, "left_semi") if merged else join_groups(rows, listed, [key], "left_semi")
 
 
-def keys_not_in(rows: DataFrame, other: DataFrame, key: str = "patient_id", null_aware: bool = False) -> DataFrame:
-    """``key NOT IN (SELECT key FROM other)``.
+def keys_not_in(
+    rows: DataFrame, other: DataFrame, key: str = "patient_id", merged: bool = False, null_aware: bool = False
+) -> DataFrame:
+    """``key NOT IN (SELECT key FROM other)``; ``merged`` as in ``keys_in``.
 
     Tables are loaded without null keys, so a plain anti join is exact and needs no
     broadcast. ``null_aware=True`` adds the SQL rule for lists that hold a null
@@ -108,7 +115,8 @@ def keys_not_in(rows: DataFrame, other: DataFrame, key: str = "patient_id", null
     against an empty list), as a one-row subquery beside the same anti join.
     """
     listed = other.select(key)
-    kept = rows.join(listed.where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    found = listed.where(F.col(key).isNotNull()).distinct()
+    kept = rows.join(found, key, "left_anti") if merged else join_groups(rows, found, [key], "left_anti")
     if not null_aware:
         return kept
     facts = listed.agg(
@@ -118,6 +126,24 @@ def keys_not_in(rows: DataFrame, other: DataFrame, key: str = "patient_id", null
     return kept.where(~has_null & (F.col(key).isNotNull() | empty))
 
 
+def join_per_patient(rows: DataFrame, cohort: DataFrame) -> DataFrame:
+    """Inner join of many rows per patient with a cohort of few, split where a patient is hot."""
+    return join_groups(rows, cohort.where(F.col("patient_id").isNotNull()), ["patient_id"], "inner")
+
+
+def left_join_many(cohort: DataFrame, rows: DataFrame) -> DataFrame:
+    """``cohort LEFT JOIN rows USING (patient_id)`` with a splittable many side.
+
+    An outer join can only be split on the side it preserves, here the wrong one. So the
+    matches come from an inner join and the patients without any are added.
+    """
+    matched = join_per_patient(rows, cohort)
+    alone = keys_not_in(cohort, rows)
+    return matched.unionByName(alone, allowMissingColumns=True).select(
+        *cohort.columns, *[c for c in rows.columns if c != "patient_id"]
+    )
+
+
 def count_patients(df: DataFrame, **conditions: Column) -> DataFrame:
     """One row: distinct patients meeting each condition.
 

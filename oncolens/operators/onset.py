@@ -75,14 +75,14 @@ def systemic_therapy(medication: DataFrame, codes: DataFrame) -> DataFrame:
     given = F.col("med_status") == "administered"
     taken = ~intravenous | (F.col("med_route_name").isNull() & given) | (intravenous & given)
     drugs = medication.where(taken).select("patient_id", "med_generic_name_code", "med_generic_name_name").distinct()
-    listed = codes.select(F.col("rxcui").alias("med_generic_name_code")).distinct()
+    listed = codes.select(F.col("rxcui").alias("med_generic_name_code"))
     return drugs.join(listed, "med_generic_name_code", "left_semi").select(
         "patient_id", "med_generic_name_code", "med_generic_name_name"
     )
 
 
 def metastatic_on_therapy(onset: DataFrame, therapy: DataFrame) -> DataFrame:
-    return keys_in(onset, therapy).select("patient_id", "met_date").distinct()
+    return keys_in(onset, therapy, merged=True).select("patient_id", "met_date").distinct()
 
 
 def onset_year_between(cohort: DataFrame, first: int, last: int) -> DataFrame:
@@ -102,4 +102,4 @@ def exclude_second_primary(
         F.abs(month_diff(F.col("met_date"), F.col("other_month"))) <= months
     )
     excluded = cohort.join(others, near, "left_semi")
-    return keys_not_in(cohort, excluded)
+    return keys_not_in(cohort, excluded, merged=True)

@@ -151,7 +151,7 @@ def _patient_flags(biomarker: DataFrame, **conditions: Column) -> DataFrame:
 def _variant_counts(biomarker: DataFrame, patients: DataFrame) -> DataFrame:
     """KRAS mutants among ``patients``, counted per variant."""
     mutants = with_variant(biomarker.where(_kras_mutant())).select("patient_id", "variant").distinct()
-    return keys_in(mutants, patients).groupBy("variant").agg(F.count("*").alias("n"))
+    return keys_in(mutants, patients, merged=True).groupBy("variant").agg(F.count("*").alias("n"))
 
 
 def kras_coamplified_by_variant(biomarker: DataFrame) -> DataFrame:

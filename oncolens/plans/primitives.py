@@ -18,7 +18,14 @@ from oncolens.functions.columns import (
     percent,
 )
 from oncolens.operators import her2, nearest, ras, receptor, windowed
-from oncolens.operators.grouping import count_patients, group_stats, keys_in, keys_not_in
+from oncolens.operators.grouping import (
+    count_patients,
+    group_stats,
+    join_per_patient,
+    keys_in,
+    keys_not_in,
+    left_join_many,
+)
 from oncolens.plans import pipelines, reports
 from oncolens.plans.pipelines import Load
 
@@ -146,15 +153,15 @@ def f04_length(load: Load) -> DataFrame:
     )
 
 
-def _therapy_gap(load: Load) -> DataFrame:
+def _diagnosis_gap(load: Load) -> DataFrame:
     """Receptor diagnoses beside the patient's onset: many rows to one."""
     diagnoses = windowed.receptor_diagnoses(load("condition")).select("patient_id", "diagnosis_date")
-    return diagnoses.join(pipelines.metastatic_onset(load), "patient_id")
+    return join_per_patient(diagnoses, pipelines.metastatic_onset(load))
 
 
 def f05_abs(load: Load) -> DataFrame:
     gap = F.abs(day_diff(col("met_date"), col("diagnosis_date")))
-    return _therapy_gap(load).select("patient_id", "diagnosis_date", gap.alias("days_apart"))
+    return _diagnosis_gap(load).select("patient_id", "diagnosis_date", gap.alias("days_apart"))
 
 
 def f06_day_diff(load: Load) -> DataFrame:
@@ -198,7 +205,7 @@ def f11_date_literal(load: Load) -> DataFrame:
 
 # --- joins ----------------------------------------------------------------
 def j01_inner_using(load: Load) -> DataFrame:
-    return _therapy_gap(load).select("patient_id", "met_date", "diagnosis_date")
+    return _diagnosis_gap(load).select("patient_id", "met_date", "diagnosis_date")
 
 
 def j02_inner_on(load: Load) -> DataFrame:
@@ -232,11 +239,10 @@ def j04_two_left_joins(load: Load) -> DataFrame:
 
 
 def j05_left_one_to_many(load: Load) -> DataFrame:
-    onset_rows = pipelines.metastatic_onset(load).withColumnRenamed("patient_id", "cohort_patient")
-    diagnoses = windowed.receptor_diagnoses(load("condition"))
-    return onset_rows.join(diagnoses, col("cohort_patient") == col("patient_id"), "left").select(
-        col("cohort_patient").alias("patient_id"), "met_date", "diagnosis_date", "diagnosis_code_code"
+    diagnoses = windowed.receptor_diagnoses(load("condition")).select(
+        "patient_id", "diagnosis_date", "diagnosis_code_code"
     )
+    return left_join_many(pipelines.metastatic_onset(load), diagnoses)
 
 
 def j06_month_band(load: Load) -> DataFrame:
@@ -265,7 +271,7 @@ def j09_in_subquery(load: Load) -> DataFrame:
 
 def j10_not_in_subquery(load: Load) -> DataFrame:
     second = load("condition").where(col("diagnosis_type_code") == vocab.SECOND_PRIMARY_CODE)
-    return keys_not_in(pipelines.metastatic_onset(load), second, null_aware=True)
+    return keys_not_in(pipelines.metastatic_onset(load), second, merged=True, null_aware=True)
 
 
 def j11_scalar_subqueries(load: Load) -> DataFrame:
@@ -378,7 +384,8 @@ def u02_except(load: Load) -> DataFrame:
     biomarker = load("biomarker_table").where(col("biomarker_name_name") == "KRAS")
     negative = biomarker.where(col("test_result_name") == "Negative").select("patient_id")
     positive = biomarker.where(one_of("test_result_name", vocab.AMPLIFIED_RESULTS)).select("patient_id")
-    return negative.subtract(positive)
+    # Both lists are merged first: the difference itself compares every row.
+    return negative.distinct().subtract(positive.distinct())
 
 
 def u03_update(load: Load) -> DataFrame:

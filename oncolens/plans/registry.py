@@ -142,7 +142,9 @@ def _her2_negative_rows():
 
 
 def _diff(stage, left: str, right: str, rows, others) -> Callable[[Load], DataFrame]:
-    return lambda load: reports.ruleset_diff(stage(load, left).where(rows()), stage(load, right).where(others()))
+    return lambda load: reports.ruleset_diff(
+        stage(load, left).where(rows()), stage(load, right).where(others()), merged=True
+    )
 
 
 def _any_stained():

@@ -94,9 +94,9 @@ def conflict_rows(labelled: DataFrame) -> DataFrame:
     )
 
 
-def ruleset_diff(rows: DataFrame, others: DataFrame) -> DataFrame:
+def ruleset_diff(rows: DataFrame, others: DataFrame, merged: bool = False) -> DataFrame:
     """Rows whose patient does not occur among ``others``."""
-    return keys_not_in(rows, others)
+    return keys_not_in(rows, others, merged=merged)
 
 
 def her2_result(result: str) -> Column:
@@ -105,12 +105,17 @@ def her2_result(result: str) -> Column:
 
 # --- listings -------------------------------------------------------------
 def sorted_by(df: DataFrame, *columns: str) -> DataFrame:
-    return df.orderBy(*[F.col(c).asc_nulls_last() for c in columns])
+    """Sorted by ``columns``, ties in no particular order.
+
+    The sort is by value ranges; the tie-breaker lets a hot value, or a pile of equal
+    rows, be cut into several ranges.
+    """
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in columns], F.rand(0))
 
 
 def preview(df: DataFrame, n: int = 50) -> DataFrame:
     """The first ``n`` rows in full column order, so that a preview is repeatable."""
-    return sorted_by(df, *df.columns).limit(n)
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in df.columns]).limit(n)
 
 
 # --- genetic and clinical look-ups ----------------------------------------

@@ -16,6 +16,7 @@ from oncolens.operators.grouping import (
     group_stats,
     keys_in,
     keys_not_in,
+    left_join_many,
     merge_copies,
     repeat_rows,
 )
@@ -106,3 +107,10 @@ def test_nearest_days_against_all_pairs(frame):
     ).collect()
     assert len(got) == len(want)
     assert {(r.patient_id, str(r.a), r.near and str(r.near)) for r in got} == want
+
+
+def test_left_join_many(frame):
+    cohort = frame("patient_id bigint, met_date date", (1, "2000-01-01"), (2, "2000-01-02"))
+    rows = frame("patient_id bigint, v string", (1, "a"), (1, "b"), (3, "c"), (None, "d"))
+    got = {(r.patient_id, str(r.met_date), r.v) for r in left_join_many(cohort, rows).collect()}
+    assert got == {(1, "2000-01-01", "a"), (1, "2000-01-01", "b"), (2, "2000-01-02", None)}
