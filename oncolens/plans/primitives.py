@@ -183,7 +183,7 @@ def f07_month_diff(load: Load) -> DataFrame:
 
 
 def f08_trunc_to_date(load: Load) -> DataFrame:
-    stamped = load("stage").withColumn("stamp", col("stage_date").cast("timestamp") + F.expr("INTERVAL 23 HOURS"))
+    stamped = load("stage").withColumn("stamp", col("stage_date").cast("timestamp_ntz") + F.expr("INTERVAL 23 HOURS"))
     return stamped.select("patient_id", F.to_date("stamp").alias("stage_day"))
 
 
