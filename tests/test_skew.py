@@ -7,8 +7,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from oncolens.operators import her2
-from oncolens.plans import pipelines, registry
+from oncolens.operators import grouping, her2
+from oncolens.plans import pipelines, registry, reports
 from oncolens.sources.fixtures import view
 from tests.conftest import SF
 from tests.test_oracle import check
@@ -95,3 +95,46 @@ def test_copies_do_not_reach_the_patient_shuffle(spark, hot):
     merged = pipelines.labelled_merged(lambda n: view(spark, path, n))
     assert merged.agg(F.sum("n_rows")).first()[0] == rows
     assert merged.count() < rows - 300
+
+
+def with_skew(spark, run):
+    before = {k: spark.conf.get(k, None) for k in SKEW}
+    try:
+        for key, value in SKEW.items():
+            spark.conf.set(key, value)
+        return run()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+@pytest.fixture(scope="module")
+def hot_rows(spark, tmp_path_factory):
+    """Patient 0 has a third of 90,000 rows."""
+    path = str(tmp_path_factory.mktemp("rows"))
+    rows = spark.range(0, 90000, numPartitions=6).selectExpr(
+        "if(id % 3 = 0, 0, 1 + id % 500) AS patient_id", "CAST(id AS string) AS note"
+    )
+    rows.write.parquet(f"{path}/rows")
+    return spark.read.parquet(f"{path}/rows")
+
+
+@pytest.mark.parametrize("join", ["keys_in", "keys_not_in", "join_per_patient"])
+def test_row_level_joins_split_a_hot_patient(spark, hot_rows, join):
+    listed = hot_rows.where("patient_id < 40 OR patient_id > 480")
+    run = {
+        "keys_in": lambda: grouping.keys_in(hot_rows, listed),
+        "keys_not_in": lambda: grouping.keys_not_in(hot_rows, listed.where("patient_id > 3")),
+        "join_per_patient": lambda: grouping.join_per_patient(
+            hot_rows, listed.groupBy("patient_id").agg(F.max("note").alias("last"))
+        ),
+    }[join]
+    assert "skew=true" in with_skew(spark, lambda: final_plan(run()))
+
+
+def test_sort_cuts_a_hot_value(spark, hot_rows):
+    def sizes():
+        ordered = reports.sorted_by(hot_rows, "patient_id")
+        return [r["count"] for r in ordered.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+
+    assert max(with_skew(spark, sizes)) < 90000 / 3
