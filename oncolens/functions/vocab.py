@@ -107,6 +107,14 @@ class Ruleset:
 
 RULESETS = {"revised": Ruleset(REVISED_RULES, "Low"), "current": Ruleset(CURRENT_RULES, "Low1+")}
 
+# Every number a rule or a score list names.
+KNOWN_NUMERICS = tuple(
+    sorted(
+        {*IHC_SCORES, *FISH_SCORES, *HER2_STATUS_SCORES}
+        | {number for ruleset in RULESETS.values() for rule in ruleset.rules for number in rule.numerics}
+    )
+)
+
 # --- RAS ------------------------------------------------------------------
 # Case-insensitive, unanchored, tried in this order; a dot is a wildcard.
 VARIANT_PATTERNS = (

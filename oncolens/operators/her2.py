@@ -116,15 +116,37 @@ def label_tests(
     return apply_change(same_day_indicator(labelled, ruleset, merged), ruleset)
 
 
+def bound_numeric(tests: DataFrame) -> DataFrame:
+    """Free-text numbers replaced by a stand-in that labels and filters treat alike.
+
+    No rule names them; all that matters is how the cleaned text sorts against the
+    sentinel and '1' in the same-day test, and that no score list holds it.
+    """
+    numeric = F.col("test_value_numeric")
+    cleaned = F.when(ends_with_plus(numeric), drop_plus(numeric)).otherwise(numeric)
+    stand_in = first_match(
+        [
+            (numeric.isNull() | one_of("test_value_numeric", vocab.KNOWN_NUMERICS), numeric),
+            (cleaned < vocab.NUMERIC_MISSING, "00"),
+            (cleaned == vocab.NUMERIC_MISSING, vocab.NUMERIC_MISSING),
+            (cleaned < "1", "01"),
+            (cleaned == "1", "1++"),
+        ],
+        otherwise=F.lit("9"),
+    )
+    return tests.withColumn("test_value_numeric", stand_in)
+
+
 def label_merged(
     tests: DataFrame, ruleset: str = "revised", ihc_patterns: Sequence[str] = vocab.IHC_PATTERNS
 ) -> DataFrame:
     """The labels of ``label_tests`` on merged rows, for analyses that do not list tests.
 
-    Only the columns the labels depend on are kept, copies are merged before the first
-    patient-wise step, and ``n_rows`` says how many tests a row stands for.
+    Only the columns the labels depend on are kept, unlisted numbers are bounded, copies
+    are merged before the first patient-wise step, and ``n_rows`` says how many tests a
+    row stands for.
     """
-    merged = merge_copies(tests, *SAME_DAY, "test_value_name", "test_value_numeric")
+    merged = merge_copies(bound_numeric(tests), *SAME_DAY, "test_value_name", "test_value_numeric")
     return label_tests(by_patient(merged), ruleset, ihc_patterns, merged=True)
 
 

@@ -1,6 +1,6 @@
 """Declared input tables: load from a catalogue namespace or a folder, check, reuse.
 
-Namespaces (a database such as ``gn360_breast``) are chosen per call, so two
+Namespaces (a database such as one per release) are chosen per call, so two
 releases can be read side by side in one job.
 """
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +134,31 @@ def test_genetic_union_merges_copies_and_reads_both_results(table, rows_of):
     }
 
 
+def test_merged_labels_equal_row_labels_for_any_number(table, rows_of):
+    rng = random.Random(5)
+    numbers = [None, None, "1", "1", "1+", "0", "2", "1++", "+1+", "+", "0.4", "01", "12.5", "000-000-000", "00", "x", "1.5+"]
+    tests = table(
+        "patient_test",
+        *[
+            test(day=f"2000-01-{1 + i // 3 % 28:02d}", name=f"HER2 {i // 84}", number=rng.choice(numbers),
+                 value=rng.choice(["Negative", "Negative", "Negative", "Low", None, "Equivocal"]))
+            for i in range(1500)
+        ],
+    )
+    for ruleset in vocab.RULESETS:
+        by_row = her2.label_tests(tests, ruleset)
+        merged = her2.label_merged(tests, ruleset)
+        columns = ("test_date", "test_name_name", "test_value_name", "test_result", "sameday_ind")
+        want = Counter(tuple(r) for r in by_row.select(*columns).collect())
+        got = Counter()
+        for r in merged.select(*columns, "n_rows").collect():
+            got[tuple(r)[:-1]] += r.n_rows
+        assert got == want
+        assert len({r[-1] for r in want}) > 1
+        known = {n for (n,) in rows_of(merged, "test_value_numeric")}
+        assert known <= {None, *vocab.KNOWN_NUMERICS, "00", "01", "1++", "9", "000-000-000"}
+
+
 def labelled(table, *rows):
     return her2.label_tests(table("patient_test", *rows))
 
