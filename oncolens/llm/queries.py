@@ -8,7 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from oncolens.llm import best_fit, block_anchors, poisson_mixing, rule_quality, simhash
+from oncolens.llm import (
+    best_fit,
+    block_anchors,
+    cross_parsing,
+    filter_cascade,
+    label_shards,
+    lz_fingerprint,
+    pca_tiles,
+    poisson_mixing,
+    rule_quality,
+    simhash,
+)
 from oncolens.llm.common import held_out, pick, ship
 
 
@@ -23,6 +34,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), code.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.edit_likeness(read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = rule_quality.learn(docs, read(spark, sf_dir, "labels"))
@@ -35,6 +50,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = cross_parsing.predicted(docs, cross_parsing.learn(docs))
+    return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(read(spark, sf_dir, "documents"), doc_id="doc_id", source="source", text="text")
     return poisson_mixing.replicate(docs).select("doc_id", "source", "copies", "copy", "shuffle_key")
@@ -73,15 +94,67 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(read(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+ALLOWED = ("com/", "www.example.com/en/")
+BLOCKED = ("example.com/en/", "net/es/", "net/fr/")
+
+
+def op8_filter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_cascade.judge(read(spark, sf_dir, "pages"), ALLOWED, BLOCKED)
+
+
+OP8_SQL = f"""
+WITH rules AS (
+    SELECT *, split_part(rule, '/', 1) AS host, substr(rule, strpos(rule, '/')) AS path
+    FROM (VALUES {", ".join(f"('{r}', '{v}')" for rs, v in ((ALLOWED, "allow"), (BLOCKED, "block")) for r in rs)}) AS v(rule, verdict)
+), parts AS (
+    SELECT page_id,
+        translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict
+FROM (
+    SELECT *, (
+        SELECT arg_max(r, length(r.rule)) FROM rules r
+        WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+    ) AS best
+    FROM parts p
+)
+"""
+
+
+def op9_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = label_shards.shards(read(spark, sf_dir, "documents"), n_shards=40)
+    return found.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op10_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pca_tiles.near_duplicates(read(spark, sf_dir, "embeddings"), least=0.9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_lz_fingerprint": op2_lz_fingerprint,
     "op3_quality_rules": op3_quality_rules,
+    "op4_cross_parsing_language": op4_cross_parsing_language,
     "op5_poisson_mixing": op5_poisson_mixing,
     "op6_block_anchor_dedup": op6_block_anchor_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_filter_cascade": op8_filter_cascade,
+    "op9_label_shards": op9_label_shards,
+    "op10_pca_tiles": op10_pca_tiles,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_poisson_mixing": OP5_SQL,
+    "op8_filter_cascade": OP8_SQL,
 }
