@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from oncolens.operators.grouping import join_groups
+
 
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
     """``alias=column`` pairs and nothing else.
@@ -79,7 +81,7 @@ def components(links: DataFrame, name: str) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b: long), root being the smallest node reachable.
 
     Rounds of large-star and small-star. Neighbours are reduced by a minimum that
-    combines map-side and joined back, so a hub with a third of all links is split
+    combines map-side and joined back over a shuffle of its own, so a hub with a third of all links is split
     by the join and never gathered. Each round is stored; the last two are equal.
     """
     edges = store(
@@ -95,9 +97,10 @@ def components(links: DataFrame, name: str) -> DataFrame:
         seen = state
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = both.where("b > a").transform(join_groups, low, ["a"], "inner")
+        large = large.select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
+        small = join_groups(large, low, ["a"], "inner").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
         edges = store(small.unionByName(low.withColumnRenamed("low", "b")).distinct(), name)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oncolens.llm.common import cell, pick, store
+from oncolens.operators.grouping import join_groups
 
 GROUP_CELLS, ROW_CELLS, REST_CELLS = 16, 16, 1024
 
@@ -68,7 +69,7 @@ def propagate(state: DataFrame, n_shards: int, quota: int, rounds: int) -> DataF
         room = [quota - loads.get(s, 0) for s in range(n_shards)]
         wishes = preferences(state, room)
         one = F.expr(f"pmod(xxhash64(row, {turn}), movers)")
-        asked = state.join(wishes, "grp", "left").withColumn("one", one)
+        asked = join_groups(state, wishes, ["grp"], "left").withColumn("one", one)
         here = F.exists("targets", lambda t: t["kept"] & (t["shard"] == F.col("shard")))
         there = F.filter("targets", lambda t: (t["start"] <= F.col("one")) & (F.col("one") < t["start"] + t["need"]))
         wish = F.when(F.col("targets").isNull() | here, F.col("shard")).otherwise(F.coalesce(F.get(there, 0)["shard"], "shard"))
@@ -111,7 +112,8 @@ def shards(
         F.sha2("text", 256).alias("grp"),
     )
     base = store(base, "rows")
-    sized = store(base.join(base.groupBy("grp").agg(F.count("*").alias("members")), "grp"), "groups")
+    members = base.groupBy("grp").agg(F.count("*").alias("members"))
+    sized = store(join_groups(base, members, ["grp"], "inner"), "groups")
     total = sized.count()
     quota = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oncolens.llm.common import components, pick, store, tile_pairs, unite
+from oncolens.operators.grouping import join_groups
 
 SLACK = 1e-9  # rounding of rotated and partial products; what it lets through is compared again, unrotated
 FEW = 0.02
@@ -165,7 +166,7 @@ def near_duplicates(
     )
     members = store(members, "members")
     named = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = good.join(members.join(named, "root").select("vector", "n_links", "component_id"), "vector")
+    found = good.join(join_groups(members, named, ["root"], "inner").select("vector", "n_links", "component_id"), "vector")
     bad = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return (
         found.select("vec_id", "n_links", "component_id")

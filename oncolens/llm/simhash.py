@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oncolens.llm.common import components, pick, store, tile_pairs, unite
+from oncolens.operators.grouping import join_groups
 
 SEED = 42
 BITS = 64
@@ -139,7 +140,7 @@ def near_duplicates(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     named = members.groupBy("root").agg(F.min("first").alias("component"))
-    return marked.join(members.drop("first").join(named, "root"), "fp").select("id", "fp", "component", "root")
+    return marked.join(join_groups(members.drop("first"), named, ["root"], "inner"), "fp").select("id", "fp", "component", "root")
 
 
 def keep_one(
