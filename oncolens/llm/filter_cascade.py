@@ -75,7 +75,7 @@ def build(keys: DataFrame, n: int, miss: float, seed: int) -> Bloom:
             yield pa.RecordBatch.from_arrays([pa.array(at >> 3), pa.array(1 << (at & 7))], ["at", "bit"])
 
     bits = bytearray((size + 7) // 8)
-    for at, bit in keys.mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit")).toLocalIterator():
+    for at, bit in keys.mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit")).collect():
         bits[at] = bit
     return Bloom(seed, size, hashes, bytes(bits))
 
