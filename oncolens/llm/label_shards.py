@@ -34,15 +34,15 @@ def rank_by_cells(df: DataFrame, cells: Column, n_cells: int, reset: int, order:
     return ranked.drop("cell"), blocks
 
 
-def preferences(state: DataFrame, room: list[int]) -> DataFrame:
+def preferences(state: DataFrame, quota: int, room: list[int]) -> DataFrame:
     """(grp, targets) for each group in several shards: the shards it may keep, best first, and what each takes in.
 
     A group's votes are counted per shard, so it has as many rows here as there are
-    shards at most. It keeps the shards with most votes whose members and room together
-    hold it; each entry says which of the group's movers, numbered, go there.
+    shards at most. It keeps the shards with most votes, as many as hold it with their room
+    or, as others will leave, with three quarters of their quota; each entry says which of the group's movers, numbered, go there.
     """
     votes = state.groupBy("grp", "members", "shard").agg(F.count("*").alias("n"))
-    votes = votes.withColumn("cap", F.col("n") + F.greatest(F.get(longs(room), "shard"), F.lit(0)))
+    votes = votes.withColumn("cap", F.greatest(F.col("n") + F.greatest(F.get(longs(room), "shard"), F.lit(0)), F.lit(quota * 3 // 4)))
     liked = Window.partitionBy("grp").orderBy(F.desc("n"), F.xxhash64("grp", "shard"), "shard")
     before = F.coalesce(F.sum("cap").over(liked.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     votes = votes.withColumn("before", before).withColumn("kept", F.col("before") < F.col("members"))
@@ -57,28 +57,40 @@ def preferences(state: DataFrame, room: list[int]) -> DataFrame:
     )
 
 
+def chances(flows: dict[tuple[int, int], int], room: list[int]) -> list[float]:
+    """Per shard the share of wishes to go there that its room and those who leave it let in."""
+    share = [1.0] * len(room)
+    for _ in range(30):
+        leave = [sum(n * share[t] for (f, t), n in flows.items() if f == s) for s in range(len(room))]
+        come = [sum(n for (_, t), n in flows.items() if t == s) for s in range(len(room))]
+        share = [min(1.0, max(0.0, (r + out) / n)) if n else 1.0 for r, out, n in zip(room, leave, come, strict=True)]
+    return share
+
+
 def propagate(state: DataFrame, n_shards: int, quota: int, rounds: int) -> DataFrame:
     """``state`` (row, grp, members, shard, ...) after members moved to the shards most of their group is in.
 
-    Each round proposes moves under the room every shard has left, then accepts, group
-    by group, as many as fit on average; what is refused tries again. Stops when nobody
-    wants to move. The driver sees one count per shard.
+    Each round proposes moves, then accepts as many as each shard's room and departures
+    make way for: whole groups, but single rows of a group that fills an eighth of a
+    quota. What is refused tries again. Stops when nobody wants to move. The driver sees
+    one count per pair of shards.
     """
     for turn in range(rounds):
         loads = dict(state.groupBy("shard").count().collect())
         room = [quota - loads.get(s, 0) for s in range(n_shards)]
-        wishes = preferences(state, room)
+        wishes = preferences(state, quota, room)
         one = F.expr(f"pmod(xxhash64(row, {turn}), movers)")
         asked = join_groups(state, wishes, ["grp"], "left").withColumn("one", one)
         here = F.exists("targets", lambda t: t["kept"] & (t["shard"] == F.col("shard")))
         there = F.filter("targets", lambda t: (t["start"] <= F.col("one")) & (F.col("one") < t["start"] + t["need"]))
         wish = F.when(F.col("targets").isNull() | here, F.col("shard")).otherwise(F.coalesce(F.get(there, 0)["shard"], "shard"))
         asked = store(asked.withColumn("wish", wish).drop("targets", "movers", "one"), "wishes")
-        demand = dict(asked.where("wish <> shard").groupBy("wish").count().collect())
-        if not demand:
+        flows = {(r[0], r[1]): r[2] for r in asked.where("wish <> shard").groupBy("shard", "wish").count().collect()}
+        if not flows:
             break
-        chance = longs([min(1 << 30, max(0, room[s]) * (1 << 30) // max(1, demand.get(s, 0))) for s in range(n_shards)])
-        accepted = F.pmod(F.xxhash64("grp", "wish", F.lit(turn)), F.lit(1 << 30)) < F.get(chance, "wish")
+        chance = longs([round(c * (1 << 30)) for c in chances(flows, room)])
+        unit = F.xxhash64("grp", "wish", F.lit(turn), F.when(F.col("members") * 8 > quota, F.col("row")))
+        accepted = F.pmod(unit, F.lit(1 << 30)) < F.get(chance, "wish")
         state = store(asked.withColumn("shard", F.when(accepted, F.col("wish")).otherwise(F.col("shard"))).drop("wish"), "moved")
     return state
 
@@ -128,7 +140,10 @@ def shards(
     out = ["doc_id", "size", "text_crc32", "grp", "shard", F.col("rank").alias("slot")]
 
     rest = sized.where("members = 1").select(*names).unionByName(linked.where(~fits).select(*names))
-    rest, _ = rank_by_cells(store(rest, "rest"), cell(REST_CELLS, F.col("row")), REST_CELLS, REST_CELLS, ["row"])
+    half = REST_CELLS // 2  # linked rows first and by group, so that they end up side by side
+    place = F.when(F.col("members") > 1, cell(half // ROW_CELLS, F.col("grp")) * ROW_CELLS + cell(ROW_CELLS, F.col("row")))
+    place = place.otherwise(half + cell(half, F.col("row")))
+    rest, _ = rank_by_cells(store(rest, "rest"), place, REST_CELLS, REST_CELLS, ["grp", "row"])
     free = longs([0, *accumulate(q - k for q, k in zip(quota, kept, strict=True))][:-1])
     shard = F.size(F.filter(free, lambda start: start <= F.col("rank"))) - 1
     rest = rest.withColumn("shard", shard).withColumn("rank", F.col("rank") - F.get(free, "shard") + F.get(longs(kept), "shard"))
