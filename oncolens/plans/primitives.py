@@ -354,8 +354,9 @@ def w04_group_min_max(load: Load) -> DataFrame:
 
 
 def w05_all_equal(load: Load) -> DataFrame:
-    equal = w04_group_min_max(load).withColumn("all_equal", col("smallest") == col("largest"))
-    return equal.groupBy("all_equal").agg(F.count("*").alias("n"))
+    spans = [F.min("test_result").alias("smallest"), F.max("test_result").alias("largest"), F.count("*").alias("rows")]
+    groups = _clinical(load).groupBy(*her2.SAME_DAY).agg(*spans)
+    return groups.groupBy((col("smallest") == col("largest")).alias("all_equal")).agg(F.sum("rows").alias("n"))
 
 
 def w06_any_conflict(load: Load) -> DataFrame:

@@ -172,14 +172,20 @@ REPORTS: dict[str, Callable[[Load], DataFrame]] = {
     "q_h13_labelled_genetic": _n(partial(pipelines.labelled_merged, source="genetic")),
     "q_h14_labelled_counts": lambda load: reports.labelled_counts(pipelines.labelled_merged(load)),
     "q_h14_labelled_counts_current": lambda load: reports.labelled_counts(pipelines.labelled_merged(load, "current")),
-    "q_h15_conflict_rows": lambda load: reports.conflict_rows(pipelines.labelled(load)),
+    "q_h15_conflict_rows": lambda load: reports.sorted_by(
+        reports.conflict_rows(pipelines.labelled(load)), "patient_id", "test_date"
+    ),
     "q_h16_nearest_negative": _n(pipelines.nearest_fish, _ihc_negative),
     "q_h16_nearest_negative_current": _n(partial(pipelines.nearest_fish, source="current"), _ihc_negative),
     "q_h16_combined_negative": _n(pipelines.receptor_tests, _her2_negative_rows),
     "q_h16_combined_negative_current": _n(partial(pipelines.receptor_tests, source="current"), _her2_negative_rows),
-    "q_h17_labelled": lambda load: reports.ruleset_diff(
-        pipelines.labelled(load).where(_any_stained()),
-        pipelines.labelled_merged(load, "current").where(reports.stained_negative()),
+    "q_h17_labelled": lambda load: reports.sorted_by(
+        reports.ruleset_diff(
+            pipelines.labelled(load).where(_any_stained()),
+            pipelines.labelled_merged(load, "current").where(reports.stained_negative()),
+        ),
+        "patient_id",
+        "test_date",
     ),
     "q_h17_nearest": _diff(pipelines.nearest_fish, "revised", "current", _ihc_negative, _ihc_negative),
     "q_h17_combined": _diff(

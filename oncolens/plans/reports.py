@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oncolens.functions import vocab
 from oncolens.functions.columns import any_like, one_of
-from oncolens.operators.grouping import count_patients, keys_in, keys_not_in
+from oncolens.operators.grouping import count_patients, keys_in, keys_not_in, repeat_rows
 
 STAINED = ("IHC", "FISH")
 
@@ -105,12 +105,15 @@ def her2_result(result: str) -> Column:
 
 # --- listings -------------------------------------------------------------
 def sorted_by(df: DataFrame, *columns: str) -> DataFrame:
-    """Sorted by ``columns``, ties in no particular order.
+    """Sorted by ``columns``, ties by all other columns, so that the order is the same each time.
 
-    The sort is by value ranges; the tie-breaker lets a hot value, or a pile of equal
-    rows, be cut into several ranges.
+    The sort is by value ranges, which the other columns let cut a hot value. Equal rows
+    are merged first and written out again after the sort, as a pile of them cannot be cut.
     """
-    return df.orderBy(*[F.col(c).asc_nulls_last() for c in columns], F.rand(0))
+    rest = [c for c in df.columns if c not in columns]
+    merged = df.groupBy(*df.columns).agg(F.count("*").alias("sorted_copies"))
+    ordered = merged.orderBy(*[F.col(c).asc_nulls_last() for c in [*columns, *rest]])
+    return repeat_rows(ordered, "sorted_copies").select(*df.columns)
 
 
 def preview(df: DataFrame, n: int = 50) -> DataFrame:

@@ -187,7 +187,6 @@ VIEWS: dict[str, View] = {
             "test_result_2_numeric": pick("l_partkey % 6", "0", "1", "2.0", "2", "3", None),
             "test_result_2_unit": pick("l_partkey % 3", "ERBB2:CEP17", "percent", None),
         },
-        where="o_orderkey % 8 = 0",
     ),
     "biomarker_table": View(
         ORDER_LINES,
@@ -213,7 +212,6 @@ VIEWS: dict[str, View] = {
             ),
             "report_date": DAY,
         },
-        where="o_orderkey % 6 = 0",
     ),
 }
 
