@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oncolens.functions import vocab
 from oncolens.functions.columns import first_match, matches, one_of, percent
-from oncolens.operators.grouping import dense_rank_values, join_groups, keys_in
+from oncolens.operators.grouping import dense_rank_values, join_groups
 
 RANK_KEYS = ("patient_id", "biomarker_name_name", "biomarker_variant_type_name")
 
@@ -148,15 +148,26 @@ def _patient_flags(biomarker: DataFrame, **conditions: Column) -> DataFrame:
     )
 
 
-def _variant_counts(biomarker: DataFrame, patients: DataFrame) -> DataFrame:
-    """KRAS mutants among ``patients``, counted per variant."""
-    mutants = with_variant(biomarker.where(_kras_mutant())).select("patient_id", "variant").distinct()
-    return keys_in(mutants, patients, merged=True).groupBy("variant").agg(F.count("*").alias("n"))
+def _variant_counts(biomarker: DataFrame, where: Column, **conditions: Column) -> DataFrame:
+    """KRAS mutants counted per variant, where their patients' flags say so, from a single read.
+
+    Rows are merged to (patient, variant) before the window gives each what any row of
+    its patient has.
+    """
+    any_condition = _kras_mutant()
+    for condition in conditions.values():
+        any_condition = any_condition | condition
+    rows = with_variant(biomarker.where(any_condition & F.col("patient_id").isNotNull()))
+    flags = [_flag(condition).alias(name) for name, condition in conditions.items()]
+    merged = rows.groupBy("patient_id", "variant").agg(_flag(_kras_mutant()).alias("mutant"), *flags)
+    patient = Window.partitionBy("patient_id")
+    known = merged.withColumns({name: F.max(name).over(patient) for name in conditions})
+    return known.where(F.col("mutant") & where).groupBy("variant").agg(F.count("*").alias("n"))
 
 
 def kras_coamplified_by_variant(biomarker: DataFrame) -> DataFrame:
     """KRAS-mutant patients with any amplified RAS gene, per variant."""
-    return _variant_counts(biomarker, biomarker.where(_any_ras_amplified()))
+    return _variant_counts(biomarker, F.col("amplified"), amplified=_any_ras_amplified())
 
 
 def kras_coamplified_percent(biomarker: DataFrame) -> DataFrame:
@@ -170,8 +181,8 @@ def kras_coamplified_percent(biomarker: DataFrame) -> DataFrame:
 
 def kras_wt_amp_by_variant(biomarker: DataFrame) -> DataFrame:
     """KRAS-mutant patients tested for amplification and only ever negative, per variant."""
-    flags = _patient_flags(biomarker, negative=_kras_not_amplified(), positive=_kras_amplified())
-    return _variant_counts(biomarker, flags.where(F.col("negative") & ~F.col("positive")))
+    wild_type = F.col("negative") & ~F.col("positive")
+    return _variant_counts(biomarker, wild_type, negative=_kras_not_amplified(), positive=_kras_amplified())
 
 
 def kras_wt_amp_percent(biomarker: DataFrame) -> DataFrame:

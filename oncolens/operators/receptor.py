@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oncolens.functions import vocab
 from oncolens.functions.columns import drop_plus, first_match, one_of
-from oncolens.operators.grouping import drop_conflicting_groups, left_join_many
+from oncolens.operators.grouping import drop_conflicting_groups
 from oncolens.operators.her2 import SAME_DAY, method_mentions
 from oncolens.operators.nearest import keep_nearest, rank_by_distance
 from oncolens.operators.windowed import receptor_diagnoses, receptor_rules
@@ -197,6 +197,10 @@ def receptor_wide(nearest: DataFrame) -> DataFrame:
 
 
 def enrich_cohort(pts: DataFrame, cdx: DataFrame, mdx: DataFrame, since: str) -> DataFrame:
-    """Patients with onset on or after ``since`` and whatever the two side tables hold."""
+    """Patients with onset on or after ``since`` and whatever the two side tables hold.
+
+    The side tables describe patients, a row each; many rows of one patient are repeated
+    but not split (``left_join_many`` does that, at twice the plan).
+    """
     recent = pts.where(F.col("met_date") >= F.lit(since).cast("date"))
-    return left_join_many(left_join_many(recent, cdx), mdx)
+    return recent.join(cdx, "patient_id", "left").join(mdx, "patient_id", "left")
