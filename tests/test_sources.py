@@ -84,7 +84,7 @@ def test_text_patient_keys_work_through_the_pipeline(spark, folder):
         return df.withColumn("patient_id", df.patient_id.cast("string")) if "patient_id" in df.columns else df
 
     assert pipelines.receptor_status(load).count() == 74
-    assert pipelines.ras_secondary_percent(load).first().percent_secondary == pytest.approx(68.37, abs=0.01)
+    assert pipelines.ras_secondary_percent(load).first().percent_secondary == pytest.approx(99.33, abs=0.01)
 
 
 def test_stages(spark):
