@@ -37,15 +37,15 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A cut text is its kept words joined by spaces, n_chars its new length. Documents of
     which nothing is left go.
     """
-    docs = documents(docs).withColumn("whole", F.col("text"))
-    found = block_anchors.remove_repeats(docs, keep=("whole", "lang", "source", "n_chars"), window=13)
-    cut = F.col("n_removed") > 0
+    found = block_anchors.remove_repeats(
+        documents(docs), keep=("lang", "source", "n_chars"), window=13, untouched=True
+    )
     return found.where("n_removed = 0 OR n_removed < n_words").select(
         "doc_id",
-        F.when(cut, F.col("kept_text")).otherwise(F.col("whole")).alias("text"),
+        F.col("kept_text").alias("text"),
         "lang",
         "source",
-        F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"),
+        F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"),
     )
 
 

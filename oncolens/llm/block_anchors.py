@@ -263,6 +263,7 @@ def remove_repeats(
     window: int = 13,
     chunk_bytes: int = 8 << 20,
     part_bytes: int = 20 << 20,
+    untouched: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, the columns ``keep``, n_words, n_removed, removed spans, kept_text.
 
@@ -270,7 +271,8 @@ def remove_repeats(
     ``window`` words that covers it also starts in a document with a smaller id. Ids are
     whole numbers; a null id counts as larger than all. Rows that repeat an id are one
     document to this rule and keep what only they share. A null text is empty; kept words
-    are joined by one space; an empty table gives no rows. ``keep`` must not hold
+    are joined by one space, but with ``untouched`` a text that loses nothing comes back as
+    it was, a null as null; an empty table gives no rows. ``keep`` must not hold
     ``id_column`` or ``text_column``.
 
     ``chunk_bytes`` and ``part_bytes`` bound a task's share of text and of hash space.
@@ -312,6 +314,10 @@ def remove_repeats(
         says = np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(b, np.uint8) for b in told.column("says").to_pylist()]])
         order = np.argsort(keys, kind="stable")
         found = list(results(chunk, covered_words(chunk, keys[order], says[order], window)))
+        kept = [f[4] for f in found]
+        if untouched:
+            given = rows.column("text").to_pylist()
+            kept = [k if f[1] else t for f, k, t in zip(found, kept, given, strict=True)]
         spans = [[{"start": s, "length": n} for s, n in zip(f[2], f[3], strict=True)] for f in found]
         return pa.table(
             {
@@ -320,7 +326,7 @@ def remove_repeats(
                 "n_words": pa.array([f[0] for f in found], longs),
                 "n_removed": pa.array([f[1] for f in found], longs),
                 "removed": pa.array(spans, span),
-                "kept_text": pa.array([f[4] for f in found], pa.string()),
+                "kept_text": pa.array(kept, pa.string()),
             }
         )
 
