@@ -41,47 +41,57 @@ def merge_copies(rows: DataFrame, *columns: str) -> DataFrame:
 def by_patient(merged: DataFrame) -> DataFrame:
     """Place all rows of a patient together, once, for the patient-wise steps that follow.
 
-    Only for merged rows: what is left of a patient is then bounded by calendar days
-    times the vocabulary, however many copies there were. Windows and groupings by
+    Only for rows merged to (patient, day, method, result): neither copies nor test names
+    or numbers, which are free text, make a patient larger. Windows and groupings by
     patient_id and anything else need no further shuffle.
     """
     return merged.repartition("patient_id")
 
 
-def flag_groups(
-    rows: DataFrame,
-    keys: Sequence[str],
-    spans: dict[str, str],
-    flags: Callable[[dict[str, Column], dict[str, Column]], dict[str, Column]],
-    merged: bool = False,
+Flags = Callable[[dict[str, Column], dict[str, Column]], dict[str, Column]]
+
+
+def judge_groups(
+    rows: DataFrame, keys: Sequence[str], spans: dict[str, str], flags: Flags, **aggregates: Column
 ) -> DataFrame:
-    """Rows with boolean columns that judge their whole group.
+    """One row per group with boolean columns that judge it, and further aggregates.
 
     ``spans`` names the columns whose group-wide smallest and largest values ``flags``
-    receives. Merged rows have small groups, so a window does it in place. Otherwise
-    groups are judged in an aggregate and only the flagged ones are joined back.
+    receives; they stay as ``min_`` and ``max_`` columns.
     """
-    if merged:
-        group = Window.partitionBy(*keys)
-        low = {name: F.min(column).over(group) for name, column in spans.items()}
-        high = {name: F.max(column).over(group) for name, column in spans.items()}
-        return rows.withColumns({n: F.coalesce(c, F.lit(False)) for n, c in flags(low, high).items()})
     ends = [F.min(column).alias(f"min_{name}") for name, column in spans.items()]
     ends += [F.max(column).alias(f"max_{name}") for name, column in spans.items()]
     wanted = flags({n: F.col(f"min_{n}") for n in spans}, {n: F.col(f"max_{n}") for n in spans})
-    judged = rows.groupBy(*keys).agg(*ends).select(*keys, *[c.alias(n) for n, c in wanted.items()])
-    flagged = judged.where(any_of(F.col(n) for n in wanted))
+    groups = rows.groupBy(*keys).agg(*ends, *[a.alias(n) for n, a in aggregates.items()])
+    return groups.withColumns({n: F.coalesce(c, F.lit(False)) for n, c in wanted.items()})
+
+
+def flag_groups(rows: DataFrame, keys: Sequence[str], spans: dict[str, str], flags: Flags) -> DataFrame:
+    """Rows with boolean columns that judge their whole group, as in ``judge_groups``.
+
+    Only the flagged groups are joined back.
+    """
+    judged = judge_groups(rows, keys, spans, flags)
+    wanted = [c for c in judged.columns if c not in keys and not c.startswith(("min_", "max_"))]
+    flagged = judged.where(any_of(F.col(n) for n in wanted)).select(*keys, *wanted)
     joined = join_groups(rows, flagged, keys, "left")
     return joined.withColumns({n: F.coalesce(F.col(n), F.lit(False)) for n in wanted})
 
 
-def drop_conflicting_groups(rows: DataFrame, keys: Sequence[str], value: str, merged: bool = False) -> DataFrame:
+def _disagree(low: dict[str, Column], high: dict[str, Column]) -> dict[str, Column]:
+    return {"conflicts": low["value"] != high["value"]}
+
+
+def drop_conflicting_groups(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Drop whole groups in which ``value`` takes two or more non-null values."""
+    conflicting = judge_groups(rows, keys, {"value": value}, _disagree).where("conflicts").select(*keys)
+    return join_groups(rows, conflicting, keys, "left_anti")
 
-    def conflicts(low, high):
-        return {"conflicts": low["value"] != high["value"]}
 
-    return flag_groups(rows, keys, {"value": value}, conflicts, merged).where(~F.col("conflicts")).drop("conflicts")
+def agreeing_groups(rows: DataFrame, keys: Sequence[str], value: str, **aggregates: Column) -> DataFrame:
+    """The groups ``drop_conflicting_groups`` keeps, a row each, with their one value in ``value``."""
+    judged = judge_groups(rows, keys, {"value": value}, _disagree, **aggregates).where(~F.col("conflicts"))
+    return judged.select(*keys, F.col("min_value").alias(value), *aggregates)
 
 
 def dense_rank_values(rows: DataFrame, keys: Sequence[str], value: str, rank: str) -> DataFrame:

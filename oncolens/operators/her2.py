@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oncolens.functions import vocab
 from oncolens.functions.columns import all_of, any_like, day_diff, drop_plus, ends_with_plus, first_match, one_of
-from oncolens.operators.grouping import by_patient, flag_groups, merge_copies
+from oncolens.operators.grouping import Flags, by_patient, flag_groups, judge_groups, merge_copies
 from oncolens.operators.nearest import match_nearest
 from oncolens.operators.windowed import her2_test_filter
 
@@ -70,13 +70,10 @@ def clean_numeric(tests: DataFrame) -> DataFrame:
     return tests.withColumn("test_value_numeric_cleaned", cleaned)
 
 
-def same_day_indicator(tests: DataFrame, ruleset: str = "revised", merged: bool = False) -> DataFrame:
-    """Adds sameday_ind: change, conflicting or none for tests repeated on one day.
+SAME_DAY_SPANS = {"name": "test_value_name", "result": "test_result", "number": "test_value_numeric_cleaned"}
 
-    ``change`` marks one value name, results within {low, Negative}, and scores that
-    are missing or '1' with both present. (The mirrored score test, smallest '1' and
-    largest the sentinel, cannot hold: the sentinel sorts first.)
-    """
+
+def _same_day_flags(ruleset: str) -> Flags:
     settled = (vocab.RULESETS[ruleset].low, "Negative")
 
     def judge(low, high):
@@ -85,15 +82,27 @@ def same_day_indicator(tests: DataFrame, ruleset: str = "revised", merged: bool
         missing_or_one = (low["number"] == vocab.NUMERIC_MISSING) & (high["number"] == "1")
         return {"may_change": one_name & all_settled & missing_or_one, "conflicts": low["result"] != high["result"]}
 
-    spans = {"name": "test_value_name", "result": "test_result", "number": "test_value_numeric_cleaned"}
+    return judge
+
+
+def _with_indicator(judged: DataFrame) -> DataFrame:
     indicator = first_match(
         [((F.col("test_method") == "IHC") & F.col("may_change"), "change"), (F.col("conflicts"), "conflicting")],
         otherwise="none",
     )
-    judged = flag_groups(tests, SAME_DAY, spans, judge, merged)
     return judged.withColumn("sameday_ind", indicator).drop("may_change", "conflicts")
 
 
+def same_day_indicator(tests: DataFrame, ruleset: str = "revised") -> DataFrame:
+    """Adds sameday_ind: change, conflicting or none for tests repeated on one day.
+
+    ``change`` marks one value name, results within {low, Negative}, and scores that
+    are missing or '1' with both present. (The mirrored score test, smallest '1' and
+    largest the sentinel, cannot hold: the sentinel sorts first.)
+    """
+    return _with_indicator(flag_groups(tests, SAME_DAY, SAME_DAY_SPANS, _same_day_flags(ruleset)))
+
+
 def apply_change(tests: DataFrame, ruleset: str = "revised") -> DataFrame:
     """Rows marked change become the ruleset's low result; both columns see old values."""
     changed = F.col("sameday_ind") == "change"
@@ -105,15 +114,15 @@ def apply_change(tests: DataFrame, ruleset: str = "revised") -> DataFrame:
     )
 
 
+def _cleaned(tests: DataFrame, ruleset: str, ihc_patterns: Sequence[str]) -> DataFrame:
+    return clean_numeric(clean_result(label_method(tests, ihc_patterns), ruleset))
+
+
 def label_tests(
-    tests: DataFrame,
-    ruleset: str = "revised",
-    ihc_patterns: Sequence[str] = vocab.IHC_PATTERNS,
-    merged: bool = False,
+    tests: DataFrame, ruleset: str = "revised", ihc_patterns: Sequence[str] = vocab.IHC_PATTERNS
 ) -> DataFrame:
     """Every labelling step on tests already selected; other columns pass through."""
-    labelled = clean_numeric(clean_result(label_method(tests, ihc_patterns), ruleset))
-    return apply_change(same_day_indicator(labelled, ruleset, merged), ruleset)
+    return apply_change(same_day_indicator(_cleaned(tests, ruleset, ihc_patterns), ruleset), ruleset)
 
 
 def bound_numeric(tests: DataFrame) -> DataFrame:
@@ -143,11 +152,57 @@ def label_merged(
     """The labels of ``label_tests`` on merged rows, for analyses that do not list tests.
 
     Only the columns the labels depend on are kept, unlisted numbers are bounded, copies
-    are merged before the first patient-wise step, and ``n_rows`` says how many tests a
-    row stands for.
+    are merged first, and ``n_rows`` says how many tests a row stands for. No step places
+    a patient's rows together.
     """
     merged = merge_copies(bound_numeric(tests), *SAME_DAY, "test_value_name", "test_value_numeric")
-    return label_tests(by_patient(merged), ruleset, ihc_patterns, merged=True)
+    return label_tests(merged, ruleset, ihc_patterns)
+
+
+MATCHED_BY = ("patient_id", "test_date", "test_method", "test_result")
+
+
+def _clean_score() -> Column:
+    method, numeric = F.col("test_method"), F.col("test_value_numeric")
+    return ((method == "IHC") & (numeric.isNull() | one_of("test_value_numeric", vocab.IHC_SCORES))) | (
+        (method == "FISH") & (numeric.isNull() | one_of("test_value_numeric", vocab.FISH_SCORES))
+    )
+
+
+def settled_tests(
+    tests: DataFrame, ruleset: str = "revised", ihc_patterns: Sequence[str] = vocab.IHC_PATTERNS
+) -> DataFrame:
+    """The tests that take part in FISH matching, merged to MATCHED_BY with ``n_rows``.
+
+    Equal to the rows of ``label_tests`` without a same-day flag and with a clean score.
+    What a group of a day, name and method holds once it does not conflict is one result
+    and missing ones, so an aggregate that combines map-side is the whole judgement and
+    no test is joined back or sorted.
+    """
+    cleaned = _cleaned(tests, ruleset, ihc_patterns).where(one_of("test_method", ("IHC", "FISH")))
+    clean, missing = _clean_score(), F.col("test_result").isNull()
+    judged = judge_groups(
+        cleaned,
+        (*SAME_DAY, "test_method"),
+        SAME_DAY_SPANS,
+        _same_day_flags(ruleset),
+        n_named=F.count_if(clean & ~missing),
+        n_missing=F.count_if(clean & missing),
+    )
+    named, unnamed = F.col("n_named"), F.col("n_missing")
+    as_found = F.array(
+        F.struct(F.col("min_result").alias("test_result"), named.alias("n_rows")),
+        F.struct(F.lit(None).cast("string").alias("test_result"), unnamed.alias("n_rows")),
+    )
+    changed = F.array(F.struct(F.lit(vocab.RULESETS[ruleset].low).alias("test_result"), (named + unnamed).alias("n_rows")))
+    return merge_copies(
+        _with_indicator(judged)
+        .where(F.col("sameday_ind") != "conflicting")
+        .withColumn("readings", F.when(F.col("sameday_ind") == "change", changed).otherwise(as_found))
+        .select("patient_id", "test_date", "test_method", F.inline("readings"))
+        .where("n_rows > 0"),
+        *MATCHED_BY,
+    )
 
 
 def her2_label(patient_test: DataFrame, ruleset: str = "revised") -> DataFrame:
@@ -200,21 +255,24 @@ def nearest_fish_for_ihc(labelled: DataFrame, window_days: tuple[int, int] | Non
     """Each dated IHC test with the FISH test(s) nearest to it, before or after.
 
     Takes labelled rows or merged ones. Tests with a same-day flag or an unclean score
-    take no part. Ties are kept; undated FISH counts only for patients without a dated
-    one; an IHC test of a patient without FISH stays with empty FISH columns.
+    take no part; the rest is ``match_settled``.
+    """
+    usable = labelled.where(_clean_score() & (F.col("sameday_ind") == "none"))
+    return match_settled(merge_copies(usable, *MATCHED_BY), window_days)
+
+
+def match_settled(settled: DataFrame, window_days: tuple[int, int] | None = None) -> DataFrame:
+    """The matching itself, on distinct MATCHED_BY rows with ``n_rows``.
+
+    Ties are kept; undated FISH counts only for patients without a dated one; an IHC test
+    of a patient without FISH stays with empty FISH columns.
 
     Copies of a test would multiply with copies of its match, so equal result rows
     come once with their number in ``n_rows``; ``repeat_rows`` writes them out.
     """
-    method, numeric = F.col("test_method"), F.col("test_value_numeric")
-    clean = ((method == "IHC") & (numeric.isNull() | one_of("test_value_numeric", vocab.IHC_SCORES))) | (
-        (method == "FISH") & (numeric.isNull() | one_of("test_value_numeric", vocab.FISH_SCORES))
-    )
-    usable = labelled.where(clean & (F.col("sameday_ind") == "none"))
-    tests = merge_copies(usable, "patient_id", "test_date", "test_method", "test_result")
-    value = F.struct("test_result", "n_rows")
+    method, value = F.col("test_method"), F.struct("test_result", "n_rows")
     # One entry per distinct result of a patient's day.
-    days = tests.groupBy("patient_id", F.col("test_date").alias("day")).agg(
+    days = by_patient(settled).groupBy("patient_id", F.col("test_date").alias("day")).agg(
         *[F.collect_list(F.when(method == kind, value)).alias(kind.lower()) for kind in ("IHC", "FISH")]
     )
     out = match_nearest(days, "ihc", "fish").select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oncolens.functions import vocab
 from oncolens.functions.columns import drop_plus, first_match, one_of
-from oncolens.operators.grouping import drop_conflicting_groups
+from oncolens.operators.grouping import agreeing_groups, drop_conflicting_groups
 from oncolens.operators.her2 import SAME_DAY, method_mentions
 from oncolens.operators.nearest import keep_nearest, rank_by_distance
 from oncolens.operators.windowed import receptor_diagnoses, receptor_rules
@@ -65,11 +65,11 @@ def _with_columns_of(df: DataFrame, like: DataFrame, columns: Sequence[str]) ->
 
 
 def er_pr_label(
-    patient_test: DataFrame, condition: DataFrame, columns: Sequence[str] = LABEL_COLUMNS
+    patient_test: DataFrame, condition: DataFrame, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Distinct labelled ER/PR tests, with receptor diagnoses as ER results by IHC.
 
-    ``columns`` narrows the rows before copies are merged.
+    ``columns`` narrows the rows and leaves copies to the caller.
     """
     tests = _clean_receptor_result(_receptor_rows(patient_test)).withColumn(
         "test_method", F.when(method_mentions(vocab.IHC_PATTERNS), "IHC").otherwise("Not Specified")
@@ -81,7 +81,9 @@ def er_pr_label(
         F.lit("IHC").alias("test_method"),
         _diagnosis_result().alias("test_result"),
     )
-    return tests.select(*columns).union(_with_columns_of(diagnoses, tests, columns)).distinct()
+    chosen = columns or LABEL_COLUMNS
+    rows = tests.select(*chosen).union(_with_columns_of(diagnoses, tests, chosen))
+    return rows if columns else rows.distinct()
 
 
 def er_pr_label_with_genetic(
@@ -124,18 +126,32 @@ def er_pr_label_with_genetic(
     patterns = IHC_PATTERNS_FIXED if fix_ihc_label else vocab.IHC_PATTERNS
     method = F.when(method_mentions(patterns), "IHC").otherwise(vocab.OTHER_METHOD)
     if columns:
-        return _clean_receptor_result(rows).withColumn("test_method", method).select(*columns).distinct()
+        return _clean_receptor_result(rows).withColumn("test_method", method).select(*columns)
     return _clean_receptor_result(rows.distinct()).withColumn("test_method", method)
 
 
-def drop_same_day_conflicts(er_pr: DataFrame, merged: bool = False) -> DataFrame:
+def drop_same_day_conflicts(er_pr: DataFrame) -> DataFrame:
     """Without the tests whose results disagree within a patient's day, name and method."""
-    return drop_conflicting_groups(er_pr, SAME_DAY, "test_result", merged)
+    return drop_conflicting_groups(er_pr, SAME_DAY, "test_result")
 
 
-def receptor_tests(er_pr: DataFrame, nearest: DataFrame) -> DataFrame:
-    """Distinct ER/PR and HER2 results in one shape; the IHC and FISH halves of each
-    matched pair are unfolded from a single read."""
+def settled_receptors(er_pr: DataFrame) -> DataFrame:
+    """Distinct RECEPTOR_COLUMNS of ``drop_same_day_conflicts``, copies allowed in the input.
+
+    A group that agrees holds one result and missing ones, under a few pairs of biomarker
+    and method; one aggregate that combines map-side gives them.
+    """
+    label = F.struct("biomarker", "test_method", F.col("test_result").isNull().alias("missing"))
+    groups = agreeing_groups(er_pr, SAME_DAY, "test_result", labels=F.collect_set(label))
+    labels = groups.select("patient_id", "test_date", "test_result", F.inline("labels"))
+    return labels.withColumn("test_result", F.when(~F.col("missing"), F.col("test_result"))).select(
+        *RECEPTOR_COLUMNS
+    ).distinct()
+
+
+def her2_results(nearest: DataFrame) -> DataFrame:
+    """HER2 results, one row per test: the IHC and FISH halves of each matched pair are
+    unfolded from a single read."""
     halves = F.array(
         *[
             F.struct(
@@ -147,8 +163,12 @@ def receptor_tests(er_pr: DataFrame, nearest: DataFrame) -> DataFrame:
             for kind in ("ihc", "fish")
         ]
     )
-    her2 = nearest.select("patient_id", F.inline(halves))
-    return er_pr.select(*RECEPTOR_COLUMNS).union(her2.select(*RECEPTOR_COLUMNS)).distinct()
+    return nearest.select("patient_id", F.inline(halves)).select(*RECEPTOR_COLUMNS)
+
+
+def receptor_tests(er_pr: DataFrame, nearest: DataFrame) -> DataFrame:
+    """Distinct ER/PR and HER2 results in one shape."""
+    return er_pr.select(*RECEPTOR_COLUMNS).union(her2_results(nearest)).distinct()
 
 
 def ranked_by_onset(tests: DataFrame, onset: DataFrame) -> DataFrame:

@@ -79,7 +79,10 @@ def labelled_merged(load: Load, source: str = "revised") -> DataFrame:
 
 
 def nearest_fish(load: Load, source: str = "revised") -> DataFrame:
-    return her2.nearest_fish_for_ihc(labelled_merged(load, source))
+    if source == "genetic":
+        tests = her2.her2_tests_with_genetic(load("patient_test"), load("genetic_test"))
+        return her2.match_settled(her2.settled_tests(tests, "revised", vocab.IHC_PATTERNS_GENETIC))
+    return her2.match_settled(her2.settled_tests(windowed.her2_test_filter(load("patient_test")), source))
 
 
 def er_pr_labelled(load: Load, source: str = "revised", columns: Sequence[str] | None = None) -> DataFrame:
@@ -92,9 +95,13 @@ def er_pr_labelled(load: Load, source: str = "revised", columns: Sequence[str] |
 
 
 def receptor_tests(load: Load, source: str = "revised") -> DataFrame:
-    er_pr = by_patient(er_pr_labelled(load, source, receptor.CONFLICT_COLUMNS))
-    settled = receptor.drop_same_day_conflicts(er_pr, merged=True)
-    return receptor.receptor_tests(settled, nearest_fish(load, source))
+    settled = receptor.settled_receptors(er_pr_labelled(load, source, receptor.CONFLICT_COLUMNS))
+    return receptor.receptor_tests(by_patient(settled), nearest_fish(load, source))
+
+
+def her2_results(load: Load, source: str = "revised") -> DataFrame:
+    """The HER2 rows of ``receptor_tests``, without the work on ER and PR."""
+    return receptor.her2_results(nearest_fish(load, source)).distinct()
 
 
 def nearest_to_onset(load: Load, source: str = "revised") -> DataFrame:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache, partial
+from functools import cache, partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oncolens.functions import vocab
@@ -15,7 +15,8 @@ from oncolens.operators.grouping import count_patients
 from oncolens.plans import pipelines, reports
 from oncolens.plans.pipelines import Load
 from oncolens.plans.primitives import PRIMITIVES, side_tables
-from oncolens.sources.fixtures import view
+from oncolens.sources.fixtures import delivered, view
+from oncolens.sources.tables import conform, store_stage
 
 # The fixture dates run from 1995 to 2001.
 YEARS = (1996, 1999)
@@ -116,17 +117,13 @@ for _source in pipelines.SOURCES:
 
 
 # --- reports --------------------------------------------------------------
-def _n(stage: Callable[[Load], DataFrame], condition=None) -> Callable[[Load], DataFrame]:
+def _n(stage: Callable[[Load], DataFrame], condition: Callable[[], Column] | None = None) -> Callable[[Load], DataFrame]:
     """Distinct patients of a stage, or of its rows meeting ``condition()``."""
+    return lambda load: _count(condition)(stage(load))
 
-    def run(load: Load) -> DataFrame:
-        return count_patients(stage(load), n=F.lit(True) if condition is None else condition())
 
-    return run
-
-
-def _wide(source: str) -> Callable[[Load], DataFrame]:
-    return partial(pipelines.receptor_status, source=source)
+def _count(condition: Callable[[], Column] | None = None) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: count_patients(df, n=F.lit(True) if condition is None else condition())
 
 
 def _hr_positive_strict():
@@ -157,28 +154,16 @@ REPORTS: dict[str, Callable[[Load], DataFrame]] = {
     "n_no_second_primary": _n(lambda load: pipelines.no_second_primary(load, *YEARS)),
     "n_her2_in_window": _n(lambda load: pipelines.her2_in_window(load, *YEARS)),
     "n_both_in_window": _n(lambda load: pipelines.both_in_window(load, *YEARS)),
-    "receptor_report": lambda load: reports.receptor_report(pipelines.receptor_status(load)),
-    "receptor_report_genetic": lambda load: reports.receptor_report(pipelines.receptor_status(load, "genetic")),
-    # The current rules have their own names for the low results.
-    "receptor_report_current": lambda load: reports.receptor_report(
-        pipelines.receptor_status(load, "current"), borderline=("Low2+",), low=("Low1+", "Low2+")
-    ),
-    "q_h11_strict_negative": _n(_wide("revised"), _hr_positive_strict),
-    "q_h11_strict_negative_current": _n(_wide("current"), _hr_positive_strict),
-    "q_h12_any_her2": _n(_wide("revised"), reports.any_her2),
-    "q_h12_any_her2_current": _n(_wide("current"), reports.any_her2),
-    "q_h13_wide": _n(_wide("revised")),
-    "q_h13_wide_current": _n(_wide("current")),
     "q_h13_labelled_genetic": _n(partial(pipelines.labelled_merged, source="genetic")),
     "q_h14_labelled_counts": lambda load: reports.labelled_counts(pipelines.labelled_merged(load)),
     "q_h14_labelled_counts_current": lambda load: reports.labelled_counts(pipelines.labelled_merged(load, "current")),
     "q_h15_conflict_rows": lambda load: reports.sorted_by(
-        reports.conflict_rows(pipelines.labelled(load)), "patient_id", "test_date"
+        reports.conflict_rows(pipelines.labelled(load), pipelines.labelled_merged(load)), "patient_id", "test_date"
     ),
     "q_h16_nearest_negative": _n(pipelines.nearest_fish, _ihc_negative),
     "q_h16_nearest_negative_current": _n(partial(pipelines.nearest_fish, source="current"), _ihc_negative),
-    "q_h16_combined_negative": _n(pipelines.receptor_tests, _her2_negative_rows),
-    "q_h16_combined_negative_current": _n(partial(pipelines.receptor_tests, source="current"), _her2_negative_rows),
+    "q_h16_combined_negative": _n(pipelines.her2_results, _her2_negative_rows),
+    "q_h16_combined_negative_current": _n(partial(pipelines.her2_results, source="current"), _her2_negative_rows),
     "q_h17_labelled": lambda load: reports.sorted_by(
         reports.ruleset_diff(
             pipelines.labelled(load).where(_any_stained()),
@@ -189,7 +174,7 @@ REPORTS: dict[str, Callable[[Load], DataFrame]] = {
     ),
     "q_h17_nearest": _diff(pipelines.nearest_fish, "revised", "current", _ihc_negative, _ihc_negative),
     "q_h17_combined": _diff(
-        pipelines.receptor_tests, "revised", "current", _her2_negative_rows, _her2_negative_rows
+        pipelines.her2_results, "revised", "current", _her2_negative_rows, _her2_negative_rows
     ),
     "q_h17_wide": _diff(
         pipelines.receptor_status, "current", "revised", _hr_positive_strict, _hr_positive_strict
@@ -202,8 +187,6 @@ REPORTS: dict[str, Callable[[Load], DataFrame]] = {
     ),
     "q_h18_combined_preview": lambda load: reports.preview(pipelines.receptor_tests(load)),
     "q_h18_nearest_sorted": lambda load: reports.sorted_by(pipelines.nearest_to_onset(load), "datediffer"),
-    "q_h18_wide_preview": lambda load: reports.preview(pipelines.receptor_status(load)),
-    "q_h18_wide_preview_genetic": lambda load: reports.preview(pipelines.receptor_status(load, "genetic")),
     "q_g1_preview": lambda load: reports.preview(load("genetic_test")),
     "q_g1_erbb2_preview": lambda load: reports.preview(reports.erbb2(load("genetic_test"))),
     "q_g2_patients_by_type": lambda load: reports.patients_by(load("genetic_test"), "biomarker_test_type"),
@@ -249,12 +232,61 @@ RECEPTOR_GROUPS = (
     "hr_pos_her2_negative",
     "triple_negative",
 )
-for _i, _group in enumerate(RECEPTOR_GROUPS, start=1):
-    for _source in ("revised", "genetic"):
-        _suffix = "" if _source == "revised" else "_genetic"
-        REPORTS[f"q_h{_i:02d}_{_group}{_suffix}"] = _n(
-            _wide(_source), lambda group=_group: reports.receptor_conditions()[group]
-        )
+# All that is asked of the wide table, by source.
+_PREVIEW = {"q_h18_wide_preview": reports.preview}
+_GROUPS = {
+    f"q_h{i:02d}_{group}": _count(lambda group=group: reports.receptor_conditions()[group])
+    for i, group in enumerate(RECEPTOR_GROUPS, start=1)
+}
+_COUNTS = {
+    "q_h11_strict_negative": _count(_hr_positive_strict),
+    "q_h12_any_her2": _count(reports.any_her2),
+    "q_h13_wide": _count(),
+}
+# The current rules have their own names for the low results.
+_LOW_CURRENT = {"borderline": ("Low2+",), "low": ("Low1+", "Low2+")}
+WIDE_REPORTS: dict[str, dict[str, Callable[[DataFrame], DataFrame]]] = {
+    "revised": {"receptor_report": reports.receptor_report, **_COUNTS, **_PREVIEW, **_GROUPS},
+    "current": {
+        f"{name}_current": report
+        for name, report in {"receptor_report": partial(reports.receptor_report, **_LOW_CURRENT), **_COUNTS}.items()
+    },
+    "genetic": {
+        f"{name}_genetic": report
+        for name, report in {"receptor_report": reports.receptor_report, **_PREVIEW, **_GROUPS}.items()
+    },
+}
+for _source, _asked in WIDE_REPORTS.items():
+    for _name, _report in _asked.items():
+        REPORTS[_name] = lambda load, report=_report, source=_source: report(pipelines.receptor_status(load, source))
+
+
+def staged_reports(load: Load, source: str = "revised", shared_mount: bool = False) -> dict[str, DataFrame]:
+    """Every report on the wide table by name, all from one stored build of it."""
+    wide = store_stage(pipelines.receptor_status(load, source), f"wide-{source}", shared_mount)
+    return {name: report(wide) for name, report in WIDE_REPORTS[source].items()}
+
+
+def staged_counts(load: Load) -> DataFrame:
+    """report, n: the single counts of the revised wide table, from one stored build."""
+    counts = [
+        df.select(F.lit(name).alias("report"), "n")
+        for name, df in staged_reports(load).items()
+        if df.columns == ["n"]
+    ]
+    return reduce(DataFrame.union, counts)
+
+
+REPORTS["s07_staged_counts"] = staged_counts
+
+
+def _loaded(plan: Callable[[Load], DataFrame]) -> Callable[[Load], DataFrame]:
+    """A plan over tables that went through the checks and casts of the loading path."""
+    return lambda load: plan(lambda name: conform(delivered(load(name)), name))
+
+
+LOADED = ("metastatic_on_therapy", "receptor_wide_genetic", "ras_secondary_percent")
+REPORTS |= {f"{name}_loaded": _loaded(COMPOSITES[name]) for name in LOADED}
 
 ALL: dict[str, Callable[[Load], DataFrame]] = {**COMPOSITES, **REPORTS, **PRIMITIVES}
 

@@ -86,11 +86,11 @@ def labelled_counts(labelled: DataFrame) -> DataFrame:
     )
 
 
-def conflict_rows(labelled: DataFrame) -> DataFrame:
-    """Flagged stained rows of patients who have a flagged negative."""
+def conflict_rows(labelled: DataFrame, merged: DataFrame) -> DataFrame:
+    """Flagged stained rows of patients who have a flagged negative, found in the merged labels."""
     return keys_in(
         labelled.where(one_of("test_method", STAINED) & flagged()),
-        labelled.where((F.col("test_result") == "Negative") & flagged()),
+        merged.where((F.col("test_result") == "Negative") & flagged()),
     )
 
 

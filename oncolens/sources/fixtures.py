@@ -240,6 +240,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     )
 
 
+def delivered(df: DataFrame) -> DataFrame:
+    """A view as a release may deliver it: days as timestamps, every tenth patient's rows
+    once more without the patient, columns in another order and one too many."""
+    columns = [F.col(c).cast("timestamp").alias(c) if kind == "date" else F.col(c) for c, kind in reversed(df.dtypes)]
+    raw = df.select(*columns, F.lit("x").alias("load_note"))
+    if "patient_id" not in df.columns:
+        return raw
+    lost = raw.where(F.col("patient_id") % 10 == 0).withColumn("patient_id", F.lit(None).cast(raw.schema["patient_id"].dataType))
+    return raw.unionByName(lost)
+
+
 def view_sql(name: str) -> str:
     """The same table as a SELECT over the driver's registered tables."""
     spec = VIEWS[name]

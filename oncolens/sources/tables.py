@@ -6,6 +6,7 @@ releases can be read side by side in one job.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,16 +107,27 @@ def name_stage(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def store_stage(df: DataFrame, name: str) -> DataFrame:
+def _stage_folder(spark: SparkSession, shared_mount: bool) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if spark.sparkContext.master.startswith("local"):
+        return folder or tempfile.mkdtemp(prefix="oncolens-stages-")
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    if folder.startswith("file:") and not shared_mount:
+        raise ValueError(f"{folder} is on each machine's own disk; shared_mount=True says it is mounted on all")
+    return folder
+
+
+def store_stage(df: DataFrame, name: str, shared_mount: bool = False) -> DataFrame:
     """Write a stage that several reports read, and return it read back.
 
     It goes to the shared folder in ``spark.checkpoint.dir`` under a fresh name,
-    so a lost executor costs no recomputation and no run overwrites another.
+    so a lost executor costs no recomputation and no run overwrites another. On a
+    cluster the folder must be set and must not be a ``file:`` one, unless
+    ``shared_mount`` says that all machines mount it; a local session has a default.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    folder = _stage_folder(spark, shared_mount)
     path = f"{folder.rstrip('/')}/oncolens-{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

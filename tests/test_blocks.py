@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from oncolens.operators.grouping import (
     count_patients,
     dense_rank_values,
+    agreeing_groups,
     drop_conflicting_groups,
     group_stats,
     keys_in,
@@ -40,9 +41,13 @@ def test_group_stats_match_a_window_with_null_keys(frame):
     for (k, g, v, lo, hi), n in want.items():
         if lo == hi:
             kept[(k, g, v)] += n
-    for merged in (False, True):
-        got = drop_conflicting_groups(df, ["k", "g"], "v", merged).select("k", "g", "v").collect()
-        assert Counter(tuple(r) for r in got) == kept
+    got = drop_conflicting_groups(df, ["k", "g"], "v").select("k", "g", "v").collect()
+    assert Counter(tuple(r) for r in got) == kept
+    got = agreeing_groups(df, ["k", "g"], "v", named=F.count("v"), n=F.count("*")).collect()
+    spread = Counter()
+    for k, g, v, named, n in map(tuple, got):
+        spread += Counter({(k, g, v): named, (k, g, None): n - named})
+    assert spread == kept
 
 
 def test_dense_rank_of_distinct_values(frame):

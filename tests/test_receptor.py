@@ -91,12 +91,11 @@ CHANGE_CASES = [
 ]
 
 
-@pytest.mark.parametrize("merged", [False, True])
 @pytest.mark.parametrize("values, indicators, after", CHANGE_CASES)
-def test_same_day(table, rows_of, values, indicators, after, merged):
+def test_same_day(table, rows_of, values, indicators, after):
     df = table("patient_test", *[test(value=v, number=n) for v, n in values], test(patient=2, value="Negative"))
     df = her2.clean_numeric(her2.clean_result(her2.label_method(df)))
-    judged = her2.same_day_indicator(df, "revised", merged)
+    judged = her2.same_day_indicator(df, "revised")
     assert {i for (i,) in rows_of(judged.where("patient_id = 1"), "sameday_ind")} == indicators
     assert rows_of(judged.where("patient_id = 2"), "sameday_ind") == {("none",)}
     assert judged.count() == len(values) + 1
@@ -109,11 +108,11 @@ def test_same_day_current_rules(table, rows_of):
     assert rows_of(her2.label_tests(df, "current"), "test_result", "sameday_ind") == {("Low1+", "none")}
 
 
-@pytest.mark.parametrize("merged", [False, True])
-def test_same_day_groups_join_on_missing_keys(table, rows_of, merged):
+def test_same_day_groups_join_on_missing_keys(table, rows_of):
     rows = [test(day=None, method=None, name="immuno", value=v) for v in ("Positive", "Negative")]
-    df = her2.label_tests(table("patient_test", *rows), merged=merged)
-    assert rows_of(df, "sameday_ind") == {("conflicting",)}
+    df = table("patient_test", *rows)
+    assert rows_of(her2.label_tests(df), "sameday_ind") == {("conflicting",)}
+    assert her2.settled_tests(df).count() == 0
 
 
 def test_genetic_union_merges_copies_and_reads_both_results(table, rows_of):
@@ -155,6 +154,9 @@ def test_merged_labels_equal_row_labels_for_any_number(table, rows_of):
             got[tuple(r)[:-1]] += r.n_rows
         assert got == want
         assert len({r[-1] for r in want}) > 1
+        usable = her2.nearest_fish_for_ihc(by_row).collect()
+        settled = her2.match_settled(her2.settled_tests(tests, ruleset)).collect()
+        assert usable and Counter(usable) == Counter(settled)
         known = {n for (n,) in rows_of(merged, "test_value_numeric")}
         assert known <= {None, *vocab.KNOWN_NUMERICS, "00", "01", "1++", "9", "000-000-000"}
 
@@ -247,8 +249,7 @@ def test_genetic_er_pr_keep_the_label_gap_unless_asked(table, rows_of):
         assert rows_of(df, *columns) == {(p, b, method, r) for p, b, r in base}
 
 
-@pytest.mark.parametrize("merged", [False, True])
-def test_conflicting_receptor_groups_go_whole(frame, rows_of, merged):
+def test_conflicting_receptor_groups_go_whole(frame, rows_of):
     df = frame(
         "patient_id bigint, test_date date, test_name_name string, test_method_name string, test_result string",
         (1, "2000-01-01", None, None, "Positive"),
@@ -257,8 +258,11 @@ def test_conflicting_receptor_groups_go_whole(frame, rows_of, merged):
         (2, None, "ER", "x", "Negative"),
         (2, None, "ER", "x", None),
     )
-    kept = rows_of(receptor.drop_same_day_conflicts(df, merged), "patient_id", "test_name_name", "test_result")
+    kept = rows_of(receptor.drop_same_day_conflicts(df), "patient_id", "test_name_name", "test_result")
     assert kept == {(1, "ER", "Negative"), (2, "ER", "Negative"), (2, "ER", None)}
+    labelled = df.selectExpr("*", "'ER' AS biomarker", "'IHC' AS test_method")
+    settled = rows_of(receptor.settled_receptors(labelled), "patient_id", "test_result")
+    assert settled == {(1, "Negative"), (2, "Negative"), (2, None)}
 
 
 RECEPTOR = "patient_id bigint, biomarker string, test_result string, test_date date, test_method string"

@@ -138,3 +138,47 @@ def test_sort_cuts_a_hot_value(spark, hot_rows):
         return [r["count"] for r in ordered.groupBy(F.spark_partition_id().alias("p")).count().collect()]
 
     assert max(with_skew(spark, sizes)) < 90000 / 3
+
+
+def test_free_text_does_not_fill_a_patient(spark, tmp_path):
+    """One patient with thousands of test names and numbers a day: what is placed on the
+    patient is one row per day, method and result."""
+    rows = spark.range(0, 60000, numPartitions=6).selectExpr(
+        "CAST(7 AS BIGINT) AS patient_id", "'18474-7' AS test_name_code",
+        "date_add(DATE '1998-01-01', CAST(id % 20 AS INT)) AS test_date", "DATE '1998-01-01' AS test_collection_date",
+        "IF(id % 2 = 0, 'Immunohistochemistry', 'FISH') AS test_method_name", "concat('HER2 ', id) AS test_name_name",
+        "'Negative' AS test_value_name", "IF(id % 3 = 0, NULL, concat('', id)) AS test_value_numeric",
+        "CAST(NULL AS STRING) AS test_unit_name", "CAST(NULL AS STRING) AS genetic_test_type_name",
+        "1 AS curation_indicator",
+    )
+    rows.write.parquet(f"{tmp_path}/tests")
+    tests = spark.read.parquet(f"{tmp_path}/tests")
+    settled = her2.settled_tests(tests)
+    assert settled.count() == 20 and settled.agg(F.sum("n_rows")).first()[0] >= 20000
+    judged = her2.label_merged(tests)
+    sizes = [r["count"] for r in judged.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert max(sizes) < 60000 / 2
+
+
+def scans_of_tests(df):
+    plan = final_plan(df).split("+- == Initial Plan ==")[0]
+    return sum("FileScan" in line and "l_orderkey" in line for line in plan.splitlines())
+
+
+@pytest.mark.parametrize("name, most", [("q_h16_combined_negative", 1), ("q_h17_combined", 2), ("receptor_wide", 2)])
+def test_tests_are_scanned_as_seldom_as_can_be(spark, name, most):
+    assert 0 < scans_of_tests(registry.run(name, spark, SF)) <= most
+
+
+@pytest.mark.parametrize("source", pipelines.SOURCES)
+def test_staged_reports_equal_single_queries(spark, source):
+    def load(name):
+        return view(spark, SF, name)
+
+    staged = registry.staged_reports(load, source)
+    assert len(staged) >= 4
+    single = ("receptor_report", "q_h13_wide", "q_h18_wide_preview")
+    for name, df in staged.items():
+        assert scans_of_tests(df) == 0
+        if name.startswith(single):
+            assert df.collect() == registry.ALL[name](load).collect()

@@ -87,11 +87,25 @@ def test_text_patient_keys_work_through_the_pipeline(spark, folder):
     assert pipelines.ras_secondary_percent(load).first().percent_secondary == pytest.approx(99.33, abs=0.01)
 
 
+class FakeCluster:
+    """As much of a session on a cluster as the choice of the stage folder asks for."""
+
+    def __init__(self, folder):
+        self.conf = {"spark.checkpoint.dir": folder}
+        self.sparkContext = type("Context", (), {"master": "yarn"})
+
+
 def test_stages(spark):
     df = spark.range(5)
     tables.name_stage(df, "five")
     tables.name_stage(spark.range(7), "five")
     assert spark.table("five").count() == 7
+    with pytest.raises(ValueError, match="shared_mount"):
+        tables._stage_folder(FakeCluster("file:///tmp/x"), False)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables._stage_folder(FakeCluster(None), False)
+    assert tables._stage_folder(FakeCluster("file:///mnt/x"), True) == "file:///mnt/x"
+    assert tables._stage_folder(FakeCluster("hdfs://x/y"), False) == "hdfs://x/y"
     first, second = tables.store_stage(df, "s"), tables.store_stage(df, "s")
     assert first.inputFiles() and set(first.inputFiles()).isdisjoint(second.inputFiles())
     assert first.count() == second.count() == 5
