@@ -32,13 +32,15 @@ def split_rule(rule: str) -> tuple[str, str]:
     return host, slash + path
 
 
-def candidates(host: str, path: str, path_lengths: tuple[int, ...]) -> list[str]:
+def candidates(host: str, path: str, path_lengths: tuple[int, ...], most_labels: int) -> list[str]:
     """Every rule that could fit: each parent domain with each beginning of the path of a listed length.
 
-    Longest first; of equal lengths the longer host first. The key is the rule as written.
+    Parent domains have ``most_labels`` labels at most, as no listed host has more; so the
+    keys of a host of a million labels stay about as long as the host. Longest first; of
+    equal lengths the longer host first. The key is the rule as written.
     """
-    labels = host.split(".")
-    hosts = [".".join(labels[k:]) for k in range(len(labels))] if host else []
+    labels = host.rsplit(".", most_labels)
+    hosts = [".".join(labels[k:]) for k in range(max(0, len(labels) - most_labels), len(labels))] if host else []
     keys = [(h, path[:n]) for h in hosts if h for n in path_lengths if n <= len(path)]
     return [h + p for h, p in sorted(keys, key=lambda k: (-len(k[0]) - len(k[1]), -len(k[0])))]
 
@@ -148,12 +150,13 @@ def judge(
     if 16 * (len(allow) + len(block)) > most_bytes:
         raise ValueError(f"{len(allow) + len(block)} rules do not fit {most_bytes} bytes; judge them in several calls")
     lengths = tuple(sorted({len(split_rule(r)[1]) for r in [*allow, *block]}))
+    most_labels = max((split_rule(r)[0].count(".") + 1 for r in [*allow, *block]), default=1)
     columns = pick(pages, page_id=id_column, url=url_column)
     spark = pages.sparkSession
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = {k for u in batch.column(0).to_pylist() for k in candidates(*split_url(u), lengths)}
+            keys = {k for u in batch.column(0).to_pylist() for k in candidates(*split_url(u), lengths, most_labels)}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(keys), pa.string())], ["key"])
 
     universe = store(columns.select("url").mapInArrow(ask, "key string").distinct(), "universe")
@@ -171,7 +174,7 @@ def judge(
             for url in batch.column(1).to_pylist():
                 host, path = split_url(url)
                 rule, verdict = None, otherwise
-                for key in candidates(host, path, lengths):
+                for key in candidates(host, path, lengths, most_labels):
                     if key in blocked or key in allowed:
                         rule, verdict = key, BLOCK if key in blocked else ALLOW
                         break
