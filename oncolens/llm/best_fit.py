@@ -189,6 +189,7 @@ def pack(
     end_id: int = 2,
     with_ids: bool = False,
     cells: int = 256,
+    cell_rows: int = 1 << 18,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids].
 
@@ -199,13 +200,16 @@ def pack(
 
     The driver sees the histogram of lengths only (``capacity`` rows); the plan it sends
     back grows with ``capacity``, not with the corpus. ``ids`` are little-endian 32-bit.
+    Pieces of one length are numbered in ``cells`` cells, more if a cell of the commonest
+    length would have over ``cell_rows`` rows.
     """
-    found = pieces(pick(docs, doc_id=id_column, text=text_column), tokenizer, capacity, end_id, with_ids)
-    found = store(found.withColumn("cell", cell(cells, F.col("doc_id"), F.col("piece"), F.col("ids_crc32"))), "pieces")
+    found = store(pieces(pick(docs, doc_id=id_column, text=text_column), tokenizer, capacity, end_id, with_ids), "pieces")
     histogram = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}
     table = np.array(sorted(plan(histogram, capacity)), np.int64).reshape(-1, 5)
-    ranked = numbered(found, ["length"], ["cell"], ["doc_id", "piece", "ids_crc32", "start"], "rank").drop("cell")
-    names = [c for c in found.columns if c != "cell"]
+    cells = max(cells, -(-max(histogram.values(), default=0) // cell_rows))
+    dealt = found.withColumn("cell", cell(cells, F.col("doc_id"), F.col("piece"), F.col("ids_crc32")))
+    ranked = numbered(dealt, ["length"], ["cell"], ["doc_id", "piece", "ids_crc32", "start"], "rank")
+    names = found.columns
     schema = T.StructType(
         [*[ranked.schema[c] for c in names], *T._parse_datatype_string("sequence_id long, offset long").fields]
     )
