@@ -29,6 +29,7 @@ BLANKS[[0x20, *range(0x09, 0x0E)]] = True
 LETTER, WORD, SIDE = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 NO_ID = np.iinfo(np.int64).max  # a null id: larger than every other, and never smaller than another null
 KEY_BYTES = 6
+ROW_BYTES = 16  # of a row beside its text, so that empty texts are spread too
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -151,7 +152,6 @@ def answer_anchors(packs: pa.Table) -> pa.Table:
     chunks = packs.column("chunk").to_numpy()
     keys = [unpack(b, KEY_BYTES) for b in packs.column("keys").to_pylist()]
     flags = np.concatenate([np.frombuffer(b, np.uint8) for b in packs.column("flags").to_pylist()])
-    sent = np.repeat(np.arange(len(chunks)), [len(k) for k in keys])
     key = np.concatenate(keys)
     order = np.argsort(key, kind="stable")
     begin = runs(key[order])
@@ -162,7 +162,6 @@ def answer_anchors(packs: pa.Table) -> pa.Table:
     picked[order] = np.repeat(good, count)
     bounds = np.cumsum([0, *map(len, keys)])
     found = [(c, k[picked[bounds[i] : bounds[i + 1]]]) for i, (c, k) in enumerate(zip(chunks, keys, strict=True))]
-    del sent
     found = [(c, pack(k, KEY_BYTES)) for c, k in found if len(k)]
     return pa.table({"chunk": pa.array([c for c, _ in found], pa.int64()), "keys": pa.array([k for _, k in found], pa.binary())})
 
@@ -276,11 +275,12 @@ def remove_repeats(
     ``id_column`` or ``text_column``.
 
     ``chunk_bytes`` and ``part_bytes`` bound a task's share of text and of hash space.
-    A chunk must hold its longest text. Hashes have 96 bits where windows are compared.
+    A chunk must hold its longest text, and rows equal in both id and text, which ids that
+    are keys rule out. Hashes have 96 bits where windows are compared.
     """
     block = (window + 1) // 2
     columns = pick(docs, doc_id=id_column, text=text_column, **{f"keep{i}": c for i, c in enumerate(keep)})
-    size = columns.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = columns.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
     n_chunks, n_parts = max(1, -(-size // chunk_bytes)), max(1, -(-size // part_bytes))
     dealt = columns.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)))
     columns_out = [f"keep{i}" for i in range(len(keep))]
