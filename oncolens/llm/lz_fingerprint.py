@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,7 +135,7 @@ def with_next(columns: DataFrame, bucket_bytes: int) -> DataFrame:
     n = max(1, -(-size // bucket_bytes))
 
     def first_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = [i for batch in batches for i in (pa.compute.min(batch.column(0)).as_py(),) if i is not None]
+        ids = [i for batch in batches for i in (pc.min(batch.column(0)).as_py(),) if i is not None]
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array([min(ids)], pa.int64())], ["id"])
 
