@@ -130,6 +130,13 @@ def test_packing_round_trip(texts, capacity):
     assert sum(map(len, whole.values())) == sum(len(r.ids) for r in found)
     rooms = best_fit_by_item([r.length for r in found], capacity)
     assert sorted(capacity - len(v) // 4 for v in whole.values()) == rooms
+    fine = best_fit.pack(texts(*rows), capacity=capacity, cells=1, cell_rows=3).collect()
+    assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in fine) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in found)
+    used = defaultdict(list)
+    for r in fine:
+        used[r.sequence_id].append((r.offset, r.length))
+    assert all(o == sum(n for p, n in parts if p < o) for parts in used.values() for o, _ in parts)
+    assert sorted(capacity - sum(n for _, n in parts) for parts in used.values()) == rooms
     assert best_fit.pack(texts("x").limit(0)).count() == 0
 
 
@@ -222,6 +229,9 @@ def test_url_rules_equal_brute_force(spark):
     found = {r.page_id: r for r in filter_cascade.judge(df, ALLOW, BLOCK).collect()}
     for k, u in enumerate(urls):
         assert tuple(found[k])[1:] == plain_verdict(u), u
+    odd = ["http://" + "a." * 200_000 + "Example.com/en/x", "http://" + "." * 50_000 + "/en/", "http://net" + "/es/" * 90_000]
+    for r in filter_cascade.judge(spark.createDataFrame(list(enumerate(odd)), "page_id long, url string"), ALLOW, BLOCK).collect():
+        assert tuple(r)[1:] == plain_verdict(odd[r.page_id])
     assert filter_cascade.judge(df.limit(0), ALLOW, BLOCK).count() == 0
     assert {r.verdict for r in filter_cascade.judge(df, [], []).collect()} == {"allow"}
 
