@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,6 +101,20 @@ class Parser(dict):
         return np.array(counts) * self.cost / (sum(map(len, words)) + 2 * len(words))
 
 
+def word_counts(rows: DataFrame, most_letters: int) -> DataFrame:
+    """(lang, word, n) of each text of ``rows`` (lang, text); of a longer word its first ``most_letters`` count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                found = Counter(m[0][:most_letters] for m in WORD.finditer(text.as_py().lower()))
+                columns = [[lang.as_py()] * len(found), list(found), list(found.values())]
+                kinds = (pa.string(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds)], ["lang", "word", "n"])
+
+    return rows.mapInArrow(run, "lang string, word string, n long")
+
+
 def learn(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -109,37 +123,31 @@ def learn(
     folds: int = 3,
     fold: int = 1,
     docs_per_language: int = 120,
-    most_chars: int = 20_000,
     reference_chars: int = 60_000,
 ) -> tuple[tuple[str, str], ...]:
     """(language, reference text) from labelled rows outside the held-out fold.
 
     The sample has about ``docs_per_language`` documents a language, chosen by a hash of
-    the id, none above ``most_chars`` (they are no longer than that here only as examples;
-    prediction reads whole texts). A reference is the sample's words, each once, most
-    frequent first, up to ``reference_chars``. Rows without an id or language teach nothing.
+    the id, whatever their length. A reference is the sample's words, each once, most
+    frequent first, up to ``reference_chars``; they are counted and cut to that in Spark,
+    so only the references reach the driver. Rows without an id or language teach nothing.
     """
     rows = pick(docs, id=id_column, text=text_column, lang=lang_column).where(
         "id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL"
     )
-    rows = rows.where(~held_out(F.col("id"), folds, fold) & (F.length("text") <= most_chars))
+    rows = rows.where(~held_out(F.col("id"), folds, fold))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, int(min(1.0, docs_per_language / n) * (1 << 30))).otherwise(share)
-    words: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
-    for row in rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).select("lang", "text").collect():
-        for word in WORD.findall(row["text"].lower()):
-            words[row["lang"]][word] += 1
-    out = []
-    for lang in sorted(words):
-        text = " "
-        for word in sorted(words[lang], key=lambda w: (-words[lang][w], w)):  # noqa: B023
-            if len(text) < reference_chars:
-                text += word + " "
-        if len(text) > 1:
-            out.append((lang, text))
-    return tuple(out)
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).select("lang", "text")
+    counted = word_counts(sample, reference_chars).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("word") + 1).over(order), F.lit(0)) + 1  # the blank a reference begins with
+    words: dict[str, list[tuple[int, str]]] = defaultdict(list)
+    for row in counted.withColumn("before", before).where(F.col("before") < reference_chars).collect():
+        words[row["lang"]].append((-row["n"], row["word"]))
+    return tuple((lang, " ".join(["", *(word for _, word in sorted(words[lang])), ""])) for lang in sorted(words))
 
 
 def predicted(

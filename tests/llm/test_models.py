@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -73,6 +74,34 @@ def test_language_on_held_out_rows(spark):
     assert len(rows) > 200 and np.mean([r.lang == r.lang_pred for r in rows]) >= 0.97
 
 
+def test_language_is_learnt_from_long_texts(spark):
+    rng = random.Random(5)
+    long = {"aa": ["the", "and", "this", "with"], "bb": ["der", "und", "dies", "mit"]}
+    rows = [(k, " ".join(rng.choices(words, k=6000)), lang) for lang, words in long.items() for k in range(ord(lang[0]), ord(lang[0]) + 1)]
+    rows.append((200, "qqq " * 5, "bb"))  # the only short text of its language is junk
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert docs.where("length(text) <= 20000").count() == 1
+    references = dict(cross_parsing.learn(docs, folds=1000, fold=999))
+    assert set(references) == {"aa", "bb"}
+    assert set(references["aa"].split()) == set(long["aa"]) and set(references["bb"].split()) == {*long["bb"], "qqq"}
+    probe = docs.select(F.col("doc_id"), F.substring("text", 1, 60).alias("text"), "lang").where("doc_id < 200")
+    found = cross_parsing.predicted(probe, tuple(references.items())).collect()
+    assert {r.lang_pred for r in found if r.doc_id < 98} == {"aa"}
+
+
+def test_reference_is_the_most_frequent_words(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdé", k=rng.randint(1, 4))) for _ in range(300)] + ["x" * 500]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 400))) for _ in range(20)]
+    docs = spark.createDataFrame([(k, t, "l") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    for most in (1, 2, 50, 400, 100_000):
+        counts, want = Counter(w[:most] for t in texts for w in t.split()), " "
+        for word in sorted(counts, key=lambda w: (-counts[w], w)):
+            want += (word + " ") * (len(want) < most)
+        found = cross_parsing.learn(docs, folds=1000, fold=999, reference_chars=most)
+        assert found == ((("l", want),) if len(want) > 1 else ())
+
+
 def test_language_odd_tables(texts):
     references = (("a", " the of and this "), ("b", " der die und das "))
     found = {r.doc_id: r for r in cross_parsing.predicted(texts("the AND", "und 12", None, "", "12 !?", "日本", *ODD), references).collect()}
