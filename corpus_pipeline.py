@@ -55,8 +55,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all copies in sequences of at most 1024 tokens."""
-    return best_fit.pack(documents(docs), capacity=1024, end_id=2)
+    """The pieces of all copies, with their token ids, in sequences of at most 1024 tokens."""
+    return best_fit.pack(documents(docs), capacity=1024, end_id=2, with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

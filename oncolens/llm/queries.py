@@ -91,7 +91,8 @@ def op6_block_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit.pack(read(spark, sf_dir, "documents"), capacity=1024, end_id=2)
+    found = best_fit.pack(read(spark, sf_dir, "documents"), capacity=1024, end_id=2, with_ids=True)
+    return found.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 ALLOWED = ("com/", "www.example.com/en/")

@@ -6,11 +6,12 @@ from collections import Counter
 from functools import partial
 
 import duckdb
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from oncolens.llm import rule_quality, simhash
+from oncolens.llm import best_fit, rule_quality, simhash
 from oncolens.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.conftest import DOCUMENTS
 from tests.llm.test_texts import plain_removal
@@ -74,6 +75,24 @@ def test_stages_one_by_one(spark):
     assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r.doc_id for r in mixed.collect())
 
 
+def test_packing_keeps_its_tokens(spark):
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate(["one two three", "", None, "é 日本 " * 900, "one two three"])]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    packed = dict(corpus_pipeline.STAGES)["packing"](spark, docs, SF)
+    encoder = best_fit.Encoder.of(public_tokenizers.path("byte_bpe_50k.json"))
+    found = sorted(packed.collect(), key=lambda r: r.start)
+    for k, text, *_ in rows:
+        assert b"".join(r.ids for r in found if r.doc_id == k) == encoder.encode(text or "") + b"\2\0\0\0"
+    assert len(found) > len(rows)
+    packed = QUERIES["op7_best_fit_packing"](spark, SF)
+    assert packed.columns == "doc_id piece start length ids_crc32 sequence_id offset".split()
+    assert "crc32(ids" in packed._jdf.queryExecution().optimizedPlan().toString()
+    plain = best_fit.pack(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert Counter(map(tuple, packed.drop("sequence_id", "offset").collect())) == Counter(
+        map(tuple, plain.drop("sequence_id", "offset").collect())
+    )
+
+
 def test_stages_on_odd_tables(spark):
     empty = spark.createDataFrame([], DOCUMENTS)
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", None, "s", 0), (1, "", None, "s", 0)], DOCUMENTS)
