@@ -146,18 +146,29 @@ def near_duplicates(
 def keep_one(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, radius: int = 4
 ) -> DataFrame:
-    """One row of ``docs`` for each component: the row with the component's smallest id.
+    """One row of ``docs`` for each component: a row with the component's smallest id.
 
-    Rows that repeat an id are one document, of which any row stays. Rows without an
-    id go, unless nothing in their component has one: then one of them stays.
+    Rows that repeat an id are documents of their own, so several rows of one id stay if
+    they are in different components. Of a component's rows with its smallest id, the
+    smallest fingerprint's stays, and of those with that the one with the smallest text.
+    Rows without an id go, unless nothing in their component has one.
+    Only rows without an id, or whose id is repeated, have their fingerprint made again.
     """
-    kept = near_duplicates(docs, id_column, text_column, shingle, radius).where("id <=> component")
+    found = near_duplicates(docs, id_column, text_column, shingle, radius)
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, text = (f"c{names.index(c)}" for c in (id_column, text_column))
-    chosen = kept.where("id IS NOT NULL").select(F.col("id").alias(key)).distinct()
-    first = plain.join(chosen, key, "left_semi").dropDuplicates([key]).select(*plain.columns)
-    nameless = fingerprints(plain.where(F.col(key).isNull()), text, plain.columns, shingle)
-    chosen = kept.where("id IS NULL").groupBy("root").agg(F.min("fp").alias("fp")).select("fp")
-    rest = nameless.join(chosen, "fp", "left_semi").dropDuplicates(["fp"]).select(*plain.columns)
+    smallest = F.col("id").eqNullSafe(F.col("component"))
+    ids = found.where("id IS NOT NULL").groupBy(F.col("id").alias(key)).agg(
+        F.count("*").alias("n_rows"), F.max(smallest).alias("smallest")
+    )
+    ids = store(ids.where("smallest"), "ids")
+    first = plain.join(ids.where("n_rows = 1").select(key), key, "left_semi").select(*plain.columns)
+    again = plain.where(F.col(key).isNull())
+    if not ids.where("n_rows > 1").isEmpty():
+        again = again.unionByName(plain.join(ids.where("n_rows > 1").select(key), key, "left_semi").select(*plain.columns))
+    chosen = found.where(smallest).groupBy(F.col("id").alias(key), "root").agg(F.min("fp").alias("fp")).select(key, "fp")
+    rest = join_groups(fingerprints(again, text, plain.columns, shingle), chosen, [key, "fp"], "left_semi")
+    row = F.min_by(F.struct(*plain.columns), F.struct(text)).alias("row")
+    rest = rest.groupBy(F.col(key).alias("id"), "fp").agg(row).select("row.*")
     return first.unionByName(rest).toDF(*names)

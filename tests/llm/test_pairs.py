@@ -65,6 +65,18 @@ def test_simhash_keeps_one_of_each(texts, spark):
     assert simhash.keep_one(texts("x").limit(0)).count() == 0
 
 
+def test_simhash_keeps_every_unique_text_of_a_repeated_id(texts):
+    one, two, three, four = (" ".join(f"{w}{k}" for k in range(40)) for w in "abcd")
+    rows = [(1, one), (2, one), (2, two), (3, three), (3, four), (3, four), (None, two), (4, two)]
+    for order in (1, -1):
+        df = texts(*[t for _, t in rows[::order]], ids=[k for k, _ in rows[::order]]).repartition(8)
+        found = simhash.keep_one(df)
+        assert found.columns == df.columns
+        assert sorted((r[0], r[1]) for r in found.collect()) == [(1, one), (2, two), (3, three), (3, four)]
+    same = texts("A B C D E", "a b c d e", "A b c d E", ids=[7, 7, 7])  # one fingerprint, three texts
+    assert [r[1] for r in simhash.keep_one(same).collect()] == ["A B C D E"]
+
+
 def test_tiles_cover_every_pair_in_reach():
     rng = random.Random(1)
     counts = {p: rng.choice([0, 3, 50, 400]) for p in range(65)}
