@@ -20,9 +20,14 @@ def documents(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble scores 0.3 or more; the ensemble is learnt from this stage's own input."""
+    """Documents that the rule ensemble scores 0.3 or more; the ensemble is learnt from this stage's own input.
+
+    Where the labels teach no rule, one score for all says nothing of a document and all stay.
+    """
     docs = documents(docs)
     model = rule_quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not model.rules:
+        return docs
     return rule_quality.scored(docs, model, into="quality_score").where("quality_score >= 0.3").select(*COLUMNS)
 
 

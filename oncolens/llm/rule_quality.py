@@ -168,9 +168,12 @@ def lasso(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int) -> tuple[np
 def fit(
     x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, bins: int = 24, penalty: float = 0.001, rounds: int = 400
 ) -> Ensemble:
-    """Rules from boosted trees, then lasso weights. Without both labels the score is their smoothed mean."""
+    """Rules from boosted trees, then lasso weights. Where no rule can be learnt the score is the labels' smoothed mean.
+
+    That is so without both labels, and where no threshold leaves five rows on either side.
+    """
     share = (y.sum() + 1) / (len(y) + 2)
-    if len(y) < 20 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return Ensemble((), math.log(share / (1 - share)))
     margin = np.full(len(y), math.log(share / (1 - share)))
     found: dict[tuple, Rule] = {}

@@ -51,6 +51,16 @@ def test_quality_odd_tables(texts, spark):
     assert rule_quality.scored(plain.limit(0), model).count() == 0
 
 
+def test_quality_learns_from_few_labels():
+    x = np.zeros((14, len(rule_quality.STATISTICS)))
+    x[:7, 3] = 1
+    model = rule_quality.fit(x, x[:, 3])
+    margin = model.bias + sum(r.weight * r.matches(x) for r in model.rules)
+    assert model.rules and ((margin > 0) == (x[:, 3] > 0)).all()
+    assert rule_quality.fit(x[:0], x[:0, 3]) == rule_quality.Ensemble((), 0.0)
+    assert not rule_quality.fit(x[5:9], x[5:9, 3]).rules  # both labels, too few rows for a rule
+
+
 def test_automaton_takes_longest_matches():
     rng = random.Random(3)
     for _ in range(40):

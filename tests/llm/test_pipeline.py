@@ -93,6 +93,13 @@ def test_packing_keeps_its_tokens(spark):
     )
 
 
+def test_quality_stage_keeps_documents_without_a_rule(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "the same clean text", "en", "s", 19) for k in range(15)], DOCUMENTS)
+    labels = spark.createDataFrame([(k, int(k < 3)) for k in range(15)], "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    assert dict(corpus_pipeline.STAGES)["quality"](spark, docs, str(tmp_path)).count() == 15
+
+
 def test_stages_on_odd_tables(spark):
     empty = spark.createDataFrame([], DOCUMENTS)
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", None, "s", 0), (1, "", None, "s", 0)], DOCUMENTS)
