@@ -69,7 +69,7 @@ WITH sizes AS (
     FROM sizes
 ), cdf AS (
     SELECT source, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS below
-    FROM rates, generate_series(0, 200) AS s(k)
+    FROM rates, (SELECT unnest(generate_series(0, (max(rate) + 12 * sqrt(max(rate)) + 30)::BIGINT)) AS k FROM rates) AS s
 ), drawn AS (
     SELECT doc_id, source,
         ('0x' || substr(md5('7/' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / pow(2, 52) AS u

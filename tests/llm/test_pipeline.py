@@ -30,6 +30,21 @@ def test_query_equals_sql(spark, name):
     assert Counter(map(tuple, df.select(*names).collect())) == Counter(want)
 
 
+def test_mixing_sql_has_no_highest_count(spark, tmp_path):
+    big = spark.range(20, numPartitions=4).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 5_000_000).alias("text"), F.lit("big").alias("source")
+    )
+    small = spark.createDataFrame([(100, "", "small")], "doc_id long, text string, source string")
+    big.unionByName(small).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op5_poisson_mixing"](spark, str(tmp_path)).select("doc_id", "source", "copies", "copy", "shuffle_key")
+    rows = Counter(map(tuple, got.collect()))
+    assert sum(n for r, n in rows.items() if r[1] == "small") > 201
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT doc_id, source, copies, copy, shuffle_key FROM ({ORACLE_SQL['op5_poisson_mixing']})").fetchall()
+    assert rows == Counter(want)
+
+
 def test_every_query_has_its_columns(spark):
     wanted = {
         "op1_simhash_near_dedup": "doc_id fingerprint component_id",
