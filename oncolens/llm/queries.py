@@ -14,6 +14,7 @@ from oncolens.llm import (
     cross_parsing,
     filter_cascade,
     label_shards,
+    line_ranges,
     lz_fingerprint,
     pca_tiles,
     poisson_mixing,
@@ -141,6 +142,32 @@ def op10_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pca_tiles.near_duplicates(read(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op11_line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_ranges.drop_repeated_lines(read(spark, sf_dir, "documents"), shortest=10)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+WITH lines AS (
+    SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS place
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+), keyed AS (
+    SELECT doc_id, line, place, translate(
+        trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines
+), firsts AS (
+    SELECT key, min(doc_id) AS first FROM keyed
+    WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1
+), judged AS (
+    SELECT doc_id, line, place, coalesce(doc_id <> first, false) AS dropped FROM keyed LEFT JOIN firsts USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -153,9 +180,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_filter_cascade": op8_filter_cascade,
     "op9_label_shards": op9_label_shards,
     "op10_pca_tiles": op10_pca_tiles,
+    "op11_line_ranges": op11_line_ranges,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_poisson_mixing": OP5_SQL,
     "op8_filter_cascade": OP8_SQL,
+    "op11_line_ranges": OP11_SQL,
 }
