@@ -17,6 +17,7 @@ from oncolens.llm import (
     line_ranges,
     lz_fingerprint,
     pca_tiles,
+    periodic_runs,
     poisson_mixing,
     rule_quality,
     simhash,
@@ -168,6 +169,30 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(read(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    drawn = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    repeated = periodic_runs.with_repetition(F.col("text"), F.floor(drawn / 10))
+    docs = docs.withColumn("text", F.when(drawn % 10 == 0, repeated).otherwise(F.col("text")))
+    found = periodic_runs.periodic_runs(docs, exponent=4, shortest=6)
+    longest = F.array_min(
+        F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period")))
+    )
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "")
+    found = found.withColumn("longest", longest)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("longest.start").alias("start"),
+        (-F.col("longest.shorter")).alias("length"),
+        F.col("longest.period").alias("period"),
+        F.expr("(1000 * -longest.shorter) div longest.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -181,6 +206,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_label_shards": op9_label_shards,
     "op10_pca_tiles": op10_pca_tiles,
     "op11_line_ranges": op11_line_ranges,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
