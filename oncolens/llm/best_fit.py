@@ -9,6 +9,7 @@ documents of each length and looks their places up in the plan.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -41,9 +42,12 @@ class Encoder:
     """
 
     made: dict[str, Encoder] = {}
+    #: The pattern of PIECES looks ahead behind white space, for which tiktoken needs a stack as deep as the run is long.
+    SAFE_RUN = 10_000
 
     def __init__(self, path: str):
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
@@ -51,6 +55,10 @@ class Encoder:
         byte = {letter: b for b, letter in byte_letters().items()}
         ranks = {bytes(byte[c] for c in t): i for t, i in parts["model"]["vocab"].items() if t not in special}
         self.coder = tiktoken.Encoding("pieces", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        self.ranks = ranks
+        self.careful = Tokenizer.from_file(path)
+        self.careful.encode_special_tokens = True
+        self.long_run = re.compile(rf"\s{{{self.SAFE_RUN}}}")
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -58,9 +66,21 @@ class Encoder:
             cls.made[path] = cls(path)
         return cls.made[path]
 
+    def ids(self, text: str) -> list[int]:
+        if len(text) >= self.SAFE_RUN and self.long_run.search(text):
+            return self.careful.encode(text, add_special_tokens=False).ids
+        return self.coder.encode_ordinary(text)
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
-        return np.array(self.coder.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self.ids(text), "<u4").tobytes()
+
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of every id; ids that stand for none have no bytes."""
+        out = [b""] * (max(self.ranks.values()) + 1)
+        for token, k in self.ranks.items():
+            out[k] = token
+        return out
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
