@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -50,6 +51,18 @@ def ship(spark: SparkSession) -> None:
         context.addPyFile(shutil.make_archive(name, "zip", root, "oncolens"))
 
 
+def byte_groups(sizes: list[int], most: int) -> Iterator[slice]:
+    """Neighbouring items of ``most`` bytes together, or one that is larger."""
+    start = total = 0
+    for k, size in enumerate(sizes):
+        if k > start and total + size > most:
+            yield slice(start, k)
+            start, total = k, 0
+        total += size
+    if sizes:
+        yield slice(start, len(sizes))
+
+
 def held_out(id_column: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text leaves ``fold`` modulo ``folds``; ids that are null are not held out."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % folds == fold, F.lit(False))

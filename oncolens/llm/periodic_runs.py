@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oncolens.llm.common import pick
+from oncolens.llm.common import byte_groups, pick
 
 GROUP_BYTES = 4 << 20
 BLOCK = 1024
@@ -186,17 +186,6 @@ def find_runs(words: np.ndarray, doc: np.ndarray, exponent: int = 4, shortest: i
     return found
 
 
-def groups(sizes: list[int], most: int) -> Iterator[slice]:
-    """Rows in a row of ``most`` bytes together, or one that is larger."""
-    start = total = 0
-    for k, size in enumerate(sizes):
-        if k > start and total + size > most:
-            yield slice(start, k)
-            start, total = k, 0
-        total += size
-    yield slice(start, len(sizes))
-
-
 def judged(texts: list[str | None], exponent: int, shortest: int) -> list[tuple[int, list[dict[str, int]], str]]:
     """Per text: its number of words, its runs by start and period, its words without the runs' repetitions."""
     split = [(t or "").encode().split() for t in texts]  # bytes: ASCII white space alone
@@ -245,7 +234,7 @@ def periodic_runs(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for part in groups([len(t or "") for t in texts], GROUP_BYTES):
+            for part in byte_groups([len(t or "") for t in texts], GROUP_BYTES):
                 found = judged(texts[part], exponent, shortest)
                 columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), span, pa.string()))]
                 ids = batch.column(0).slice(part.start, part.stop - part.start)

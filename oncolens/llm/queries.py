@@ -21,6 +21,7 @@ from oncolens.llm import (
     poisson_mixing,
     rule_quality,
     simhash,
+    token_alignment,
 )
 from oncolens.llm.common import held_out, pick, ship
 
@@ -169,6 +170,12 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align(read(spark, sf_dir, "documents"))
+    groups_sha256 = F.when(F.col("n_a") > 0, F.sha2(F.col("groups"), 256)).otherwise("")
+    return found.withColumn("groups_sha256", groups_sha256).drop("groups")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(read(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     drawn = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -206,6 +213,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_label_shards": op9_label_shards,
     "op10_pca_tiles": op10_pca_tiles,
     "op11_line_ranges": op11_line_ranges,
+    "op12_token_alignment": op12_token_alignment,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
