@@ -116,10 +116,11 @@ def first_seen(rows: DataFrame) -> DataFrame:
 
 def dropped_rows(seen: DataFrame) -> DataFrame:
     """(doc, print, n_lines, places) of lines that an earlier document holds; ``seen`` is read three times and stored."""
-    borders = seen.where("last").groupBy("hi", "lo").agg(F.min("first").alias("before"))  # a row a task at most
+    borders = seen.where("last").groupBy("hi", "lo").agg(F.min("first").alias("before"))
     wanted = ("doc", "print", "n_lines", "places")
     plain = seen.where("NOT last AND NOT lead").select(*wanted)
-    lead = seen.where("lead").join(borders, ["hi", "lo"], "left")
+    # Borders have 24 bytes for each task of the sort at most, whatever the input; rows of one hash stay spread.
+    lead = seen.where("lead").join(F.broadcast(borders), ["hi", "lo"], "left")
     late = lead.where(F.col("doc") > F.least("first", "before")).select(*wanted)
     return plain.unionByName(late)
 
