@@ -26,8 +26,10 @@ from pyspark.sql import types as T
 from oncolens.llm.best_fit import Encoder
 from oncolens.llm.common import byte_groups, pick, store
 
-CHUNK_BYTES = 4 << 20
-B_BITS = 32  # of a pair's number, below those of its A id
+CHUNK_BYTES = 8 << 20  # of texts whose pairs are counted together
+SLICE_BYTES = 1 << 20  # of those that are worked on at a time
+END_BITS = 36  # of a document-end key
+FEW = 64  # links of a group that is written out link by link
 ALIGNED = "n_a long, n_b long, ids_a binary, ids_b binary, cuts_a binary, cuts_b binary"
 
 
@@ -94,8 +96,9 @@ def common_ends(a: pa.ListArray, b: pa.ListArray, side_a: Side, side_b: Side) ->
     tables = []
     for lists, side, place in ((a, side_a, "place_a"), (b, side_b, "place_b")):
         doc, end = ends(lists, side)
-        tables.append(pa.table({"doc": doc, "end": end, place: pa.array(np.arange(len(doc), dtype=np.int32))}))
-    shared = tables[0].join(tables[1], keys=["doc", "end"], join_type="inner", use_threads=False)
+        key = pc.add(pc.shift_left(doc.cast(pa.int64()), END_BITS), end)
+        tables.append(pa.table({"doc_end": key, place: pa.array(np.arange(len(key), dtype=np.int32))}))
+    shared = tables[0].join(tables[1], keys="doc_end", join_type="inner", use_threads=False)
     cuts = []
     for place, n in (("place_a", len(tables[0])), ("place_b", len(tables[1]))):
         cut = np.zeros(n, bool)
@@ -109,22 +112,25 @@ def group_numbers(cuts: np.ndarray) -> np.ndarray:
     return np.cumsum(cuts) - cuts
 
 
-def linked_pairs(group_a: np.ndarray, ids_a: pa.Array, group_b: np.ndarray, ids_b: pa.Array, group_doc: np.ndarray) -> pa.Table:
-    """(doc, pair, links): how often each pair of ids is linked in each document; a group's repeated ids meet once."""
+def written_out(group_a: np.ndarray, ids_a: np.ndarray, group_b: np.ndarray, ids_b: np.ndarray, n: int) -> pa.Table:
+    """(group, a, b, links): a row for each link."""
+    in_a, in_b = np.bincount(group_a, minlength=n), np.bincount(group_b, minlength=n)
+    first_b = np.cumsum(in_b) - in_b
+    each = in_b[group_a]  # partners of every A token
+    left = np.repeat(np.arange(len(group_a)), each)
+    right = np.arange(len(left)) - np.repeat(np.cumsum(each) - each, each) + first_b[group_a[left]]
+    return pa.table({"group": group_a[left], "a": ids_a[left], "b": ids_b[right], "links": np.ones(len(left), np.int64)})
+
+
+def met_once(group_a: np.ndarray, ids_a: np.ndarray, group_b: np.ndarray, ids_b: np.ndarray) -> pa.Table:
+    """The same of large groups: each distinct A id beside each distinct B id, with the product of their numbers."""
     held = []
     for group, ids, name in ((group_a, ids_a, "a"), (group_b, ids_b, "b")):
-        table = pa.table({"group": pa.array(group), name: ids})
-        held.append(table.group_by(["group", name], use_threads=False).aggregate([([], "count_all")]).rename_columns(["group", name, f"n_{name}"]))
+        counted = pa.table({"group": group, name: ids}).group_by(["group", name], use_threads=False)
+        held.append(counted.aggregate([([], "count_all")]).rename_columns(["group", name, f"n_{name}"]))
     both = held[0].join(held[1], keys="group", join_type="inner", use_threads=False)
-    high = pc.shift_left(both.column("a").cast(pa.int64()), B_BITS)
-    found = pa.table(
-        {
-            "doc": pc.take(pa.array(group_doc), both.column("group")),
-            "pair": pc.add(high, both.column("b").cast(pa.int64())),
-            "links": pc.multiply(both.column("n_a"), both.column("n_b")),
-        }
-    )
-    return found.group_by(["doc", "pair"], use_threads=False).aggregate([("links", "sum")]).rename_columns(["doc", "pair", "links"])
+    links = pc.multiply(both.column("n_a"), both.column("n_b"))
+    return both.select(["group", "a", "b"]).append_column("links", links)
 
 
 class Alignment:
@@ -134,6 +140,8 @@ class Alignment:
         self.a, self.b, self.cuts_a, self.cuts_b = a, b, cuts_a, cuts_b
         self.group_a, self.group_b = group_numbers(cuts_a), group_numbers(cuts_b)
         self.group_doc = pc.list_parent_indices(a).to_numpy()[cuts_a]
+        n = len(self.group_doc)
+        self.group_links = np.bincount(self.group_a, minlength=n) * np.bincount(self.group_b, minlength=n)
 
     @classmethod
     def of(cls, texts: list[str], side_a: Side, side_b: Side) -> tuple[Alignment, np.ndarray]:
@@ -146,18 +154,25 @@ class Alignment:
         a, b = a.filter(same), b.filter(same)
         return cls(a, b, *common_ends(a, b, side_a, side_b)), same.to_numpy(zero_copy_only=False)
 
-    def pairs(self) -> pa.Table:
-        ids = pc.list_flatten(self.a), pc.list_flatten(self.b)
-        return linked_pairs(self.group_a, ids[0], self.group_b, ids[1], self.group_doc)
+    def pairs(self, n_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, pair and links: how often each document links each pair; pair a, b has the number a * n_b + b."""
+        ids_a, ids_b = pc.list_flatten(self.a).to_numpy(), pc.list_flatten(self.b).to_numpy()
+        few_a, few_b = (self.group_links[g] <= FEW for g in (self.group_a, self.group_b))
+        found = [written_out(self.group_a[few_a], ids_a[few_a], self.group_b[few_b], ids_b[few_b], len(self.group_doc))]
+        if not few_a.all():
+            found.append(met_once(self.group_a[~few_a], ids_a[~few_a], self.group_b[~few_b], ids_b[~few_b]))
+        stride = (int(ids_a.max(initial=0)) + 1) * n_b
+        group, a, b, links = (np.concatenate([t.column(c).to_numpy() for t in found]) for c in ("group", "a", "b", "links"))
+        key = self.group_doc[group] * np.int64(stride) + a * np.int64(n_b) + b
+        summed = pa.table({"key": key, "links": links}).group_by("key", use_threads=False).aggregate([("links", "sum")])
+        key = summed.column("key").to_numpy()
+        return key // stride, key % stride, summed.column("links_sum").to_numpy()
 
     def per_doc(self, values: np.ndarray) -> np.ndarray:
         """Sums over each document's groups."""
-        return np.bincount(self.group_doc, values, len(self.a)).astype(np.int64)
-
-    def links(self) -> np.ndarray:
-        """Links of each document: tokens of A times tokens of B, group by group."""
-        n = len(self.group_doc)
-        return self.per_doc(np.bincount(self.group_a, minlength=n) * np.bincount(self.group_b, minlength=n).astype(np.float64))
+        out = np.zeros(len(self.a), np.int64)
+        np.add.at(out, self.group_doc, values)
+        return out
 
     def described(self, side_a: Side, side_b: Side) -> list[str]:
         """``a1,a2|b1;a3|b2,b3``: each document's groups in decimal ids."""
@@ -200,33 +215,39 @@ def aligned_chunks(docs: DataFrame, path_a: str | None, path_b: str | None) -> D
     kinds = f"chunk long, pairs array<long>, counts array<long>, {ALIGNED}"
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(kinds).fields])
     blobs, longs = pa.binary(), pa.int64()
-    arrow = [longs, pa.list_(longs), pa.list_(longs), longs, longs, blobs, blobs, blobs, blobs]
+    arrow = [longs, longs, blobs, blobs, blobs, blobs]
+    empty = (0, 0, b"", b"", b"", b"")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side_a, side_b = sides(path_a, path_b)
-        number = TaskContext.get().partitionId() << B_BITS
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for part in byte_groups([len(t) for t in texts], CHUNK_BYTES):
-                alignment, same = Alignment.of(texts[part], side_a, side_b)
-                linked = alignment.pairs().group_by("pair", use_threads=False).aggregate([([], "count_all")]).sort_by("pair")
-                rows, empty = packed_rows(alignment, side_a, side_b), (0, 0, b"", b"", b"", b"")
-                out = [(number, linked.column("pair").to_pylist(), linked.column("count_all").to_pylist(), *[None] * 6)]
-                out += [(number, None, None, *(next(rows) if s else empty)) for s in same.tolist()]
-                ids = pa.concat_arrays([pa.nulls(1, batch.column(0).type), batch.column(0).slice(part.start, part.stop - part.start)])
-                yield pa.RecordBatch.from_arrays(
-                    [ids, *[pa.array([o[i] for o in out], kind) for i, kind in enumerate(arrow)]], schema.names
-                )
+            for chunk in byte_groups([len(t) for t in texts], CHUNK_BYTES):
+                own, rows, linked = texts[chunk], [], []
+                for part in byte_groups([len(t) for t in own], SLICE_BYTES):
+                    alignment, same = Alignment.of(own[part], side_a, side_b)
+                    linked.append(pa.table({"pair": alignment.pairs(len(side_b.bytes))[1]}))
+                    found = packed_rows(alignment, side_a, side_b)
+                    rows += [next(found) if s else empty for s in same.tolist()]
+                counts = pa.concat_tables(linked).group_by("pair", use_threads=False).aggregate([([], "count_all")])
+                pairs = [pa.ListArray.from_arrays([0, len(counts)], c.combine_chunks()) for c in counts.columns]
+                head = [pa.nulls(1, batch.column(0).type), pa.array([number]), *pairs, *[pa.nulls(1, k) for k in arrow]]
+                yield pa.RecordBatch.from_arrays(head, schema.names)
+                rest = [batch.column(0).slice(chunk.start, len(rows)), pa.array([number] * len(rows), longs)]
+                rest += [pa.nulls(len(rows), p.type) for p in pairs]
+                rest += [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(arrow)]
+                yield pa.RecordBatch.from_arrays(rest, schema.names)
                 number += 1
 
     return docs.mapInArrow(run, schema)
 
 
-def pair_counts(chunks: DataFrame) -> DataFrame:
+def pair_counts(chunks: DataFrame, n_b: int) -> DataFrame:
     """(pair, count, best): documents that link the pair, and whether no other pair of its A id has more."""
     pairs = chunks.where("pairs IS NOT NULL").select(F.inline(F.arrays_zip("pairs", "counts")))
     counts = pairs.groupBy(F.col("pairs").alias("pair")).agg(F.sum("counts").alias("count"))
-    same_a = Window.partitionBy(F.shiftright("pair", B_BITS))  # an A id has at most as many pairs as B has ids
+    same_a = Window.partitionBy(F.expr(f"pair div {n_b}"))  # an A id has at most as many pairs as B has ids
     return counts.select("pair", "count", (F.col("count") == F.max("count").over(same_a)).alias("best"))
 
 
@@ -250,35 +271,38 @@ def align(
     byte, have no tokens: zeros and an empty ``groups``. Ids may be null, repeat and be of
     any type; every row is a document of its own. An empty table gives no rows.
 
-    A task holds a chunk of ``CHUNK_BYTES`` code points, or one longer text, its tokens and
-    its distinct pairs.
+    A task holds a chunk of texts (``CHUNK_BYTES``, or one longer text) and its distinct
+    pairs, and the tokens of ``SLICE_BYTES`` at a time.
     """
+    n_b = len(sides(tokenizer_a, tokenizer_b)[1].bytes)
     chunks = store(aligned_chunks(pick(docs, doc_id=id_column, text=text_column), tokenizer_a, tokenizer_b), "aligned")
-    held = chunks.where("pairs IS NOT NULL").select("chunk", F.posexplode("pairs").alias("place", "pair"))
-    told = held.join(pair_counts(chunks), "pair").select("chunk", "place", "count", "best")
+    held = chunks.where("pairs IS NOT NULL").select("chunk", F.explode("pairs").alias("pair"))
+    told = held.join(pair_counts(chunks, n_b), "pair").select("chunk", "pair", "count", "best")
     rows = chunks.where("pairs IS NULL").withColumnRenamed("chunk", "home").drop("pairs", "counts")
     numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
     schema = T.StructType(
         [rows.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in numbers], T.StructField("groups", T.StringType())]
     )
+    out = pa.schema([*[(n, pa.int64()) for n in numbers], ("groups", pa.string())])
 
     def finish(own: pa.Table, told: pa.Table) -> pa.Table:
         side_a, side_b = sides(tokenizer_a, tokenizer_b)
-        alignment = unpacked(own, side_a, side_b)
-        pairs = alignment.pairs()
-        place = told.column("place").to_numpy()
-        count, best = np.zeros(len(place), np.int64), np.zeros(len(place), bool)
-        count[place] = told.column("count").to_numpy()
-        best[place] = told.column("best").to_numpy()
-        code = pairs.column("pair").to_numpy()
-        at = np.unique(code, return_inverse=True)[1]  # in the order in which the chunk numbered them
-        doc, links = pairs.column("doc").to_numpy(), pairs.column("links").to_numpy()
-        n_best, count_sum = np.zeros(own.num_rows, np.int64), np.zeros(own.num_rows, np.int64)
-        np.add.at(n_best, doc, links * best[at])
-        np.add.at(count_sum, doc, links * count[at])
-        n_groups = alignment.per_doc(np.ones(len(alignment.group_doc)))
-        columns = [own.column("doc_id"), own.column("n_a"), own.column("n_b")]
-        columns += [pa.array(c, pa.int64()) for c in (n_groups, alignment.links(), n_best, count_sum)]
-        return pa.Table.from_arrays([*columns, pa.array(alignment.described(side_a, side_b), pa.string())], names=schema.names)
+        known, count, best = (told.column(c).to_numpy() for c in ("pair", "count", "best"))
+        order = np.argsort(known)
+        known, count, best = known[order], count[order], best[order]
+        found = []
+        sizes = pc.add(pc.binary_length(own.column("ids_a")), pc.binary_length(own.column("ids_b"))).to_pylist()
+        for part in byte_groups(sizes, SLICE_BYTES):
+            rows = own.slice(part.start, part.stop - part.start)
+            alignment = unpacked(rows, side_a, side_b)
+            doc, pair, links = alignment.pairs(n_b)
+            at = np.searchsorted(known, pair)
+            sums = np.zeros((2, rows.num_rows), np.int64)
+            np.add.at(sums[0], doc, links * best[at])
+            np.add.at(sums[1], doc, links * count[at])
+            n_groups, n_links = alignment.per_doc(np.ones(len(alignment.group_doc), np.int64)), alignment.per_doc(alignment.group_links)
+            columns = [rows.column("n_a"), rows.column("n_b"), n_groups, n_links, sums[0], sums[1]]
+            found.append(pa.table([*columns, pa.array(alignment.described(side_a, side_b), pa.string())], schema=out))
+        return pa.concat_tables(found).add_column(0, "doc_id", own.column("doc_id"))
 
     return rows.groupBy("home").cogroup(told.groupBy("chunk")).applyInArrow(finish, schema)

@@ -135,3 +135,20 @@ def test_encoder_takes_the_library_for_long_runs_only(monkeypatch):
     assert used == [encoder.SAFE_RUN + 1]
     with open(public_tokenizers.path("byte_bpe_50k.json")) as file:
         assert len(encoder.token_bytes()) == len(json.load(file)["model"]["vocab"])
+
+
+def test_large_groups_are_counted_by_distinct_ids(monkeypatch):
+    """The way for groups with many links gives what writing out each link gives."""
+    sides = token_alignment.sides(None, None)
+    alignment, same = token_alignment.Alignment.of([*SAMPLE, "don't " * 300], *sides)
+    assert same.sum() == len(alignment.a)
+
+    def links():
+        return sorted(zip(*(c.tolist() for c in alignment.pairs(32_000)), strict=True))
+
+    monkeypatch.setattr(token_alignment, "FEW", 10**9)
+    written = links()
+    for few in (0, 1, 3):
+        monkeypatch.setattr(token_alignment, "FEW", few)
+        assert links() == written
+    assert len(written) > 100
