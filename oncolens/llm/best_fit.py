@@ -90,30 +90,37 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, path: str | None, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) from the whole text and the end token of every row."""
+    """(doc_id, piece, start, length, ids_crc32, salt[, ids]) from the whole text and the end token of every row.
+
+    ``ids`` have 16 bits each where all ids fit, else 32; the checksum is that of 32. ``salt``
+    tells equal pieces apart: it counts a task's pieces.
+    """
     schema = T.StructType(
         [
             docs.schema["doc_id"],
-            *T._parse_datatype_string("piece int, start long, length long, ids_crc32 long").fields,
+            *T._parse_datatype_string("piece int, start long, length long, ids_crc32 long, salt long").fields,
             *([T.StructField("ids", T.BinaryType())] if with_ids else []),
         ]
     )
-    names, end = schema.names, np.array([end_id], "<u4").tobytes()
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         encoder = Encoder.of(path or public_tokenizers.path("byte_bpe_50k.json"))
+        dtype = "<u2" if max(*encoder.ranks.values(), end_id) < 1 << 16 else "<u4"
+        salt = 0
         for batch in batches:
             row, out = [], []
             for r, text in enumerate(batch.column(1)):
-                ids = encoder.encode(text.as_py() or "") + end
-                for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    own = ids[4 * start : 4 * (start + length)]
+                ids = np.array([*encoder.ids(text.as_py() or ""), end_id], "<u4")
+                for k, (start, length) in enumerate(cut(len(ids), capacity)):
+                    own = ids[start : start + length]
                     row.append(r)
-                    out.append((k, start, length, zlib.crc32(own), own) if with_ids else (k, start, length, zlib.crc32(own)))
+                    out.append((k, start, length, zlib.crc32(own.tobytes()), salt, own.astype(dtype).tobytes() if with_ids else None))
+                    salt += 1
             columns = [batch.column(0).take(pa.array(row, pa.int64()))]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             columns += [pa.array([o[i] for o in out], kinds[i]) for i in range(len(names) - 1)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -200,6 +207,14 @@ def place(table: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.n
     return row[:, 2] + beyond // row[:, 3], row[:, 4] + beyond % row[:, 3] * length
 
 
+def widened(ids: pa.BinaryArray, length: np.ndarray) -> pa.BinaryArray:
+    """Ids of 32 bits, from such or from those of 16 bits."""
+    return pa.array(
+        [v if len(v) == 4 * n else np.frombuffer(v, "<u2").astype("<u4").tobytes() for v, n in zip(ids.to_pylist(), length.tolist(), strict=True)],
+        pa.binary(),
+    )
+
+
 def pack(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -219,7 +234,8 @@ def pack(
     gives no rows. ``tokenizer`` is the path of a byte-level tokenizer file.
 
     The driver sees the histogram of lengths only (``capacity`` rows); the plan it sends
-    back grows with ``capacity``, not with the corpus. ``ids`` are little-endian 32-bit.
+    back grows with ``capacity``, not with the corpus. ``ids`` are little-endian 32-bit; between
+    stages they have 16 bits where the vocabulary allows it.
     Pieces of one length are numbered in ``cells`` cells, more if a cell of the commonest
     length would have over ``cell_rows`` rows.
     """
@@ -227,9 +243,9 @@ def pack(
     histogram = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}
     table = np.array(sorted(plan(histogram, capacity)), np.int64).reshape(-1, 5)
     cells = max(cells, -(-max(histogram.values(), default=0) // cell_rows))
-    dealt = found.withColumn("cell", cell(cells, F.col("doc_id"), F.col("piece"), F.col("ids_crc32")))
-    ranked = numbered(dealt, ["length"], ["cell"], ["doc_id", "piece", "ids_crc32", "start"], "rank")
-    names = found.columns
+    dealt = found.withColumn("cell", cell(cells, F.col("doc_id"), F.col("piece"), F.col("ids_crc32"), F.col("salt")))
+    ranked = numbered(dealt.drop("salt"), ["length"], ["cell"], ["doc_id", "piece", "ids_crc32", "start"], "rank")
+    names = [c for c in found.columns if c != "salt"]
     schema = T.StructType(
         [*[ranked.schema[c] for c in names], *T._parse_datatype_string("sequence_id long, offset long").fields]
     )
@@ -240,7 +256,7 @@ def pack(
             if batch.num_rows:
                 length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
                 bins, offset = place(table, length, rank)
-                columns = [batch.column(c) for c in names]
+                columns = [widened(batch.column(c), length) if c == "ids" else batch.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(bins), pa.array(offset)], schema.names)
 
     return ranked.mapInArrow(run, schema)
