@@ -7,7 +7,7 @@ linked, each with each. Which ids a document links is grouped in Arrow, chunk by
 Spark adds up the chunks' counts and sends each chunk the totals of the pairs it holds.
 
 Texts are tokenized once and never shuffled. A chunk's ids, 16 bits each where the
-vocabularies allow it, wait in the shared folder for the corpus-wide counts.
+vocabularies allow it and compressed, wait in the shared folder for the corpus-wide counts.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ CHUNK_BYTES = 8 << 20  # of texts whose pairs are counted together
 SLICE_BYTES = 1 << 20  # of those that are worked on at a time
 END_BITS = 36  # of a document-end key
 FEW = 64  # links of a group that is written out link by link
-ALIGNED = "n_a long, n_b long, ids_a binary, ids_b binary, cuts_a binary, cuts_b binary"
 
 
 class Side:
@@ -187,57 +186,64 @@ class Alignment:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), groups), ";").to_pylist()
 
 
-def packed_rows(alignment: Alignment, side_a: Side, side_b: Side) -> Iterator[tuple[int, int, bytes, bytes, bytes, bytes]]:
-    """ALIGNED of each document."""
-    parts = []
-    for lists, cuts, side in ((alignment.a, alignment.cuts_a, side_a), (alignment.b, alignment.cuts_b, side_b)):
-        at = lists.offsets.to_numpy()
-        ids = pc.list_flatten(lists).to_numpy().astype(side.dtype)
-        parts.append([(e - s, ids[s:e].tobytes(), np.packbits(cuts[s:e]).tobytes()) for s, e in zip(at[:-1] - at[0], at[1:] - at[0], strict=True)])
-    for (n_a, ids_a, cuts_a), (n_b, ids_b, cuts_b) in zip(*parts, strict=True):
-        yield int(n_a), int(n_b), ids_a, ids_b, cuts_a, cuts_b
+def packed(alignment: Alignment, side_a: Side, side_b: Side) -> bytes:
+    """Ids of both sides and a bit for each token that ends a group."""
+    parts = [
+        pc.list_flatten(alignment.a).to_numpy().astype(side_a.dtype),
+        pc.list_flatten(alignment.b).to_numpy().astype(side_b.dtype),
+        np.packbits(alignment.cuts_a),
+        np.packbits(alignment.cuts_b),
+    ]
+    return pa.compress(b"".join(p.tobytes() for p in parts), "zstd", asbytes=True)
 
 
-def unpacked(rows: pa.Table, side_a: Side, side_b: Side) -> Alignment:
-    """The documents of ALIGNED rows that have tokens."""
+def unpacked(data: bytes, n_a: np.ndarray, n_b: np.ndarray, side_a: Side, side_b: Side) -> Alignment:
+    """The documents again, those without tokens among them, from their numbers of tokens."""
+    sizes = [int(n_a.sum()), int(n_b.sum())]
+    bounds = np.cumsum([0, sizes[0] * side_a.dtype.itemsize, sizes[1] * side_b.dtype.itemsize, *[-(-n // 8) for n in sizes]])
+    raw = pa.decompress(data, int(bounds[-1]), "zstd", asbytes=True)
+    parts = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     lists, cuts = [], []
-    for name, side in (("a", side_a), ("b", side_b)):
-        n = rows.column(f"n_{name}").to_numpy()
-        ids = np.frombuffer(b"".join(rows.column(f"ids_{name}").to_pylist()), side.dtype).astype(np.int32)
-        lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(ids)))
-        bits = [np.unpackbits(np.frombuffer(c, np.uint8), count=k) for c, k in zip(rows.column(f"cuts_{name}").to_pylist(), n, strict=True)]
-        cuts.append(np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool))
+    for k, (n, side) in enumerate(((n_a, side_a), (n_b, side_b))):
+        ids = pa.array(np.frombuffer(parts[k], side.dtype).astype(np.int32))
+        offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+        lists.append(pa.ListArray.from_arrays(pa.array(offsets), ids))
+        cuts.append(np.unpackbits(np.frombuffer(parts[2 + k], np.uint8), count=sizes[k]).astype(bool))
     return Alignment(*lists, *cuts)
 
 
+def token_counts(lists: pa.ListArray, present: np.ndarray) -> list[int]:
+    """Tokens of every document; those of ``lists`` are the documents present."""
+    counts = np.zeros(len(present), np.int64)
+    counts[present] = pc.list_value_length(lists).to_numpy()
+    return counts.tolist()
+
+
 def aligned_chunks(docs: DataFrame, path_a: str | None, path_b: str | None) -> DataFrame:
-    """Of each chunk one row with its distinct pairs and how many of its documents link them, and one a document."""
-    kinds = f"chunk long, pairs array<long>, counts array<long>, {ALIGNED}"
-    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(kinds).fields])
-    blobs, longs = pa.binary(), pa.int64()
-    arrow = [longs, longs, blobs, blobs, blobs, blobs]
-    empty = (0, 0, b"", b"", b"", b"")
+    """Of each chunk a row with its distinct pairs and how many of its documents link them, and a row for each slice."""
+    longs, lists = T.LongType(), T.ArrayType(T.LongType())
+    kinds = {"chunk": longs, "pairs": lists, "counts": lists, "ids": T.ArrayType(docs.schema["doc_id"].dataType)}
+    kinds |= {"n_a": lists, "n_b": lists, "tokens": T.BinaryType()}
+    schema = T.StructType([T.StructField(n, k) for n, k in kinds.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side_a, side_b = sides(path_a, path_b)
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
+            given = batch.column(0)
+            arrow = [pa.int64(), *[pa.list_(pa.int64())] * 2, pa.list_(given.type), *[pa.list_(pa.int64())] * 2, pa.binary()]
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for chunk in byte_groups([len(t) for t in texts], CHUNK_BYTES):
-                own, rows, linked = texts[chunk], [], []
+                own, ids, linked = texts[chunk], given.slice(chunk.start, chunk.stop - chunk.start), []
                 for part in byte_groups([len(t) for t in own], SLICE_BYTES):
                     alignment, same = Alignment.of(own[part], side_a, side_b)
                     linked.append(pa.table({"pair": alignment.pairs(len(side_b.bytes))[1]}))
-                    found = packed_rows(alignment, side_a, side_b)
-                    rows += [next(found) if s else empty for s in same.tolist()]
+                    row = [number, None, None, ids.slice(part.start, len(same)).to_pylist()]
+                    row += [token_counts(alignment.a, same), token_counts(alignment.b, same), packed(alignment, side_a, side_b)]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, arrow, strict=True)], schema.names)
                 counts = pa.concat_tables(linked).group_by("pair", use_threads=False).aggregate([([], "count_all")])
-                pairs = [pa.ListArray.from_arrays([0, len(counts)], c.combine_chunks()) for c in counts.columns]
-                head = [pa.nulls(1, batch.column(0).type), pa.array([number]), *pairs, *[pa.nulls(1, k) for k in arrow]]
-                yield pa.RecordBatch.from_arrays(head, schema.names)
-                rest = [batch.column(0).slice(chunk.start, len(rows)), pa.array([number] * len(rows), longs)]
-                rest += [pa.nulls(len(rows), p.type) for p in pairs]
-                rest += [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(arrow)]
-                yield pa.RecordBatch.from_arrays(rest, schema.names)
+                row = [pa.ListArray.from_arrays([0, len(counts)], c.combine_chunks()) for c in counts.sort_by("pair").columns]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), *row, *[pa.nulls(1, k) for k in arrow[3:]]], schema.names)
                 number += 1
 
     return docs.mapInArrow(run, schema)
@@ -278,31 +284,31 @@ def align(
     chunks = store(aligned_chunks(pick(docs, doc_id=id_column, text=text_column), tokenizer_a, tokenizer_b), "aligned")
     held = chunks.where("pairs IS NOT NULL").select("chunk", F.explode("pairs").alias("pair"))
     told = held.join(pair_counts(chunks, n_b), "pair").select("chunk", "pair", "count", "best")
-    rows = chunks.where("pairs IS NULL").withColumnRenamed("chunk", "home").drop("pairs", "counts")
+    slices = chunks.where("pairs IS NULL").select(F.col("chunk").alias("home"), "ids", "n_a", "n_b", "tokens")
     numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+    id_type = chunks.schema["ids"].dataType.elementType
     schema = T.StructType(
-        [rows.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in numbers], T.StructField("groups", T.StringType())]
+        [T.StructField("doc_id", id_type), *[T.StructField(n, T.LongType()) for n in numbers], T.StructField("groups", T.StringType())]
     )
-    out = pa.schema([*[(n, pa.int64()) for n in numbers], ("groups", pa.string())])
 
     def finish(own: pa.Table, told: pa.Table) -> pa.Table:
         side_a, side_b = sides(tokenizer_a, tokenizer_b)
         known, count, best = (told.column(c).to_numpy() for c in ("pair", "count", "best"))
         order = np.argsort(known)
         known, count, best = known[order], count[order], best[order]
+        out = pa.schema([("doc_id", own.schema.field("ids").type.value_type), *[(n, pa.int64()) for n in numbers], ("groups", pa.string())])
         found = []
-        sizes = pc.add(pc.binary_length(own.column("ids_a")), pc.binary_length(own.column("ids_b"))).to_pylist()
-        for part in byte_groups(sizes, SLICE_BYTES):
-            rows = own.slice(part.start, part.stop - part.start)
-            alignment = unpacked(rows, side_a, side_b)
+        for row in own.to_batches(max_chunksize=1):
+            ids, n_a, n_b_ = (row.column(c).flatten() for c in ("ids", "n_a", "n_b"))
+            alignment = unpacked(row.column("tokens")[0].as_py(), n_a.to_numpy(), n_b_.to_numpy(), side_a, side_b)
             doc, pair, links = alignment.pairs(n_b)
             at = np.searchsorted(known, pair)
-            sums = np.zeros((2, rows.num_rows), np.int64)
+            sums = np.zeros((2, len(ids)), np.int64)
             np.add.at(sums[0], doc, links * best[at])
             np.add.at(sums[1], doc, links * count[at])
             n_groups, n_links = alignment.per_doc(np.ones(len(alignment.group_doc), np.int64)), alignment.per_doc(alignment.group_links)
-            columns = [rows.column("n_a"), rows.column("n_b"), n_groups, n_links, sums[0], sums[1]]
+            columns = [ids, n_a, n_b_, n_groups, n_links, sums[0], sums[1]]
             found.append(pa.table([*columns, pa.array(alignment.described(side_a, side_b), pa.string())], schema=out))
-        return pa.concat_tables(found).add_column(0, "doc_id", own.column("doc_id"))
+        return pa.concat_tables(found)
 
-    return rows.groupBy("home").cogroup(told.groupBy("chunk")).applyInArrow(finish, schema)
+    return slices.groupBy("home").cogroup(told.groupBy("chunk")).applyInArrow(finish, schema)
