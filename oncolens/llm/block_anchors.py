@@ -14,6 +14,7 @@ costs a few bytes per chunk.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,9 +25,7 @@ from pyspark.sql import types as T
 
 from oncolens.llm.common import pick
 
-BLANKS = np.zeros(256, bool)
-BLANKS[[0x20, *range(0x09, 0x0E)]] = True
-LETTER, WORD, SIDE = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
+WORD, SIDE = (np.uint64(v) for v in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 NO_ID = np.iinfo(np.int64).max  # a null id: larger than every other, and never smaller than another null
 KEY_BYTES = 6
 ROW_BYTES = 16  # of a row beside its text, so that empty texts are spread too
@@ -39,58 +38,57 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.full(n, base, np.uint64)) if n else np.zeros(0, np.uint64)
-
-
-def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of every word in a run of UTF-8 bytes."""
-    inside = np.concatenate(([False], ~BLANKS[raw], [False]))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts, ends
-    lengths = ends - starts
-    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    letters = raw[np.repeat(starts, lengths) + place].astype(np.uint64) + np.uint64(1)
-    sums = np.add.reduceat(letters * powers(LETTER, int(lengths.max()))[place], np.cumsum(lengths) - lengths)
-    return mix(sums + lengths.astype(np.uint64)), starts, ends
-
-
 def rolling(words: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
-    """Hash of the n words from each place on; the last n - 1 places have none."""
+    """Hash of the n words from each place on; the last n - 1 places have none.
+
+    Every word is mixed in before the next, so that no sum of word hashes can be traded
+    for another of the same value.
+    """
     if len(words) < n:
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(words) - n + 1, np.uint64)
+    total = np.full(len(words) - n + 1, base, np.uint64)
     for k in range(n):
-        total = total * base + words[k : k + len(total)]
+        total ^= words[k : k + len(total)]
+        total *= base
+        total ^= total >> np.uint64(32)
     return mix(total)
 
 
 class Chunk:
-    """The words of a chunk's texts, in the order of the rows."""
+    """The words of a chunk's texts, in the order of the rows, as two independent 64-bit hashes of their bytes."""
 
     def __init__(self, ids: pa.ChunkedArray, texts: pa.ChunkedArray):
         self.ids = np.array([NO_ID if i is None else i for i in ids.to_pylist()], np.int64)
         self.raw = [(t or "").encode() for t in texts.to_pylist()]
-        self.spans, hashes, docs = [], [], []
-        for d, text in enumerate(self.raw):
-            h, starts, ends = word_hashes(np.frombuffer(text, np.uint8))
-            self.spans.append((starts, ends))
-            hashes.append(h)
-            docs.append(np.full(len(h), d, np.int32))
-        self.words = np.concatenate([np.zeros(0, np.uint64), *hashes])
-        self.doc = np.concatenate([np.zeros(0, np.int32), *docs])
-        counts = np.array([len(h) for h in hashes], np.int64)
-        self.first = np.cumsum(counts) - counts
-        self.place = np.arange(len(self.words)) - np.repeat(self.first, counts)
-
-    def windows(self, n: int, base: np.uint64 = WORD) -> tuple[np.ndarray, np.ndarray]:
+        number: dict[bytes, int] = {}
+        codes = [np.zeros(0, np.int32)]
+        for text in self.raw:
+            words = text.split()  # bytes: ASCII white space alone
+            codes.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+        self.counts = np.array([len(c) for c in codes[1:]], np.int64)
+        digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in number)
+        hashes = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        code = np.concatenate(codes)
+        self.words, self.sides = hashes[code, 0], hashes[code, 1]
+        self.doc = np.repeat(np.arange(len(self.raw), dtype=np.int32), self.counts)
+        self.first = np.cumsum(self.counts) - self.counts
+        self.place = np.arange(len(self.words)) - np.repeat(self.first, self.counts)
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the windows of n words inside one document, and their hashes."""
-        h = rolling(self.words, n, base)
+        h = rolling(self.words, n, WORD)
         own = np.flatnonzero(self.doc[: len(h)] == self.doc[n - 1 :]) if len(h) else np.zeros(0, np.int64)
         return own, h[own]
 
+    def side_hashes(self, starts: np.ndarray, n: int) -> np.ndarray:
+        """32 more bits of the windows of n words at ``starts``, from the words' second hashes."""
+        total = np.full(len(starts), SIDE, np.uint64)
+        for k in range(n):
+            total ^= self.sides[starts + k]
+            total *= SIDE
+            total ^= total >> np.uint64(32)
+        return mix(total) >> np.uint64(32)
+
 
 def pack(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bytes of sorted numbers, highest bytes first and together, so that they compress."""
@@ -114,16 +112,14 @@ def runs(*columns: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(new) + 1))
 
 
-def part_bounds(sorted_hashes: np.ndarray, n_parts: int) -> np.ndarray:
-    """Where each part's share of sorted 64-bit hashes begins and ends."""
-    edges = np.array([k * (1 << 64) // n_parts for k in range(1, n_parts)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(sorted_hashes, edges), [len(sorted_hashes)]))
-
-
 def rows_by_part(n_parts: int, chunk: int, key: np.ndarray, encode: Callable[[slice], dict[str, bytes]]) -> list[dict]:
-    at = part_bounds(key, n_parts)
+    """A row for each part of the hash space that some of the sorted 64-bit keys fall in."""
+    part = ((key >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
+    begin = runs(part)
+    stop = np.append(begin[1:], len(key))
     return [
-        {"part": p, "chunk": chunk, **encode(slice(at[p], at[p + 1]))} for p in range(n_parts) if at[p] < at[p + 1]
+        {"part": p, "chunk": chunk, **encode(slice(a, b))}
+        for p, a, b in zip(part[begin].tolist(), begin.tolist(), stop.tolist(), strict=True)
     ]
 
 
@@ -178,8 +174,8 @@ def window_rows(chunk: Chunk, number: int, shared: np.ndarray, block: int, windo
     start, key = chunk.windows(window)
     near = total[start + window - block + 1] - total[start] > 0
     start, key = start[near], key[near]
-    side = chunk.windows(window, SIDE)[1][near] >> np.uint64(32)
-    order = np.argsort(key, kind="stable")
+    side = chunk.side_hashes(start, window)
+    order = np.lexsort((side, key))
     key, side, ids = key[order], side[order], chunk.ids[chunk.doc[start][order]]
     begin = runs(key, side)
     if not len(begin):
@@ -200,12 +196,11 @@ def window_rows(chunk: Chunk, number: int, shared: np.ndarray, block: int, windo
 
 
 def answer_windows(packs: pa.Table) -> pa.Table:
-    """For each chunk the windows that an earlier document elsewhere has (2), or only one here (1)."""
+    """For each chunk the windows, by all 96 bits, that an earlier document elsewhere has (2), or only one here (1)."""
     chunks = packs.column("chunk").to_numpy()
     keys = [unpack(b, 8) for b in packs.column("keys").to_pylist()]
-    side, low = (
-        np.concatenate([unpack(b, w) for b in packs.column(c).to_pylist()]) for c, w in (("sides", 4), ("lows", 8))
-    )
+    sides = [unpack(b, 4) for b in packs.column("sides").to_pylist()]
+    side, low = np.concatenate(sides), np.concatenate([unpack(b, 8) for b in packs.column("lows").to_pylist()])
     several = np.concatenate([np.frombuffer(b, np.uint8) for b in packs.column("several").to_pylist()])
     key, low = np.concatenate(keys), low.view(np.int64)
     order = np.lexsort((side, key))
@@ -214,23 +209,36 @@ def answer_windows(packs: pa.Table) -> pa.Table:
     least[order] = np.repeat(np.minimum.reduceat(low[order], begin), np.diff(np.concatenate((begin, [len(key)]))))
     says = np.where(least < low, 2, several).astype(np.uint8)
     bounds = np.cumsum([0, *map(len, keys)])
-    out: dict[str, list] = {"chunk": [], "keys": [], "says": []}
+    out: dict[str, list] = {"chunk": [], "keys": [], "sides": [], "says": []}
     for i, c in enumerate(chunks):
         says_here = says[bounds[i] : bounds[i + 1]]
         if (told := says_here > 0).any():
             out["chunk"].append(c)
             out["keys"].append(pack(keys[i][told], 8))
+            out["sides"].append(pack(sides[i][told], 4))
             out["says"].append(says_here[told].tobytes())
-    return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), "keys": pa.array(out["keys"], pa.binary()), "says": pa.array(out["says"], pa.binary())})
+    return pa.table({c: pa.array(v, pa.int64() if c == "chunk" else pa.binary()) for c, v in out.items()})
+
 
+def covered_words(chunk: Chunk, told: np.ndarray, sides: np.ndarray, says: np.ndarray, window: int) -> np.ndarray:
+    """Which words lie in a window that also starts in a document with a smaller id.
 
-def covered_words(chunk: Chunk, told: np.ndarray, says: np.ndarray, window: int) -> np.ndarray:
-    """Which words lie in a window that also starts in a document with a smaller id."""
+    ``told`` is sorted. Windows whose 64 bits are equal and whose 32 others are not are apart.
+    """
     cover = np.zeros(len(chunk.words) + 1, np.int64)
     if len(told):
         start, key = chunk.windows(window)
-        spot = np.minimum(np.searchsorted(told, key), len(told) - 1)
-        start, spot = start[told[spot] == key], spot[told[spot] == key]
+        first = np.searchsorted(told, key)
+        hit = told[np.minimum(first, len(told) - 1)] == key
+        start, key, first = start[hit], key[hit], first[hit]
+        side = chunk.side_hashes(start, window)
+        spot = np.full(len(start), -1)
+        most = np.diff(np.append(runs(told), len(told))).max()
+        for k in range(most):  # once, but for hashes of which half is equal
+            at = np.minimum(first + k, len(told) - 1)
+            same = (told[at] == key) & (sides[at] == side)
+            spot[same] = at[same]
+        start, spot = start[spot >= 0], spot[spot >= 0]
         ids = chunk.ids[chunk.doc[start]]
         least = np.full(len(told), NO_ID)
         np.minimum.at(least, spot, ids)
@@ -242,16 +250,13 @@ def covered_words(chunk: Chunk, told: np.ndarray, says: np.ndarray, window: int)
 
 def results(chunk: Chunk, gone: np.ndarray) -> Iterator[tuple[int, int, list[int], list[int], str]]:
     """Per document: words, words removed, starts and lengths of the removed runs, kept text."""
-    for d, text in enumerate(chunk.raw):
-        starts, ends = chunk.spans[d]
-        first, n = chunk.first[d], len(starts)
+    for text, first, n in zip(chunk.raw, chunk.first.tolist(), chunk.counts.tolist(), strict=True):
         out = gone[first : first + n]
         edges = np.flatnonzero(np.diff(np.concatenate(([0], out.astype(np.int8), [0]))))
+        words = text.split()
         if len(edges):
-            kept = b" ".join([text[s:e] for s, e in zip(starts[~out].tolist(), ends[~out].tolist(), strict=True)])
-        else:
-            kept = b" ".join(text.split())
-        yield n, int(out.sum()), edges[::2].tolist(), (edges[1::2] - edges[::2]).tolist(), kept.decode()
+            words = [w for w, g in zip(words, out.tolist(), strict=True) if not g]
+        yield n, int(out.sum()), edges[::2].tolist(), (edges[1::2] - edges[::2]).tolist(), b" ".join(words).decode()
 
 
 def remove_repeats(
@@ -275,14 +280,17 @@ def remove_repeats(
     ``id_column`` or ``text_column``.
 
     ``chunk_bytes`` and ``part_bytes`` bound a task's share of text and of hash space.
-    A chunk must hold its longest text, and rows equal in both id and text, which ids that
-    are keys rule out. Hashes have 96 bits where windows are compared.
+    A chunk must hold its longest text. Rows without an id are dealt over chunks by a row
+    number too, which must be the same whenever they are read, as it is from files; of rows
+    with one, those equal in id and text share a chunk, which ids that are keys rule out.
+    Windows are compared by 96 bits, made of two hashes of each word's bytes.
     """
     block = (window + 1) // 2
     columns = pick(docs, doc_id=id_column, text=text_column, **{f"keep{i}": c for i, c in enumerate(keep)})
     size = columns.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
     n_chunks, n_parts = max(1, -(-size // chunk_bytes)), max(1, -(-size // part_bytes))
-    dealt = columns.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)))
+    salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    dealt = columns.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(n_chunks)))
     columns_out = [f"keep{i}" for i in range(len(keep))]
 
     def table(rows: list[dict], schema: pa.Schema) -> pa.Table:
@@ -310,10 +318,10 @@ def remove_repeats(
 
     def finish(rows: pa.Table, told: pa.Table) -> pa.Table:
         chunk = Chunk(rows.column("doc_id"), rows.column("text"))
-        keys = joined(told, "keys", 8)
+        keys, sides = joined(told, "keys", 8), joined(told, "sides", 4)
         says = np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(b, np.uint8) for b in told.column("says").to_pylist()]])
         order = np.argsort(keys, kind="stable")
-        found = list(results(chunk, covered_words(chunk, keys[order], says[order], window)))
+        found = list(results(chunk, covered_words(chunk, keys[order], sides[order], says[order], window)))
         kept = [f[4] for f in found]
         if untouched:
             given = rows.column("text").to_pylist()
@@ -336,7 +344,7 @@ def remove_repeats(
     windows = sent.applyInArrow(
         send_windows, "part long, chunk long, keys binary, sides binary, lows binary, several binary"
     )
-    told = windows.groupBy("part").applyInArrow(answer_windows, "chunk long, keys binary, says binary")
+    told = windows.groupBy("part").applyInArrow(answer_windows, "chunk long, keys binary, sides binary, says binary")
     schema = T.StructType(
         [
             *[f for f in columns.schema.fields if f.name != "text"],
