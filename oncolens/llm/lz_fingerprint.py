@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,7 @@ from oncolens.llm.common import pick
 
 SLOTS = 128
 EMPTY = 0xFFFF
+OUT_ROWS = 1000
 BASE, FIRST, SECOND = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -125,42 +127,95 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return columns.mapInArrow(run, T.StructType([columns.schema["doc_id"], T.StructField("fingerprint", T.StringType())]))
 
 
-def with_next(columns: DataFrame, bucket_bytes: int) -> DataFrame:
-    """``columns`` (doc_id, text) with bucket and guest: runs of neighbouring ids, each with the row that follows it.
+def run_heads(rows: DataFrame, n: int) -> list[tuple[bool, int, int]]:
+    """The first row, as (has an id, id, print), of each of about ``n`` runs that rows in that order are cut into."""
+    order = ["known", "id", "print"]
 
-    The first row of a run is also dealt to the run before as its guest, the first of all
-    to the last. The driver holds the first id of each run, as a range partitioning does.
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [min(zip(*(c.to_pylist() for c in batch.columns), strict=True)) for batch in batches if batch.num_rows]
+        if found:
+            yield pa.RecordBatch.from_pylist([dict(zip(order, min(found), strict=True))], schema)
+
+    schema = pa.schema([("known", pa.bool_()), ("id", pa.int64()), ("print", pa.int64())])
+    heads = rows.select(*order).repartitionByRange(n, *order).mapInArrow(first, "known boolean, id long, print long")
+    return sorted(tuple(r) for r in heads.collect())
+
+
+def with_next(columns: DataFrame, run_bytes: int, most_runs: int) -> DataFrame:
+    """Rows (doc_id, text) as known, id, print, text, run, guest: runs of rows that follow each other.
+
+    Rows follow each other by id, those without one first, and by a hash of the text, so
+    that a run may begin in the midst of one id's rows. The first row of a run is also
+    dealt, once, to the run before as its guest; the first of all to the last. The driver
+    holds one row a run, at most ``most_runs``.
     """
-    size = columns.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
-    n = max(1, -(-size // bucket_bytes))
-
-    def first_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = [i for batch in batches for i in (pc.min(batch.column(0)).as_py(),) if i is not None]
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array([min(ids)], pa.int64())], ["id"])
-
-    ids = columns.select(F.col("doc_id").cast("long").alias("id")).where("id IS NOT NULL")
-    heads = np.array(sorted(r[0] for r in ids.repartitionByRange(n, "id").mapInArrow(first_ids, "id long").collect()), np.int64)
-
-    @F.pandas_udf("long")
-    def bucket(ids: pd.Series) -> pd.Series:
-        found = np.searchsorted(heads, ids.fillna(np.iinfo(np.int64).min).to_numpy(np.int64), side="right") - 1
-        return pd.Series(np.maximum(found, 0))
-
-    last = max(0, len(heads) - 1)
-    dealt = columns.withColumn("own", bucket(F.col("doc_id").cast("long")))
-    head = F.lit(heads.tolist()) if len(heads) else F.array(F.lit(None).cast("long"))
-    nulls = columns.where("doc_id IS NULL").limit(1).count()  # null ids come first of all, in the first run
-    starts = F.col("doc_id").cast("long").eqNullSafe(F.get(head, F.col("own").cast("int")))
-    starts = F.when(F.col("own") == 0, F.col("doc_id").isNull()).otherwise(starts) if nulls else starts
-    before = F.when(F.col("own") == 0, F.lit(last)).otherwise(F.col("own") - 1)
-    places = F.when(starts, F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("guest")), F.struct(before.alias("bucket"), F.lit(True).alias("guest"))))
-    places = places.otherwise(F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("guest"))))
-    return dealt.select("doc_id", "text", F.explode(places).alias("at")).select("doc_id", "text", "at.*")
+    rows = columns.select(
+        F.col("doc_id").isNotNull().alias("known"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("print"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    heads = run_heads(rows, min(most_runs, max(1, -(-size // run_bytes))))
+
+    @F.pandas_udf("run long, head boolean")
+    def place(known: pd.Series, ids: pd.Series, prints: pd.Series) -> pd.DataFrame:
+        keys = list(zip(known.tolist(), ids.tolist(), prints.tolist(), strict=True))
+        runs = [max(0, bisect_right(heads, key) - 1) for key in keys]
+        return pd.DataFrame({"run": runs, "head": [heads[r] == key for r, key in zip(runs, keys, strict=True)]})
+
+    dealt = rows.withColumn("at", place("known", "id", "print"))
+    own = dealt.select("known", "id", "print", "text", F.col("at.run").alias("run"), F.lit(False).alias("guest"))
+    guests = dealt.where("at.head").groupBy(F.col("at.run").alias("own")).agg(F.min("text").alias("text"))
+    before = F.when(F.col("own") == 0, F.lit(len(heads) - 1)).otherwise(F.col("own") - 1).cast("long")
+    none = F.lit(None)
+    guests = guests.select(
+        none.cast("boolean").alias("known"), none.cast("long").alias("id"), none.cast("long").alias("print"),
+        "text", before.alias("run"), F.lit(True).alias("guest"),
+    )
+    return own.unionByName(guests)
+
+
+Row = tuple[bool, int, str, bool]
+
+
+def in_order(rows: Iterator[Row]) -> Iterator[tuple]:
+    """The answer for every row (known, id, text, guest) but the guests, from the row that follows it.
+
+    Each text is parsed once, and equal neighbours once together.
+    """
+    waiting: Row | None = None  # the latest row, until the one after it is there
+    done: tuple | None = None  # the one before, until the latest has its fingerprint
+    pair: tuple[str, str] | None = None
+    found: tuple = ()
+
+    def answer(row: Row, own: np.ndarray, sha: str, edit: np.ndarray, next_own: np.ndarray) -> tuple:
+        known, id_, text, _ = row
+        return (id_ if known else None, len(text), sha, code(own), code(edit), likeness(own, edit), likeness(own, next_own))
+
+    for row in rows:
+        text, guest = row[2:]
+        if waiting:
+            if pair != (waiting[2], text):
+                pair = (waiting[2], text)
+                own, changed, edit = edited(*pair)
+                found = own, hashlib.sha256(changed.encode()).hexdigest(), edit
+            if done:
+                yield answer(*done, found[0])
+            done, waiting = (waiting, *found), None
+        if not guest:
+            waiting = row
+        elif done:
+            yield answer(*done, fingerprint(text))
+            done = None
 
 
 def edit_likeness(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bucket_bytes: int = 8 << 20
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    run_bytes: int = 8 << 20,
+    most_runs: int = 10_000,
 ) -> DataFrame:
     """How alike each document's fingerprint is to that of an edit of it and to the next document's.
 
@@ -168,9 +223,13 @@ def edit_likeness(
     near_edited, near_next. The edited text has the beginning of the next document, by
     ascending id, in place of its second half; the last document is followed by the
     first. Null texts are empty. Rows without an id come first; rows that share an id
-    follow each other in the order of their texts. A single row follows itself; an empty
-    table gives no rows. Ids are whole numbers and meant to be keys: all rows of one id,
-    and one longest text, must fit a task.
+    follow each other in the order of a hash of their texts, equal texts one after the
+    other. A single row follows itself; an empty table gives no rows. Ids are whole numbers.
+
+    Rows are dealt into runs of about ``run_bytes``, or more where that would make over
+    ``most_runs``, and each run is read once, row after row: a task holds a batch of it. So
+    neither many rows of one id nor many copies of a row have to be held, and of copies in
+    a row only the first is parsed.
     """
     columns = pick(docs, doc_id=id_column, text=text_column)
     schema = T.StructType(
@@ -182,29 +241,15 @@ def edit_likeness(
             ).fields,
         ]
     )
-    id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(columns.schema["doc_id"].dataType.simpleString(), pa.int64())
-
-    def run(rows: pa.Table) -> pa.Table:
-        table = list(zip(*(rows.column(c).to_pylist() for c in ("guest", "doc_id", "text")), strict=True))
-        table = [(g, i is not None, i or 0, t or "") for g, i, t in table]
-        table.sort()
-        own, guests = [r for r in table if not r[0]], [r for r in table if r[0]]
-        texts = [r[3] for r in [*own, guests[0]]]
-        out = []
-        for text, following in zip(texts, texts[1:], strict=False):
-            print_, changed, edit = edited(text, following)
-            out.append((print_, len(text), hashlib.sha256(changed.encode()).hexdigest(), edit))
-        following = [o[0] for o in out[1:]] + [fingerprint(texts[-1])]
-        return pa.table(
-            {
-                "doc_id": pa.array([r[2] if r[1] else None for r in own], id_type),
-                "n_chars": pa.array([o[1] for o in out], pa.int64()),
-                "edited_sha256": pa.array([o[2] for o in out], pa.string()),
-                "fingerprint": pa.array([code(o[0]) for o in out], pa.string()),
-                "edited_fingerprint": pa.array([code(o[3]) for o in out], pa.string()),
-                "near_edited": pa.array([likeness(o[0], o[3]) for o in out], pa.float64()),
-                "near_next": pa.array([likeness(o[0], f) for o, f in zip(out, following, strict=True)], pa.float64()),
-            }
-        )
-
-    return with_next(columns, bucket_bytes).groupBy("bucket").applyInArrow(run, schema)
+    id_type = pa.int32() if columns.schema["doc_id"].dataType.simpleString() == "int" else pa.int64()
+    kinds = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        found = in_order(rows)
+        while out := list(islice(found, OUT_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], schema.names)
+
+    dealt = with_next(columns, run_bytes, most_runs).repartition("run")
+    ordered = dealt.sortWithinPartitions("run", "guest", "known", "id", "print", "text")
+    return ordered.select("known", "id", "text", "guest").mapInArrow(run, schema)
