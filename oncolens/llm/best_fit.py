@@ -13,6 +13,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,6 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
@@ -56,8 +56,7 @@ class Encoder:
         ranks = {bytes(byte[c] for c in t): i for t, i in parts["model"]["vocab"].items() if t not in special}
         self.coder = tiktoken.Encoding("pieces", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         self.ranks = ranks
-        self.careful = Tokenizer.from_file(path)
-        self.careful.encode_special_tokens = True
+        self.path = path
         self.long_run = re.compile(rf"\s{{{self.SAFE_RUN}}}")
 
     @classmethod
@@ -66,6 +65,14 @@ class Encoder:
             cls.made[path] = cls(path)
         return cls.made[path]
 
+    @cached_property
+    def careful(self):
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.encode_special_tokens = True
+        return made
+
     def ids(self, text: str) -> list[int]:
         if len(text) >= self.SAFE_RUN and self.long_run.search(text):
             return self.careful.encode(text, add_special_tokens=False).ids

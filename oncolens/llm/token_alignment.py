@@ -6,8 +6,10 @@ both sides have, and these cut both lists into the same groups. Tokens of one gr
 linked, each with each. Which ids a document links is grouped in Arrow, chunk by chunk;
 Spark adds up the chunks' counts and sends each chunk the totals of the pairs it holds.
 
-Texts are tokenized once and never shuffled. A chunk's ids, 16 bits each where the
-vocabularies allow it and compressed, wait in the shared folder for the corpus-wide counts.
+Texts are tokenized once and never shuffled. Most groups occur often, so a chunk keeps each
+distinct group once, and its documents as numbers of groups; that is all that waits in the
+shared folder for the corpus-wide counts, and what a group adds to a document's sums is
+worked out once for all documents of a chunk.
 """
 
 from __future__ import annotations
@@ -132,15 +134,45 @@ def met_once(group_a: np.ndarray, ids_a: np.ndarray, group_b: np.ndarray, ids_b:
     return both.select(["group", "a", "b"]).append_column("links", links)
 
 
+def group_links(groups: pa.StringArray, n_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, pair and links of described groups, by group; the pair of ids a and b has the number a * n_b + b."""
+    halves = pc.split_pattern(groups, "|")
+    numbers, ids = [], []
+    for k in (0, 1):
+        lists = pc.split_pattern(pc.list_element(halves, k), ",")
+        numbers.append(pc.list_parent_indices(lists).to_numpy())
+        ids.append(pc.list_flatten(lists).cast(pa.int64()).to_numpy())
+    (group_a, group_b), (ids_a, ids_b) = numbers, ids
+    n_links = np.bincount(group_a, minlength=len(groups)) * np.bincount(group_b, minlength=len(groups))
+    few_a, few_b = n_links[group_a] <= FEW, n_links[group_b] <= FEW
+    found = [written_out(group_a[few_a], ids_a[few_a], group_b[few_b], ids_b[few_b], len(groups))]
+    if not few_a.all():
+        found.append(met_once(group_a[~few_a], ids_a[~few_a], group_b[~few_b], ids_b[~few_b]))
+    group, a, b, links = (np.concatenate([t.column(c).to_numpy() for t in found]) for c in ("group", "a", "b", "links"))
+    order = np.argsort(group, kind="stable")
+    return group[order], (a * n_b + b)[order], links[order]
+
+
+def pairs_by_document(doc: np.ndarray, codes: np.ndarray, group: np.ndarray, pair: np.ndarray) -> pa.Table:
+    """(pair, documents): how many documents have some group that links the pair."""
+    n = int(group.max(initial=-1)) + 1
+    held = np.unique(doc * np.int64(max(n, 1)) + codes)  # a document's distinct groups
+    doc, codes = held // max(n, 1), held % max(n, 1)
+    size = np.bincount(group, minlength=n)
+    first = np.cumsum(size) - size
+    each = size[codes]
+    at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first[codes], each)
+    linked = pa.table({"doc": np.repeat(doc, each), "pair": pair[at]}).group_by(["doc", "pair"], use_threads=False).aggregate([])
+    return linked.group_by("pair", use_threads=False).aggregate([([], "count_all")]).rename_columns(["pair", "documents"])
+
+
 class Alignment:
-    """The tokens of a chunk's documents and the groups they fall into."""
+    """The tokens of some documents and the groups they fall into."""
 
-    def __init__(self, a: pa.ListArray, b: pa.ListArray, cuts_a: np.ndarray, cuts_b: np.ndarray):
-        self.a, self.b, self.cuts_a, self.cuts_b = a, b, cuts_a, cuts_b
-        self.group_a, self.group_b = group_numbers(cuts_a), group_numbers(cuts_b)
-        self.group_doc = pc.list_parent_indices(a).to_numpy()[cuts_a]
-        n = len(self.group_doc)
-        self.group_links = np.bincount(self.group_a, minlength=n) * np.bincount(self.group_b, minlength=n)
+    def __init__(self, a: pa.ListArray, b: pa.ListArray, side_a: Side, side_b: Side):
+        self.sides = ((a, side_a), (b, side_b))
+        self.cuts = common_ends(a, b, side_a, side_b)
+        self.doc = pc.list_parent_indices(a).to_numpy()[self.cuts[0]]  # of every group
 
     @classmethod
     def of(cls, texts: list[str], side_a: Side, side_b: Side) -> tuple[Alignment, np.ndarray]:
@@ -150,100 +182,71 @@ class Alignment:
         whole = pc.binary_join_element_wise(pa.scalar(b" "), pa.array([t.encode() for t in texts], pa.binary()), b"")
         same = pc.and_(pc.equal(joined_bytes(a, side_a), whole), pc.equal(joined_bytes(b, side_b), whole))
         same = pc.and_(same, pc.greater(pc.binary_length(whole), 1))
-        a, b = a.filter(same), b.filter(same)
-        return cls(a, b, *common_ends(a, b, side_a, side_b)), same.to_numpy(zero_copy_only=False)
-
-    def pairs(self, n_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document, pair and links: how often each document links each pair; pair a, b has the number a * n_b + b."""
-        ids_a, ids_b = pc.list_flatten(self.a).to_numpy(), pc.list_flatten(self.b).to_numpy()
-        few_a, few_b = (self.group_links[g] <= FEW for g in (self.group_a, self.group_b))
-        found = [written_out(self.group_a[few_a], ids_a[few_a], self.group_b[few_b], ids_b[few_b], len(self.group_doc))]
-        if not few_a.all():
-            found.append(met_once(self.group_a[~few_a], ids_a[~few_a], self.group_b[~few_b], ids_b[~few_b]))
-        stride = (int(ids_a.max(initial=0)) + 1) * n_b
-        group, a, b, links = (np.concatenate([t.column(c).to_numpy() for t in found]) for c in ("group", "a", "b", "links"))
-        key = self.group_doc[group] * np.int64(stride) + a * np.int64(n_b) + b
-        summed = pa.table({"key": key, "links": links}).group_by("key", use_threads=False).aggregate([("links", "sum")])
-        key = summed.column("key").to_numpy()
-        return key // stride, key % stride, summed.column("links_sum").to_numpy()
-
-    def per_doc(self, values: np.ndarray) -> np.ndarray:
-        """Sums over each document's groups."""
-        out = np.zeros(len(self.a), np.int64)
-        np.add.at(out, self.group_doc, values)
-        return out
-
-    def described(self, side_a: Side, side_b: Side) -> list[str]:
-        """``a1,a2|b1;a3|b2,b3``: each document's groups in decimal ids."""
-        sides = []
-        for lists, cuts, side in ((self.a, self.cuts_a, side_a), (self.b, self.cuts_b, side_b)):
+        return cls(a.filter(same), b.filter(same), side_a, side_b), same.to_numpy(zero_copy_only=False)
+
+    def groups(self) -> pa.StringArray:
+        """``a1,a2|b1``: every group in decimal ids."""
+        described = []
+        for (lists, side), cuts in zip(self.sides, self.cuts, strict=True):
             offsets = np.concatenate(([0], np.flatnonzero(cuts) + 1)).astype(np.int32)
             decimals = pc.take(side.decimals, pc.list_flatten(lists))
-            sides.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), decimals), ","))
-        groups = pc.binary_join_element_wise(*sides, "|")
-        per_doc = np.bincount(self.group_doc, minlength=len(self.a))
-        offsets = np.concatenate(([0], np.cumsum(per_doc))).astype(np.int32)
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), groups), ";").to_pylist()
-
-
-def packed(alignment: Alignment, side_a: Side, side_b: Side) -> bytes:
-    """Ids of both sides and a bit for each token that ends a group."""
-    parts = [
-        pc.list_flatten(alignment.a).to_numpy().astype(side_a.dtype),
-        pc.list_flatten(alignment.b).to_numpy().astype(side_b.dtype),
-        np.packbits(alignment.cuts_a),
-        np.packbits(alignment.cuts_b),
-    ]
-    return pa.compress(b"".join(p.tobytes() for p in parts), "zstd", asbytes=True)
+            described.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), decimals), ","))
+        return pc.binary_join_element_wise(*described, "|")
+
+    def counts(self) -> np.ndarray:
+        """Tokens of A, tokens of B and groups of every document."""
+        tokens = [pc.list_value_length(lists).to_numpy() for lists, _ in self.sides]
+        return np.stack([*tokens, np.bincount(self.doc, minlength=len(tokens[0]))]).astype(np.int64)
+
+
+def packed(codes: np.ndarray) -> bytes:
+    return pa.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def unpacked(data: bytes, n_a: np.ndarray, n_b: np.ndarray, side_a: Side, side_b: Side) -> Alignment:
-    """The documents again, those without tokens among them, from their numbers of tokens."""
-    sizes = [int(n_a.sum()), int(n_b.sum())]
-    bounds = np.cumsum([0, sizes[0] * side_a.dtype.itemsize, sizes[1] * side_b.dtype.itemsize, *[-(-n // 8) for n in sizes]])
-    raw = pa.decompress(data, int(bounds[-1]), "zstd", asbytes=True)
-    parts = [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    lists, cuts = [], []
-    for k, (n, side) in enumerate(((n_a, side_a), (n_b, side_b))):
-        ids = pa.array(np.frombuffer(parts[k], side.dtype).astype(np.int32))
-        offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-        lists.append(pa.ListArray.from_arrays(pa.array(offsets), ids))
-        cuts.append(np.unpackbits(np.frombuffer(parts[2 + k], np.uint8), count=sizes[k]).astype(bool))
-    return Alignment(*lists, *cuts)
+CHUNK = "n_a array<long>, n_b array<long>, n_groups array<long>, groups array<string>, codes binary, pairs array<long>, documents array<long>"
 
 
-def token_counts(lists: pa.ListArray, present: np.ndarray) -> list[int]:
-    """Tokens of every document; those of ``lists`` are the documents present."""
-    counts = np.zeros(len(present), np.int64)
-    counts[present] = pc.list_value_length(lists).to_numpy()
-    return counts.tolist()
+def aligned_chunk(texts: list[str], side_a: Side, side_b: Side) -> list[pa.Array]:
+    """CHUNK: its documents' counts, its distinct groups, its documents as numbers of these, its pairs."""
+    counts, coded, linked, n_b = [], [], [], len(side_b.bytes)
+    for part in byte_groups([len(t) for t in texts], SLICE_BYTES):
+        alignment, same = Alignment.of(texts[part], side_a, side_b)
+        own = np.zeros((3, len(same)), np.int64)
+        own[:, same] = alignment.counts()
+        counts.append(own)
+        coded.append(alignment.groups().dictionary_encode())
+        group, pair, _ = group_links(coded[-1].dictionary, n_b)
+        linked.append(pairs_by_document(alignment.doc, coded[-1].indices.to_numpy(), group, pair))
+    groups = pa.chunked_array(coded).unify_dictionaries()
+    codes = np.concatenate([c.indices.to_numpy() for c in groups.chunks])
+    pairs = pa.concat_tables(linked).group_by("pair", use_threads=False).aggregate([("documents", "sum")]).sort_by("pair")
+    lists = [*np.concatenate(counts, axis=1), groups.chunk(0).dictionary]
+    lists = [v if isinstance(v, pa.Array) else pa.array(v) for v in lists]
+    whole = [pa.ListArray.from_arrays([0, len(v)], v) for v in lists]
+    rest = [pa.ListArray.from_arrays([0, len(pairs)], c.combine_chunks()) for c in pairs.columns]
+    pa.default_memory_pool().release_unused()
+    return [*whole, pa.array([packed(codes)], pa.binary()), *rest]
 
 
 def aligned_chunks(docs: DataFrame, path_a: str | None, path_b: str | None) -> DataFrame:
-    """Of each chunk a row with its distinct pairs and how many of its documents link them, and a row for each slice."""
-    longs, lists = T.LongType(), T.ArrayType(T.LongType())
-    kinds = {"chunk": longs, "pairs": lists, "counts": lists, "ids": T.ArrayType(docs.schema["doc_id"].dataType)}
-    kinds |= {"n_a": lists, "n_b": lists, "tokens": T.BinaryType()}
-    schema = T.StructType([T.StructField(n, k) for n, k in kinds.items()])
+    """A row for each chunk of documents: its number, the documents' ids and CHUNK."""
+    ids = T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType))
+    schema = T.StructType([T.StructField("chunk", T.LongType()), ids, *T._parse_datatype_string(CHUNK).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side_a, side_b = sides(path_a, path_b)
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            given = batch.column(0)
-            arrow = [pa.int64(), *[pa.list_(pa.int64())] * 2, pa.list_(given.type), *[pa.list_(pa.int64())] * 2, pa.binary()]
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for chunk in byte_groups([len(t) for t in texts], CHUNK_BYTES):
-                own, ids, linked = texts[chunk], given.slice(chunk.start, chunk.stop - chunk.start), []
-                for part in byte_groups([len(t) for t in own], SLICE_BYTES):
-                    alignment, same = Alignment.of(own[part], side_a, side_b)
-                    linked.append(pa.table({"pair": alignment.pairs(len(side_b.bytes))[1]}))
-                    row = [number, None, None, ids.slice(part.start, len(same)).to_pylist()]
-                    row += [token_counts(alignment.a, same), token_counts(alignment.b, same), packed(alignment, side_a, side_b)]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, arrow, strict=True)], schema.names)
-                counts = pa.concat_tables(linked).group_by("pair", use_threads=False).aggregate([([], "count_all")])
-                row = [pa.ListArray.from_arrays([0, len(counts)], c.combine_chunks()) for c in counts.sort_by("pair").columns]
-                yield pa.RecordBatch.from_arrays([pa.array([number]), *row, *[pa.nulls(1, k) for k in arrow[3:]]], schema.names)
+                own = batch.column(0).slice(chunk.start, chunk.stop - chunk.start)
+                head = [pa.array([number]), pa.array([own.to_pylist()], pa.list_(own.type))]
+                yield pa.RecordBatch.from_arrays([*head, *aligned_chunk(texts[chunk], side_a, side_b)], schema.names)
                 number += 1
 
     return docs.mapInArrow(run, schema)
@@ -251,8 +254,8 @@ def aligned_chunks(docs: DataFrame, path_a: str | None, path_b: str | None) -> D
 
 def pair_counts(chunks: DataFrame, n_b: int) -> DataFrame:
     """(pair, count, best): documents that link the pair, and whether no other pair of its A id has more."""
-    pairs = chunks.where("pairs IS NOT NULL").select(F.inline(F.arrays_zip("pairs", "counts")))
-    counts = pairs.groupBy(F.col("pairs").alias("pair")).agg(F.sum("counts").alias("count"))
+    pairs = chunks.select(F.inline(F.arrays_zip("pairs", "documents")))
+    counts = pairs.groupBy(F.col("pairs").alias("pair")).agg(F.sum("documents").alias("count"))
     same_a = Window.partitionBy(F.expr(f"pair div {n_b}"))  # an A id has at most as many pairs as B has ids
     return counts.select("pair", "count", (F.col("count") == F.max("count").over(same_a)).alias("best"))
 
@@ -277,38 +280,35 @@ def align(
     byte, have no tokens: zeros and an empty ``groups``. Ids may be null, repeat and be of
     any type; every row is a document of its own. An empty table gives no rows.
 
-    A task holds a chunk of texts (``CHUNK_BYTES``, or one longer text) and its distinct
-    pairs, and the tokens of ``SLICE_BYTES`` at a time.
+    A task holds a chunk of texts (``CHUNK_BYTES``, or one longer text), its groups and its
+    distinct pairs, and the tokens of ``SLICE_BYTES`` at a time.
     """
     n_b = len(sides(tokenizer_a, tokenizer_b)[1].bytes)
     chunks = store(aligned_chunks(pick(docs, doc_id=id_column, text=text_column), tokenizer_a, tokenizer_b), "aligned")
-    held = chunks.where("pairs IS NOT NULL").select("chunk", F.explode("pairs").alias("pair"))
+    held = chunks.select("chunk", F.explode("pairs").alias("pair"))
     told = held.join(pair_counts(chunks, n_b), "pair").select("chunk", "pair", "count", "best")
-    slices = chunks.where("pairs IS NULL").select(F.col("chunk").alias("home"), "ids", "n_a", "n_b", "tokens")
+    own = chunks.withColumnRenamed("chunk", "home").drop("pairs", "documents")
     numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
     id_type = chunks.schema["ids"].dataType.elementType
     schema = T.StructType(
         [T.StructField("doc_id", id_type), *[T.StructField(n, T.LongType()) for n in numbers], T.StructField("groups", T.StringType())]
     )
 
-    def finish(own: pa.Table, told: pa.Table) -> pa.Table:
-        side_a, side_b = sides(tokenizer_a, tokenizer_b)
+    def finish(chunk: pa.Table, told: pa.Table) -> pa.Table:
         known, count, best = (told.column(c).to_numpy() for c in ("pair", "count", "best"))
         order = np.argsort(known)
         known, count, best = known[order], count[order], best[order]
-        out = pa.schema([("doc_id", own.schema.field("ids").type.value_type), *[(n, pa.int64()) for n in numbers], ("groups", pa.string())])
-        found = []
-        for row in own.to_batches(max_chunksize=1):
-            ids, n_a, n_b_ = (row.column(c).flatten() for c in ("ids", "n_a", "n_b"))
-            alignment = unpacked(row.column("tokens")[0].as_py(), n_a.to_numpy(), n_b_.to_numpy(), side_a, side_b)
-            doc, pair, links = alignment.pairs(n_b)
-            at = np.searchsorted(known, pair)
-            sums = np.zeros((2, len(ids)), np.int64)
-            np.add.at(sums[0], doc, links * best[at])
-            np.add.at(sums[1], doc, links * count[at])
-            n_groups, n_links = alignment.per_doc(np.ones(len(alignment.group_doc), np.int64)), alignment.per_doc(alignment.group_links)
-            columns = [ids, n_a, n_b_, n_groups, n_links, sums[0], sums[1]]
-            found.append(pa.table([*columns, pa.array(alignment.described(side_a, side_b), pa.string())], schema=out))
-        return pa.concat_tables(found)
-
-    return slices.groupBy("home").cogroup(told.groupBy("chunk")).applyInArrow(finish, schema)
+        ids, n_a, n_b_, n_groups, groups = (chunk.column(c).combine_chunks().flatten() for c in ("ids", "n_a", "n_b", "n_groups", "groups"))
+        group, pair, links = group_links(groups, n_b)
+        at = np.searchsorted(known, pair)
+        worth = np.zeros((3, len(groups)), np.int64)  # what each group adds to n_links, n_best and count_sum
+        for row, value in zip(worth, (links, links * best[at], links * count[at]), strict=True):
+            np.add.at(row, group, value)
+        codes = unpacked(chunk.column("codes")[0].as_py(), int(pc.sum(n_groups).as_py() or 0))
+        edges = np.concatenate(([0], np.cumsum(n_groups.to_numpy())))
+        sums = [np.concatenate(([0], np.cumsum(row[codes])))[edges] for row in worth]
+        listed = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pc.take(groups, pa.array(codes)))
+        columns = [ids, n_a, n_b_, n_groups, *[np.diff(total) for total in sums], pc.binary_join(listed, ";")]
+        return pa.table(columns, names=schema.names)
+
+    return own.groupBy("home").cogroup(told.groupBy("chunk")).applyInArrow(finish, schema)
