@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
-from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from oncolens.llm import cross_parsing, rule_quality
@@ -65,7 +66,7 @@ def test_automaton_takes_longest_matches():
     rng = random.Random(3)
     for _ in range(40):
         text = "".join(rng.choices("abc", k=rng.randint(1, 40)))
-        made = cross_parsing.Automaton(text)
+        made = cross_parsing.Parser((("l", text),))
         for _ in range(10):
             probe = "".join(rng.choices("abcd", k=rng.randint(0, 20)))
             i, want = 0, 0
@@ -74,7 +75,7 @@ def test_automaton_takes_longest_matches():
                 while j < len(probe) and probe[i : j + 1] in text:
                     j += 1
                 i, want = j, want + 1
-            assert made.phrases(probe) == want
+            assert made.phrases([probe.encode()]).tolist() == [[want]]
 
 
 def test_language_on_held_out_rows(spark):
@@ -99,17 +100,47 @@ def test_language_is_learnt_from_long_texts(spark):
     assert {r.lang_pred for r in found if r.doc_id < 98} == {"aa"}
 
 
-def test_reference_is_the_most_frequent_words(spark):
+def test_references_are_running_text(spark):
     rng = random.Random(6)
     words = ["".join(rng.choices("abcdé", k=rng.randint(1, 4))) for _ in range(300)] + ["x" * 500]
-    texts = [" ".join(rng.choices(words, k=rng.randint(0, 400))) for _ in range(20)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 4000))) for _ in range(20)]
     docs = spark.createDataFrame([(k, t, "l") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
-    for most in (1, 2, 50, 400, 100_000):
-        counts, want = Counter(w[:most] for t in texts for w in t.split()), " "
-        for word in sorted(counts, key=lambda w: (-counts[w], w)):
-            want += (word + " ") * (len(want) < most)
-        found = cross_parsing.learn(docs, folds=1000, fold=999, reference_chars=most)
-        assert found == ((("l", want),) if len(want) > 1 else ())
+    for most in (1, 2, 50, 400, 9_000, 60_000, 10_000_000):
+        ((lang, found),) = cross_parsing.learn(docs, folds=1000, fold=999, reference_bytes=most)
+        read = len(found.encode())
+        assert lang == "l" and found[0] == found[-1] == " " and read <= most + 2
+        if most > 600:
+            assert read > min(most - 600, sum(len(t.encode()) for t in texts))
+            parts = [p for t in texts for p in (t[:1_300],) if p in found]  # every text speaks before one speaks twice
+            assert len(parts) >= min(len([t for t in texts if len(t) > 1_400]), most // 2_600)
+    many = docs.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 7))
+    assert [lang for lang, _ in cross_parsing.learn(many, folds=1000, fold=999, most_languages=2)] == ["l0", "l1"]
+
+
+def plain_phrases(reference, text):
+    """Longest matches one after the other, each looked for in the reference as a whole."""
+    i = found = 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in reference:
+            j += 1
+        i, found = max(i + 1, j - 1), found + 1
+    return found
+
+
+@pytest.mark.parametrize("wide", [1, 24, 10**9])
+def test_bits_equal_plain_cross_parsing(monkeypatch, wide):
+    """Whether texts are walked together, one by one, or both."""
+    monkeypatch.setattr(cross_parsing, "WIDE", wide)
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdeé日", k=rng.randint(1, 5))) for _ in range(60)]
+    references = tuple((name, " " + " ".join(rng.choices(words[a:b], k=400)) + " ") for name, a, b in (("p", 0, 40), ("q", 20, 60)))
+    texts = [" ".join(rng.choices([*words, "Zz", "ÀB", "12", "x_y"], k=rng.randint(1, 120))) for _ in range(90)]
+    found = cross_parsing.Parser(references).bits(texts)
+    for text, bits in zip(texts, found.tolist(), strict=True):
+        read = cross_parsing.as_read(cross_parsing.running(text))
+        want = [plain_phrases(r.encode(), read) * math.log2(len(r.encode()) + 1) / len(read) for _, r in references]
+        assert bits == pytest.approx(want, rel=1e-12)
 
 
 def test_language_odd_tables(texts):
