@@ -72,24 +72,35 @@ def replicate(
     The count inverts the distribution of the source's rate at a uniform number hashed
     from seed and id, so it does not depend on order, partitions or retries; rows that
     repeat an id have the same count. Rows are dealt over all partitions by the hash of
-    (seed, id, copy) and sorted by it there: a global shuffle. Null ids hash like an
-    empty text; null and empty texts are replicated like others. Columns named like the
-    four new ones are replaced. An empty table, or weights that sum to 0, gives no rows.
+    (seed, id, copy) and sorted by it there: a global shuffle. A row without an id draws by
+    its text, its source and its number in the input instead, which must be the same
+    whenever the row is read, as it is from files; so such rows are drawn one by one, even
+    equal ones. Null and empty texts are replicated like others. Columns named like the
+    four new ones are replaced; others may have any name. An empty table, or weights that
+    sum to 0, gives no rows.
 
     A row with many copies is written out in blocks of 1024, so none is held at once.
     The table of rates has one row per source; Spark broadcasts it below its threshold.
     """
     new = ("copy", "copies", "rate", "shuffle_key")
-    keep = [c for c in docs.columns if c.lower() not in new]
-    rated = rates(docs, text_column, source_column, weights, power).select(
-        F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), F.col("first").alias("mix_first"), F.col("cdf").alias("mix_cdf")
+    names = docs.columns
+    keep = [i for i, c in enumerate(names) if c.lower() not in new]
+    kept = [f"c{i}" for i in keep]
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no name clashes with those used here
+    id_name, text_name, source_name = (f"c{names.index(c)}" for c in (id_column, text_column, source_column))
+    rated = rates(plain, text_name, source_name, weights, power).withColumnRenamed("source", "rated_source")
+    place = F.concat_ws(
+        "/", F.lit("row"), F.xxhash64(text_name, source_name).cast("string"), F.monotonically_increasing_id().cast("string")
     )
-    draw = uniform(seed, F.col(id_column)) / F.lit(float(1 << 52))
-    counted = docs.select(*keep).join(rated, F.col(source_column).eqNullSafe(F.col("mix_source"))).withColumn("mix_u", draw)
-    copies = (F.col("mix_first") + F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u")))).cast("long")
-    counted = counted.select(*keep, F.col("mix_rate").alias("rate"), copies.alias("copies")).where("copies > 0")
-    blocks = counted.withColumn("mix_block", F.explode(F.expr(f"sequence(0L, (copies - 1) div {BLOCK})")))
-    last = f"least(copies, (mix_block + 1) * {BLOCK}) - 1"
-    rows = blocks.withColumn("copy", F.explode(F.expr(f"sequence(mix_block * {BLOCK}, {last})"))).drop("mix_block")
-    rows = rows.withColumn("shuffle_key", uniform(seed + 1, F.col(id_column), F.col("copy")))
-    return rows.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    drawn = plain.withColumn("draw_id", F.coalesce(F.col(id_name).cast("string"), place))
+    drawn = drawn.withColumn("u", uniform(seed, F.col("draw_id")) / F.lit(float(1 << 52)))
+    counted = drawn.join(rated, F.col(source_name).eqNullSafe(F.col("rated_source")))
+    copies = (F.col("first") + F.size(F.filter("cdf", lambda c: c <= F.col("u")))).cast("long")
+    counted = counted.select(*kept, "draw_id", "rate", copies.alias("copies")).where("copies > 0")
+    blocks = counted.withColumn("block", F.explode(F.expr(f"sequence(0L, (copies - 1) div {BLOCK})")))
+    last = f"least(copies, (block + 1) * {BLOCK}) - 1"
+    rows = blocks.withColumn("copy", F.explode(F.expr(f"sequence(block * {BLOCK}, {last})")))
+    key = uniform(seed + 1, F.col("draw_id"), F.col("copy")).alias("shuffle_key")
+    rows = rows.select(*kept, "rate", "copies", "copy", key)
+    shuffled = rows.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return shuffled.toDF(*[names[i] for i in keep], "rate", "copies", "copy", "shuffle_key")
