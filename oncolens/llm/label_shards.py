@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from oncolens.llm.common import cell, pick, store
 from oncolens.operators.grouping import join_groups
 
-GROUP_CELLS, ROW_CELLS, REST_CELLS = 16, 16, 1024
+GROUP_CELLS, ROW_CELLS, REST_CELLS = 16, 16, 512
+CELL_ROWS = 1 << 18  # of the rows that fill free slots; beyond REST_CELLS times as many, cells grow with them
 
 
 def longs(values: list[int]) -> Column:
@@ -20,7 +21,7 @@ def longs(values: list[int]) -> Column:
 def rank_by_cells(df: DataFrame, cells: Column, n_cells: int, reset: int, order: list[str]) -> tuple[DataFrame, list[int]]:
     """``df`` (stored) with rank, gapless from 0 within every ``reset`` neighbouring cells, and those blocks' sizes.
 
-    Only the cells' counts reach the driver; their number is fixed.
+    Only the cells' counts reach the driver.
     """
     counts = dict(df.groupBy(cells.alias("cell")).count().collect())
     sizes = [counts.get(k, 0) for k in range(n_cells)]
@@ -113,7 +114,8 @@ def shards(
 
     Size is the text's UTF-8 bytes plus 16. A null text counts as an empty one, empty
     texts are equal texts. Rows that repeat are rows of their own; null ids are kept. An
-    empty table gives no rows. Only counts, one per shard or cell, reach the driver.
+    empty table gives no rows. Only counts, one per shard or cell, reach the driver; a cell
+    has about ``CELL_ROWS`` rows or fewer.
     """
     columns = pick(docs, doc_id=id_column, text=text_column).withColumn("text", F.coalesce("text", F.lit("")))
     base = columns.select(
@@ -140,10 +142,12 @@ def shards(
     out = ["doc_id", "size", "text_crc32", "grp", "shard", F.col("rank").alias("slot")]
 
     rest = sized.where("members = 1").select(*names).unionByName(linked.where(~fits).select(*names))
-    half = REST_CELLS // 2  # linked rows first and by group, so that they end up side by side
+    rest = store(rest, "rest")
+    # Linked rows first and by group, so that they end up side by side; the others after them, in as many cells.
+    half = max(REST_CELLS, -(-rest.count() // (CELL_ROWS * ROW_CELLS)) * ROW_CELLS)
     place = F.when(F.col("members") > 1, cell(half // ROW_CELLS, F.col("grp")) * ROW_CELLS + cell(ROW_CELLS, F.col("row")))
     place = place.otherwise(half + cell(half, F.col("row")))
-    rest, _ = rank_by_cells(store(rest, "rest"), place, REST_CELLS, REST_CELLS, ["grp", "row"])
+    rest, _ = rank_by_cells(rest, place, 2 * half, 2 * half, ["grp", "row"])
     free = longs([0, *accumulate(q - k for q, k in zip(quota, kept, strict=True))][:-1])
     shard = F.size(F.filter(free, lambda start: start <= F.col("rank"))) - 1
     rest = rest.withColumn("shard", shard).withColumn("rank", F.col("rank") - F.get(free, "shard") + F.get(longs(kept), "shard"))
