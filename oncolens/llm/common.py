@@ -27,9 +27,12 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; only where none is set (tests, one machine) a local one is made."""
+    """The folder all executors share; a local session without one gets its own, a cluster must name it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="stages-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

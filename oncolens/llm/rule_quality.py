@@ -221,9 +221,14 @@ def learn(
 
 
 def scored(docs: DataFrame, model: Ensemble, text_column: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with the score of every whole text; null and empty texts are scored by the same rules."""
-    stats = "stats_" + into
-    while stats in docs.columns:
-        stats += "_"
-    found = with_statistics(docs, text_column, stats)
-    return found.withColumn(into, model.score(stats)).drop(stats)
+    """``docs`` with the score of every whole text; null and empty texts are scored by the same rules.
+
+    A column named like ``into`` is replaced; others may have any name, also one that
+    differs from the text's only in case.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    found = with_statistics(plain, f"c{names.index(text_column)}", "stats")
+    kept = [i for i, c in enumerate(names) if c.lower() != into.lower()]
+    scores = found.select(*[f"c{i}" for i in kept], model.score("stats").alias("score_of_rules"))
+    return scores.toDF(*[names[i] for i in kept], into)

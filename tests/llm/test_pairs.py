@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from oncolens.llm import common, lz_fingerprint, pca_tiles, simhash
 from tests.llm.conftest import ODD
@@ -148,7 +149,7 @@ def test_parse_is_plain_lz78():
 def test_edit_likeness_equals_plain(texts):
     rows = some_texts()
     ids = [3 * k for k in range(len(rows))]
-    found = lz_fingerprint.edit_likeness(texts(*rows, ids=ids), bucket_bytes=50_000).collect()
+    found = lz_fingerprint.edit_likeness(texts(*rows, ids=ids), run_bytes=50_000).collect()
     found = sorted(found, key=lambda r: r.doc_id)
     assert [r.doc_id for r in found] == ids
 
@@ -166,6 +167,39 @@ def test_edit_likeness_equals_plain(texts):
         assert (r.near_edited, r.near_next) == (lz_fingerprint.likeness(own, edit), lz_fingerprint.likeness(own, other))
 
 
+def test_edit_likeness_of_hot_ids(spark):
+    """Rows without an id, and copies of a row, lie in several runs and follow each other all the same."""
+    rng = random.Random(4)
+    rows = [(None, " ".join(rng.choices(["ab", "cd", "ef"], k=rng.randint(0, 30)))) for _ in range(300)]
+    rows += [(7, f"text {k} of one id") for k in range(200)] + [(9, "the same row")] * 150 + [(-1, "first"), (10, "last")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    runs = lz_fingerprint.with_next(docs, 500, 1000)
+    sizes = [r["count"] for r in runs.where("NOT guest").groupBy("run").count().collect()]
+    assert len(sizes) > 10 and runs.where("guest").count() == len(sizes)
+    null_runs = runs.where("NOT known").select("run").distinct().count()
+    assert null_runs > 3 and max(sizes) <= 200
+    found = lz_fingerprint.edit_likeness(docs, run_bytes=500).collect()
+    assert sorted(map(repr, (r.doc_id for r in found))) == sorted(repr(i) for i, _ in rows)
+    keys = docs.select("doc_id", "text", F.xxhash64("text").alias("print")).collect()
+    ordered = sorted(keys, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.print))
+    want = []
+    for k, r in enumerate(ordered):
+        after, half = ordered[(k + 1) % len(ordered)].text, len(r.text) // 2
+        changed = r.text[: len(r.text) - half] + after[:half]
+        near = lz_fingerprint.likeness(lz_fingerprint.fingerprint(r.text), lz_fingerprint.fingerprint(after))
+        want.append((repr(r.doc_id), hashlib.sha256(changed.encode()).hexdigest(), near))
+    assert sorted((repr(r.doc_id), r.edited_sha256, r.near_next) for r in found) == sorted(want)
+    few = lz_fingerprint.edit_likeness(docs, run_bytes=500, most_runs=3).collect()
+    assert sorted(map(repr, few)) == sorted(map(repr, found))
+
+
+def test_copies_in_a_row_are_parsed_once(monkeypatch):
+    calls, real = [], lz_fingerprint.edited
+    monkeypatch.setattr(lz_fingerprint, "edited", lambda a, b: calls.append(a) or real(a, b))
+    rows = [(True, 1, "copy", False)] * 500 + [(True, 2, "other", False), (None, None, "copy", True)]
+    assert len(list(lz_fingerprint.in_order(iter(rows)))) == 501 and len(calls) == 3
+
+
 def test_edit_likeness_odd_tables(texts):
     assert lz_fingerprint.edit_likeness(texts("x").limit(0)).count() == 0
     alone = lz_fingerprint.edit_likeness(texts("abcd")).first()

@@ -8,10 +8,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from oncolens.llm import best_fit, block_anchors, filter_cascade, label_shards, poisson_mixing
+from oncolens.llm import best_fit, block_anchors, common, filter_cascade, label_shards, poisson_mixing, rule_quality
 from tests.llm.conftest import ODD
 
 
@@ -66,6 +68,49 @@ def test_anchors_long_text_and_empty_table(texts):
     assert block_anchors.remove_repeats(texts("x").limit(0)).count() == 0
 
 
+def test_anchors_tell_crafted_words_apart(texts):
+    """Words that a polynomial over their letters gives one hash, among words that do repeat."""
+    one, other = "a", "b"
+    for _ in range(12):
+        one, other = one + other, other + one
+    shared = " ".join(f"w{k}" for k in range(12))
+    rows = [f"{shared} {one}", f"{shared} {other}", f"{other} {shared}", f"{shared} {one} more"]
+    found = {r.doc_id: r.n_removed for r in block_anchors.remove_repeats(texts(*rows)).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 3: 13}
+
+
+def test_windows_equal_in_half_their_bits_are_told_apart(monkeypatch):
+    """All windows with one 64-bit hash: the other 32 bits decide, in the parts and in the chunks."""
+    monkeypatch.setattr(block_anchors, "rolling", lambda words, n, base: np.full(max(0, len(words) - n + 1), 7, np.uint64))
+    ids = pa.chunked_array([pa.array([1, 2, 3])])
+    chunk = block_anchors.Chunk(ids, pa.chunked_array([pa.array(["a b c d", "x a b c", "y z x y"])]))
+    (row,) = block_anchors.window_rows(chunk, 0, np.array([0], np.uint64), 2, 3, 1)
+    told = block_anchors.answer_windows(pa.Table.from_pylist([row]))
+    assert told.num_rows == 1
+    keys, sides = (block_anchors.unpack(told.column(c)[0].as_py(), w) for c, w in (("keys", 8), ("sides", 4)))
+    says = np.frombuffer(told.column("says")[0].as_py(), np.uint8)
+    gone = block_anchors.covered_words(chunk, keys, sides, says, 3)
+    assert gone.tolist() == [False] * 4 + [False, True, True, True] + [False] * 4
+
+
+def test_rows_by_part_cover_the_hash_space():
+    rng = np.random.default_rng(2)
+    keys = np.sort(rng.integers(0, 1 << 64, 5000, np.uint64))
+    rows = block_anchors.rows_by_part(1_000_000_000, 3, keys, lambda s: {"keys": block_anchors.pack(keys[s], 8)})
+    assert len(rows) <= len(keys) and [r["part"] for r in rows] == sorted({r["part"] for r in rows})
+    assert np.concatenate([block_anchors.unpack(r["keys"], 8) for r in rows]).tolist() == keys.tolist()
+    assert all(0 <= r["part"] < 1_000_000_000 for r in rows)
+
+
+def test_rows_without_an_id_are_spread(spark):
+    """A third of all rows equal and without an id: no chunk has them all, and all keep what only they share."""
+    text = " ".join(f"n{k}" for k in range(40))
+    rows = [(None, text)] * 300 + [(k, f"own {k} " + text) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = block_anchors.remove_repeats(docs, chunk_bytes=3000).collect()
+    assert sorted((r.doc_id is None, r.n_removed) for r in found) == [(False, 0), (False, 40), (False, 40)] + [(True, 40)] * 300
+
+
 def best_fit_by_item(lengths, capacity):
     rooms = []
     for n in sorted(lengths, reverse=True):
@@ -242,3 +287,53 @@ def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.createDataFrame([(k,) for k in keys], "key string")
     made = filter_cascade.cascade(universe, spark.createDataFrame([(k,) for k in [*listed, "absent"]], "key string"), "c")
     assert len(made.levels) > 2 and [k for k in keys if k in made] == [k for k in keys if k in listed]
+
+
+@pytest.mark.parametrize("text", ["one text", None])
+def test_rows_without_an_id_are_drawn_one_by_one(spark, text):
+    """A thousand equal rows without an id at rate 1 give about a thousand, spread over tasks."""
+    rows = [(None, text or f"text {k}", "s") for k in range(1000)] + [(k, f"text {k}", "s") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    found = poisson_mixing.replicate(docs, weights={"s": 1})
+    counts = dict(found.groupBy(F.col("doc_id").isNull()).count().collect())
+    assert all(850 < n < 1150 for n in counts.values()) and len(counts) == 2
+    spread = found.where("doc_id IS NULL").select("shuffle_key").distinct().count()
+    assert spread == counts[True]
+
+
+def test_names_of_other_columns_do_not_matter(spark):
+    names = ["doc_id", "text", "source", "TEXT", "Source", "mix_u", "u", "cdf", "rated_source", "draw_id", "block", "copy"]
+    docs = spark.createDataFrame([(k, f"text {k}", "s", *[k] * 9) for k in range(50)], [f"x{k}" for k in range(12)]).toDF(*names)
+    found = poisson_mixing.replicate(docs, weights={"s": 1})
+    assert found.columns == [*names[:-1], "rate", "copies", "copy", "shuffle_key"]
+    rows = found.collect()
+    assert len(rows) > 20 and all(list(r[3:11]) == [r[0]] * 8 and r[1] == f"text {r[0]}" for r in rows)
+    model = rule_quality.Ensemble((), 0.0)
+    scored = rule_quality.scored(docs, model, into="SCORE")
+    assert scored.columns == [*names, "SCORE"] and {r[-1] for r in scored.collect()} == {0.5}
+
+
+def test_shards_use_more_cells_for_more_rows(spark, monkeypatch):
+    """With few rows to a cell the result keeps its laws, and more counts are taken."""
+    monkeypatch.setattr(label_shards, "REST_CELLS", 16)
+    monkeypatch.setattr(label_shards, "CELL_ROWS", 4)
+    docs = spark.createDataFrame([(k, f"t{k if k % 5 else 0}") for k in range(3000)], "doc_id long, text string")
+    found = label_shards.shards(docs, n_shards=7).collect()
+    sizes = Counter(r.shard for r in found)
+    assert len(found) == 3000 and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r.slot for r in found if r.shard == s) == list(range(n)) for s, n in sizes.items())
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session)
+    Context.master = "local-cluster[3,2,1024]"
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session)
