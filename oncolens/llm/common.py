@@ -6,6 +6,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -26,6 +27,11 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return plain.select(*[F.col(f"c{names.index(column)}").alias(alias) for alias, column in wanted.items()])
 
 
+@cache
+def local_folder() -> str:
+    return tempfile.mkdtemp(prefix="stages-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a local session without one gets its own, a cluster must name it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,8 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="stages-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = local_folder()
     return folder.rstrip("/")
 
 
