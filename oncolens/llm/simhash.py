@@ -163,7 +163,9 @@ def keep_one(
         F.count("*").alias("n_rows"), F.max(smallest).alias("smallest")
     )
     ids = store(ids.where("smallest"), "ids")
-    first = plain.join(ids.where("n_rows = 1").select(key), key, "left_semi").select(*plain.columns)
+    # By sorting, whatever the list's size: its work then grows evenly with the input and no threshold changes it.
+    once = ids.where("n_rows = 1").select(key).hint("merge")
+    first = plain.join(once, key, "left_semi").select(*plain.columns)
     again = plain.where(F.col(key).isNull())
     if not ids.where("n_rows > 1").isEmpty():
         again = again.unionByName(plain.join(ids.where("n_rows > 1").select(key), key, "left_semi").select(*plain.columns))
