@@ -14,12 +14,13 @@ HER2_GENE_CODE = "3430"
 HER2_AMPLIFICATION_CODE = "C16152"
 HER2_STATUS_CODE = "48676-1"
 HER2_STATUS_SCORES = ("0", "0+", "1", "1+", "2", "2+", "3", "3+")
-AMPLIFICATION_TEST_TYPES = ("copy number%", "%amplifi%")
+AMPLIFICATION_TEST_TYPES = "(copy number%|%amplifi%)"
 
+# Patterns of METHODS, TEST_TYPES, PATTERN and NAMES are SIMILAR TO patterns.
 # Test methods that count for the coded HER2 tests. The two cohort families
 # differ: one wants the word to start with immunohisto, one takes it anywhere.
-METHODS_PREFIX = ("immunohisto%", "%ish%", "%in situ%")
-METHODS_CONTAINS = ("%immun%", "%ish%", "%in situ%")
+METHODS_PREFIX = "(immunohisto%|%ish%|%in situ%)"
+METHODS_CONTAINS = "(%immun%|%ish%|%in situ%)"
 
 # --- ER / PR tests --------------------------------------------------------
 ER_CODES = ("14228-1", "40556-3", "16112-5")
@@ -32,10 +33,11 @@ GENE_TO_RECEPTOR = {"ESR1": "ER", "PGR": "PR"}
 RECEPTOR_GENE_TEST_TYPES = ("IHC", "ICC")
 
 # --- methods --------------------------------------------------------------
-IHC_PATTERNS = ("%immun%",)
-IHC_PATTERNS_GENETIC = ("%immun%", "%ihc%")
-FISH_PATTERNS = ("%ish%", "%in situ%")
-GENETIC_HER2_METHODS = ("%ihc%", "%in situ%", "%ish%")
+IHC_PATTERN = "%immun%"
+IHC_PATTERN_GENETIC = "%(immun|ihc)%"
+FISH_PATTERN = "%ish%|%in situ%"
+GENETIC_HER2_METHODS = "%(ihc|in situ|ish)%"
+HER2_NAMES = "%(ERBB2|HER2)%"
 GENETIC_HER2_UNITS = ("Staining Intensity (+)", "ERBB2:CEP17", "HER2/CEP-17 ratio", "Her2/Neu/Chromosome 17 Ratio")
 ISH_TEST_TYPES = ("Chromogenic In Situ Hybridization", "FISH")
 GENETIC_SCORES = ("0", "0.0", "1", "1.0", "2", "2.0", "3", "3.0")
@@ -104,6 +106,11 @@ class Ruleset:
     rules: tuple[ResultRule, ...]
     low: str
 
+    @property
+    def settled(self) -> tuple[str, str]:
+        """The results among which a day's tests may change to ``low``."""
+        return (self.low, "Negative")
+
 
 RULESETS = {"revised": Ruleset(REVISED_RULES, "Low"), "current": Ruleset(CURRENT_RULES, "Low1+")}
 

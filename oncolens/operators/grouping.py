@@ -38,14 +38,16 @@ def merge_copies(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy(*columns).agg(n.alias("n_rows"))
 
 
-def by_patient(merged: DataFrame) -> DataFrame:
+def by_patient(merged: DataFrame, placed: bool = False) -> DataFrame:
     """Place all rows of a patient together, once, for the patient-wise steps that follow.
 
+    ``placed`` says that they come from tables bucketed by patient and already are.
+
     Only for rows merged to (patient, day, method, result): neither copies nor test names
     or numbers, which are free text, make a patient larger. Windows and groupings by
     patient_id and anything else need no further shuffle.
     """
-    return merged.repartition("patient_id")
+    return merged if placed else merged.repartition("patient_id")
 
 
 Flags = Callable[[dict[str, Column], dict[str, Column]], dict[str, Column]]
@@ -136,6 +138,50 @@ def keys_not_in(
     return kept.where(~has_null & (F.col(key).isNotNull() | empty))
 
 
+MAP_BITS = 32768  # of one bitmap as bitmap_construct_agg makes it
+COHORT_BITS = 1 << 20
+
+
+def _slot(key: Column, n_bits: int) -> Column:
+    """A place for a key; as text, so that a whole number has the same one whatever its width."""
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(n_bits))
+
+
+def cohort_bits(cohort: DataFrame, key: str = "patient_id", n_bits: int = COHORT_BITS) -> Column:
+    """One value: an array of ``n_bits`` / 64 longs, in which every key of ``cohort`` has set a bit.
+
+    Its size does not depend on the cohort (128 KB by default), so any plan may carry it.
+    Bitmaps are or-ed map-side; one task puts at most ``n_bits`` / 32768 of them in order.
+    """
+    slots = cohort.where(F.col(key).isNotNull()).select((_slot(F.col(key), n_bits) + 1).alias("slot"))
+    maps = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
+    )
+    words = MAP_BITS // 64
+
+    def word(maps: Column, i: Column) -> Column:
+        bits = F.element_at(maps, F.floor(i / words) + 1)
+        eight = F.substring(bits, (i % words * 8 + 1).cast("int"), F.lit(8))
+        return F.coalesce(F.conv(F.hex(eight), 16, -10).cast("bigint"), F.lit(0).cast("bigint"))
+
+    one = maps.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bits"))).alias("maps"))
+    numbers = F.sequence(F.lit(0), F.lit(n_bits // 64 - 1))
+    return one.select(F.transform(numbers, lambda i: word(F.col("maps"), i)).alias("bits")).scalar()
+
+
+def may_hold(bits: Column, key: str = "patient_id", n_bits: int = COHORT_BITS) -> Column:
+    """Whether ``cohort_bits`` has the key's bit: true for every key of the cohort and for a few others.
+
+    A plain condition on the rows, so Spark tests it where it scans them, below every
+    exchange. The larger the cohort beside ``n_bits``, the more rows pass for nothing; the
+    join that is exact comes later and on what is left.
+    """
+    slot = _slot(F.col(key), n_bits)
+    place = slot % 64  # bit 0 of byte 0 comes first, and byte 0 is the highest of its long
+    shift = ((7 - F.floor(place / 8)) * 8 + place % 8).cast("int")
+    return F.call_function("shiftright", F.get(bits, F.floor(slot / 64).cast("int")), shift) % 2 != 0
+
+
 def join_per_patient(rows: DataFrame, cohort: DataFrame) -> DataFrame:
     """Inner join of many rows per patient with a cohort of few, split where a patient is hot."""
     return join_groups(rows, cohort.where(F.col("patient_id").isNotNull()), ["patient_id"], "inner")

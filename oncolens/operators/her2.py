@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oncolens.functions import vocab
-from oncolens.functions.columns import all_of, any_like, day_diff, drop_plus, ends_with_plus, first_match, one_of
+from oncolens.functions.columns import all_of, day_diff, drop_plus, ends_with_plus, first_match, one_of
+from oncolens.functions.patterns import similar_to
 from oncolens.operators.grouping import Flags, by_patient, flag_groups, judge_groups, merge_copies
 from oncolens.operators.nearest import match_nearest
 from oncolens.operators.windowed import her2_test_filter
@@ -25,15 +26,15 @@ GENETIC_COLUMNS = (
 )
 
 
-def method_mentions(patterns: Sequence[str]) -> Column:
-    """The method, or failing that the test's own name, reads like one of the patterns."""
-    return any_like(F.lower("test_method_name"), patterns) | any_like(F.lower("test_name_name"), patterns)
+def method_mentions(pattern: str) -> Column:
+    """The method, or failing that the test's own name, is similar to the pattern."""
+    return similar_to(F.lower("test_method_name"), pattern) | similar_to(F.lower("test_name_name"), pattern)
 
 
-def label_method(tests: DataFrame, ihc_patterns: Sequence[str] = vocab.IHC_PATTERNS) -> DataFrame:
+def label_method(tests: DataFrame, ihc_pattern: str = vocab.IHC_PATTERN) -> DataFrame:
     """Adds test_method; IHC wins where both are mentioned."""
     method = first_match(
-        [(method_mentions(ihc_patterns), "IHC"), (method_mentions(vocab.FISH_PATTERNS), "FISH")],
+        [(method_mentions(ihc_pattern), "IHC"), (method_mentions(vocab.FISH_PATTERN), "FISH")],
         otherwise=vocab.OTHER_METHOD,
     )
     return tests.withColumn("test_method", method)
@@ -74,7 +75,7 @@ SAME_DAY_SPANS = {"name": "test_value_name", "result": "test_result", "number":
 
 
 def _same_day_flags(ruleset: str) -> Flags:
-    settled = (vocab.RULESETS[ruleset].low, "Negative")
+    settled = vocab.RULESETS[ruleset].settled
 
     def judge(low, high):
         one_name = low["name"] == high["name"]
@@ -114,15 +115,15 @@ def apply_change(tests: DataFrame, ruleset: str = "revised") -> DataFrame:
     )
 
 
-def _cleaned(tests: DataFrame, ruleset: str, ihc_patterns: Sequence[str]) -> DataFrame:
-    return clean_numeric(clean_result(label_method(tests, ihc_patterns), ruleset))
+def _cleaned(tests: DataFrame, ruleset: str, ihc_pattern: Sequence[str]) -> DataFrame:
+    return clean_numeric(clean_result(label_method(tests, ihc_pattern), ruleset))
 
 
 def label_tests(
-    tests: DataFrame, ruleset: str = "revised", ihc_patterns: Sequence[str] = vocab.IHC_PATTERNS
+    tests: DataFrame, ruleset: str = "revised", ihc_pattern: str = vocab.IHC_PATTERN
 ) -> DataFrame:
     """Every labelling step on tests already selected; other columns pass through."""
-    return apply_change(same_day_indicator(_cleaned(tests, ruleset, ihc_patterns), ruleset), ruleset)
+    return apply_change(same_day_indicator(_cleaned(tests, ruleset, ihc_pattern), ruleset), ruleset)
 
 
 def bound_numeric(tests: DataFrame) -> DataFrame:
@@ -147,7 +148,7 @@ def bound_numeric(tests: DataFrame) -> DataFrame:
 
 
 def label_merged(
-    tests: DataFrame, ruleset: str = "revised", ihc_patterns: Sequence[str] = vocab.IHC_PATTERNS
+    tests: DataFrame, ruleset: str = "revised", ihc_pattern: str = vocab.IHC_PATTERN
 ) -> DataFrame:
     """The labels of ``label_tests`` on merged rows, for analyses that do not list tests.
 
@@ -156,7 +157,7 @@ def label_merged(
     a patient's rows together.
     """
     merged = merge_copies(bound_numeric(tests), *SAME_DAY, "test_value_name", "test_value_numeric")
-    return label_tests(merged, ruleset, ihc_patterns)
+    return label_tests(merged, ruleset, ihc_pattern)
 
 
 MATCHED_BY = ("patient_id", "test_date", "test_method", "test_result")
@@ -169,8 +170,59 @@ def _clean_score() -> Column:
     )
 
 
+def _flags_by_ruleset(rulesets: Sequence[str]) -> Flags:
+    """The same-day flags of each ruleset, from spans that hold a result per ruleset."""
+
+    def judge(low, high):
+        flags = {}
+        for r in rulesets:
+            own = [{**span, "result": span[f"result_{r}"]} for span in (low, high)]
+            flags |= {f"{name}_{r}": flag for name, flag in _same_day_flags(r)(*own).items()}
+        return flags
+
+    return judge
+
+
+def settled_by_ruleset(
+    tests: DataFrame, rulesets: Sequence[str], ihc_pattern: str = vocab.IHC_PATTERN
+) -> DataFrame:
+    """``settled_tests`` of several rulesets from one pass, with ``ruleset``.
+
+    Each test gets a result per ruleset and stays one row; the group's aggregate judges
+    them side by side. Only what is settled, a few rows per group, is unfolded.
+    """
+    labelled = label_method(tests, ihc_pattern).where(one_of("test_method", ("IHC", "FISH")))
+    for r in rulesets:
+        labelled = clean_result(labelled, r).withColumnRenamed("test_result", f"test_result_{r}")
+    clean = _clean_score()
+    named = {f"n_named_{r}": F.count_if(clean & F.col(f"test_result_{r}").isNotNull()) for r in rulesets}
+    judged = judge_groups(
+        clean_numeric(labelled),
+        (*SAME_DAY, "test_method"),
+        {k: c for k, c in SAME_DAY_SPANS.items() if k != "result"} | {f"result_{r}": f"test_result_{r}" for r in rulesets},
+        _flags_by_ruleset(rulesets),
+        n_clean=F.count_if(clean),
+        **named,
+    )
+
+    def readings(r: str) -> Column:
+        def reading(result: Column, n: Column) -> Column:
+            return F.struct(F.lit(r).alias("ruleset"), result.cast("string").alias("test_result"), n.alias("n_rows"))
+
+        n, n_named = F.col("n_clean"), F.col(f"n_named_{r}")
+        as_found = F.array(reading(F.col(f"min_result_{r}"), n_named), reading(F.lit(None), n - n_named))
+        changed = F.array(reading(F.lit(vocab.RULESETS[r].low), n))
+        return F.when((F.col("test_method") == "IHC") & F.col(f"may_change_{r}"), changed).when(
+            ~F.col(f"conflicts_{r}"), as_found
+        )
+
+    found = F.flatten(F.array_compact(F.array(*[readings(r) for r in rulesets])))
+    settled = judged.select("patient_id", "test_date", "test_method", F.inline(found)).where("n_rows > 0")
+    return merge_copies(settled, "ruleset", *MATCHED_BY)
+
+
 def settled_tests(
-    tests: DataFrame, ruleset: str = "revised", ihc_patterns: Sequence[str] = vocab.IHC_PATTERNS
+    tests: DataFrame, ruleset: str = "revised", ihc_pattern: str = vocab.IHC_PATTERN
 ) -> DataFrame:
     """The tests that take part in FISH matching, merged to MATCHED_BY with ``n_rows``.
 
@@ -179,30 +231,7 @@ def settled_tests(
     and missing ones, so an aggregate that combines map-side is the whole judgement and
     no test is joined back or sorted.
     """
-    cleaned = _cleaned(tests, ruleset, ihc_patterns).where(one_of("test_method", ("IHC", "FISH")))
-    clean, missing = _clean_score(), F.col("test_result").isNull()
-    judged = judge_groups(
-        cleaned,
-        (*SAME_DAY, "test_method"),
-        SAME_DAY_SPANS,
-        _same_day_flags(ruleset),
-        n_named=F.count_if(clean & ~missing),
-        n_missing=F.count_if(clean & missing),
-    )
-    named, unnamed = F.col("n_named"), F.col("n_missing")
-    as_found = F.array(
-        F.struct(F.col("min_result").alias("test_result"), named.alias("n_rows")),
-        F.struct(F.lit(None).cast("string").alias("test_result"), unnamed.alias("n_rows")),
-    )
-    changed = F.array(F.struct(F.lit(vocab.RULESETS[ruleset].low).alias("test_result"), (named + unnamed).alias("n_rows")))
-    return merge_copies(
-        _with_indicator(judged)
-        .where(F.col("sameday_ind") != "conflicting")
-        .withColumn("readings", F.when(F.col("sameday_ind") == "change", changed).otherwise(as_found))
-        .select("patient_id", "test_date", "test_method", F.inline("readings"))
-        .where("n_rows > 0"),
-        *MATCHED_BY,
-    )
+    return settled_by_ruleset(tests, (ruleset,), ihc_pattern).drop("ruleset")
 
 
 def her2_label(patient_test: DataFrame, ruleset: str = "revised") -> DataFrame:
@@ -228,7 +257,7 @@ def her2_tests_with_genetic(patient_test: DataFrame, genetic_test: DataFrame) ->
     genetic = (
         genetic_test.where(
             (F.col("biomarker_name") == "ERBB2")
-            & any_like(F.lower("biomarker_test_type"), vocab.GENETIC_HER2_METHODS)
+            & similar_to(F.lower("biomarker_test_type"), vocab.GENETIC_HER2_METHODS)
         )
         .select(
             "patient_id",
@@ -247,7 +276,7 @@ def her2_tests_with_genetic(patient_test: DataFrame, genetic_test: DataFrame) ->
 
 def her2_label_with_genetic(patient_test: DataFrame, genetic_test: DataFrame) -> DataFrame:
     return label_tests(
-        her2_tests_with_genetic(patient_test, genetic_test), "revised", vocab.IHC_PATTERNS_GENETIC
+        her2_tests_with_genetic(patient_test, genetic_test), "revised", vocab.IHC_PATTERN_GENETIC
     )
 
 
@@ -261,8 +290,13 @@ def nearest_fish_for_ihc(labelled: DataFrame, window_days: tuple[int, int] | Non
     return match_settled(merge_copies(usable, *MATCHED_BY), window_days)
 
 
-def match_settled(settled: DataFrame, window_days: tuple[int, int] | None = None) -> DataFrame:
-    """The matching itself, on distinct MATCHED_BY rows with ``n_rows``.
+def match_settled(
+    settled: DataFrame,
+    window_days: tuple[int, int] | None = None,
+    by: Sequence[str] = (),
+    placed: bool = False,
+) -> DataFrame:
+    """The matching itself, on distinct MATCHED_BY rows with ``n_rows``; apart for each value of ``by``.
 
     Ties are kept; undated FISH counts only for patients without a dated one; an IHC test
     of a patient without FISH stays with empty FISH columns.
@@ -272,10 +306,11 @@ def match_settled(settled: DataFrame, window_days: tuple[int, int] | None = None
     """
     method, value = F.col("test_method"), F.struct("test_result", "n_rows")
     # One entry per distinct result of a patient's day.
-    days = by_patient(settled).groupBy("patient_id", F.col("test_date").alias("day")).agg(
+    days = by_patient(settled, placed).groupBy(*by, "patient_id", F.col("test_date").alias("day")).agg(
         *[F.collect_list(F.when(method == kind, value)).alias(kind.lower()) for kind in ("IHC", "FISH")]
     )
-    out = match_nearest(days, "ihc", "fish").select(
+    out = match_nearest(days, "ihc", "fish", by).select(
+        *by,
         "patient_id",
         F.col("day").alias("ihc_test_date"),
         F.col("ihc.test_result").alias("ihc_test_result"),

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from oncolens.functions.columns import day_diff
 
 
-def match_nearest(days: DataFrame, left: str, right: str) -> DataFrame:
+def match_nearest(days: DataFrame, left: str, right: str, by: Sequence[str] = ()) -> DataFrame:
     """Pair each day's ``left`` values with the ``right`` values of the nearest day(s).
 
-    ``days`` has one row per patient_id and day with two arrays of structs, either may
-    be empty. Out come patient_id, day, one ``left`` struct, right_day and one ``right``
+    ``days`` has one row per patient_id, ``by`` and day with two arrays of structs, either
+    may be empty. Out come patient_id, day, one ``left`` struct, right_day and one ``right``
     struct per row. Two days equally far before and after both count; values without a
     day count only for patients with no dated ones; with none at all ``right`` is null.
 
@@ -22,7 +22,7 @@ def match_nearest(days: DataFrame, left: str, right: str) -> DataFrame:
     per patient on which each takes the last right day up to it and the first from it:
     a sort, not a product. The timeline is bounded by the calendar.
     """
-    patient = Window.partitionBy("patient_id")
+    patient = Window.partitionBy(*by, "patient_id")
     upward = patient.orderBy(F.col("day").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     downward = patient.orderBy(F.col("day").desc_nulls_last()).rangeBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -49,9 +49,9 @@ def match_nearest(days: DataFrame, left: str, right: str) -> DataFrame:
             F.when(back.isNull() & ahead.isNull(), F.col("undated")),
         )
     )
-    matched = placed.select("patient_id", "day", left, F.explode_outer(nearest).alias("match"))
+    matched = placed.select(*by, "patient_id", "day", left, F.explode_outer(nearest).alias("match"))
     paired = matched.select(
-        "patient_id", "day", left, F.col("match.day").alias("right_day"), F.explode_outer(f"match.{right}").alias(right)
+        *by, "patient_id", "day", left, F.col("match.day").alias("right_day"), F.explode_outer(f"match.{right}").alias(right)
     )
     return paired.withColumn(left, F.explode(left))
 

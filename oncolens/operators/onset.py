@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oncolens.functions import vocab
-from oncolens.functions.columns import month_diff
-from oncolens.operators.grouping import keys_in, keys_not_in
+from oncolens.functions.columns import month_number
+from oncolens.operators.grouping import keys_in
 
 
 def metastatic_onset(stage: DataFrame, condition: DataFrame) -> DataFrame:
@@ -85,21 +85,36 @@ def metastatic_on_therapy(onset: DataFrame, therapy: DataFrame) -> DataFrame:
     return keys_in(onset, therapy, merged=True).select("patient_id", "met_date").distinct()
 
 
+def in_years(first: int, last: int) -> Column:
+    return F.year("met_date").between(first, last)
+
+
 def onset_year_between(cohort: DataFrame, first: int, last: int) -> DataFrame:
-    return cohort.where(F.year("met_date").between(first, last))
+    return cohort.where(in_years(first, last))
+
+
+def flag_second_primary(
+    cohort: DataFrame, condition: DataFrame, code: str = vocab.SECOND_PRIMARY_CODE, months: int = 36
+) -> DataFrame:
+    """Cohort rows with ``second_primary``: another curated primary within ``months`` of the row's onset.
+
+    A patient's other primaries are the distinct months of their diagnoses, so few; the
+    cohort is read once.
+    """
+    others = condition.where((F.col("diagnosis_type_code") == code) & (F.col("curation_indicator") == 1))
+    others = others.groupBy(F.col("patient_id").alias("other_patient")).agg(
+        F.collect_set(month_number(F.col("diagnosis_date"))).alias("other_months")
+    )
+    onset = month_number(F.col("met_date"))
+    near = F.exists("other_months", lambda other: F.abs(other - onset) <= months)
+    joined = cohort.join(others, F.col("patient_id") == F.col("other_patient"), "left")
+    return joined.withColumn("second_primary", F.coalesce(near, F.lit(False))).select(*cohort.columns, "second_primary")
 
 
 def exclude_second_primary(
     cohort: DataFrame, condition: DataFrame, code: str = vocab.SECOND_PRIMARY_CODE, months: int = 36
 ) -> DataFrame:
     """Drop patients with another curated primary within ``months`` of any of their onsets."""
-    others = (
-        condition.where((F.col("diagnosis_type_code") == code) & (F.col("curation_indicator") == 1))
-        .select(F.col("patient_id").alias("other_patient"), F.trunc("diagnosis_date", "month").alias("other_month"))
-        .distinct()
-    )
-    near = (F.col("patient_id") == F.col("other_patient")) & (
-        F.abs(month_diff(F.col("met_date"), F.col("other_month"))) <= months
-    )
-    excluded = cohort.join(others, near, "left_semi")
-    return keys_not_in(cohort, excluded, merged=True)
+    flagged = flag_second_primary(cohort, condition, code, months)
+    anywhere = F.max("second_primary").over(Window.partitionBy("patient_id"))
+    return flagged.withColumn("second_primary", anywhere).where(~F.col("second_primary")).select(*cohort.columns)

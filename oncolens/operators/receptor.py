@@ -26,8 +26,8 @@ GENETIC_COLUMNS = (
 CONFLICT_COLUMNS = (*SAME_DAY, "biomarker", "test_method", "test_result")
 RECEPTOR_COLUMNS = ("patient_id", "biomarker", "test_result", "test_date", "test_method")
 
-# Patterns that also recognise genetic IHC/ICC rows and receptor diagnoses.
-IHC_PATTERNS_FIXED = ("%immun%", "%ihc%", "%icc%")
+# Also recognises genetic IHC/ICC rows and receptor diagnoses.
+IHC_PATTERN_FIXED = "%(immun|ihc|icc)%"
 
 
 def _receptor_rows(patient_test: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def er_pr_label(
     ``columns`` narrows the rows and leaves copies to the caller.
     """
     tests = _clean_receptor_result(_receptor_rows(patient_test)).withColumn(
-        "test_method", F.when(method_mentions(vocab.IHC_PATTERNS), "IHC").otherwise("Not Specified")
+        "test_method", F.when(method_mentions(vocab.IHC_PATTERN), "IHC").otherwise("Not Specified")
     )
     diagnoses = receptor_diagnoses(condition).select(
         "patient_id",
@@ -123,8 +123,8 @@ def er_pr_label_with_genetic(
         F.lit("ER").alias("biomarker"),
     )
     rows = clinical.union(genetic).union(_with_columns_of(diagnoses, clinical, GENETIC_COLUMNS))
-    patterns = IHC_PATTERNS_FIXED if fix_ihc_label else vocab.IHC_PATTERNS
-    method = F.when(method_mentions(patterns), "IHC").otherwise(vocab.OTHER_METHOD)
+    pattern = IHC_PATTERN_FIXED if fix_ihc_label else vocab.IHC_PATTERN
+    method = F.when(method_mentions(pattern), "IHC").otherwise(vocab.OTHER_METHOD)
     if columns:
         return _clean_receptor_result(rows).withColumn("test_method", method).select(*columns)
     return _clean_receptor_result(rows.distinct()).withColumn("test_method", method)
@@ -149,9 +149,9 @@ def settled_receptors(er_pr: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def her2_results(nearest: DataFrame) -> DataFrame:
+def her2_results(nearest: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """HER2 results, one row per test: the IHC and FISH halves of each matched pair are
-    unfolded from a single read."""
+    unfolded from a single read. Columns ``by`` come first, here and below."""
     halves = F.array(
         *[
             F.struct(
@@ -163,30 +163,30 @@ def her2_results(nearest: DataFrame) -> DataFrame:
             for kind in ("ihc", "fish")
         ]
     )
-    return nearest.select("patient_id", F.inline(halves)).select(*RECEPTOR_COLUMNS)
+    return nearest.select(*by, "patient_id", F.inline(halves)).select(*by, *RECEPTOR_COLUMNS)
 
 
-def receptor_tests(er_pr: DataFrame, nearest: DataFrame) -> DataFrame:
+def receptor_tests(er_pr: DataFrame, nearest: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Distinct ER/PR and HER2 results in one shape."""
-    return er_pr.select(*RECEPTOR_COLUMNS).union(her2_results(nearest)).distinct()
+    return er_pr.select(*by, *RECEPTOR_COLUMNS).union(her2_results(nearest, by)).distinct()
 
 
-def ranked_by_onset(tests: DataFrame, onset: DataFrame) -> DataFrame:
+def ranked_by_onset(tests: DataFrame, onset: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Dated tests of the cohort, ranked by distance from onset per biomarker and method."""
     dated = tests.where(F.col("test_date").isNotNull()).join(onset, "patient_id")
-    keys = ("patient_id", "met_date", "biomarker", "test_method")
+    keys = (*by, "patient_id", "met_date", "biomarker", "test_method")
     ranked = rank_by_distance(dated, keys, "met_date", "test_date", "datediffer", "closest_test")
     return ranked.select(
-        "patient_id", "met_date", "test_date", "biomarker", "test_method", "test_result", "datediffer", "closest_test"
+        *by, "patient_id", "met_date", "test_date", "biomarker", "test_method", "test_result", "datediffer", "closest_test"
     )
 
 
-def nearest_test_to_onset(tests: DataFrame, onset: DataFrame) -> DataFrame:
+def nearest_test_to_onset(tests: DataFrame, onset: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The test(s) of each biomarker and method nearest to onset, ties kept."""
-    return keep_nearest(ranked_by_onset(tests, onset))
+    return keep_nearest(ranked_by_onset(tests, onset, by))
 
 
-def receptor_wide(nearest: DataFrame) -> DataFrame:
+def receptor_wide(nearest: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per patient and onset: a column per receptor and method, and hr_status.
 
     Tied results are settled by the largest text. Positive needs one positive receptor;
@@ -205,7 +205,7 @@ def receptor_wide(nearest: DataFrame) -> DataFrame:
         ).alias(name)
         for name, (marker, method) in cells.items()
     ]
-    wide = nearest.where(one_of("test_method", ("FISH", "IHC"))).groupBy("patient_id", "met_date").agg(*largest)
+    wide = nearest.where(one_of("test_method", ("FISH", "IHC"))).groupBy(*by, "patient_id", "met_date").agg(*largest)
     er, pr, both = F.col("er"), F.col("pr"), F.col("er_pr")
     status = first_match(
         [

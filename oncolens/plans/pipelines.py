@@ -10,13 +10,45 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from oncolens.functions import vocab
 from oncolens.operators import her2, onset, ras, receptor, windowed
-from oncolens.operators.grouping import by_patient
+from oncolens.operators.grouping import by_patient, cohort_bits, count_patients, may_hold
 
 Load = Callable[[str], DataFrame]
 SOURCES = ("revised", "current", "genetic")
+RULESETS = ("revised", "current")
+#: Tables with many rows per patient, of which a cohort needs its own patients' only.
+TEST_TABLES = ("patient_test", "genetic_test", "condition")
+
+
+class placed:
+    """``load`` of tables that are bucketed by patient alike (``tables.write_bucketed``).
+
+    Patient-wise plans on one table then work bucket by bucket and exchange nothing. A
+    bucket can't be split, so this is for data in which no patient fills one.
+    """
+
+    def __init__(self, load: Load):
+        self.load = load
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.load(name)
+
+
+def for_cohort(load: Load, cohort: DataFrame) -> Load:
+    """``load`` with the test tables cut to the cohort's patients, and a few others, where they are scanned.
+
+    For steps that work patient by patient and end in a join with the cohort: the join
+    stays exact, and what precedes it no longer judges, shuffles and matches everybody.
+    """
+    bits = cohort_bits(cohort)
+
+    def cut(name: str) -> DataFrame:
+        return load(name).where(may_hold(bits)) if name in TEST_TABLES else load(name)
+
+    return placed(cut) if isinstance(load, placed) else cut
 
 
 # --- metastatic cohort ----------------------------------------------------
@@ -58,8 +90,33 @@ def er_pr_tests(load: Load) -> DataFrame:
     return windowed.er_pr_tests(load("patient_test"), load("condition"))
 
 
+def tests_by_kind(load: Load) -> DataFrame:
+    return windowed.tests_by_kind(load("patient_test"), load("condition"))
+
+
 def both_in_window(load: Load, first: int, last: int) -> DataFrame:
-    return windowed.with_both_tests_in_window(no_second_primary(load, first, last), her2_tests(load), er_pr_tests(load))
+    return windowed.with_kinds_in_window(no_second_primary(load, first, last), tests_by_kind(load))
+
+
+def funnel(load: Load, first: int, last: int) -> DataFrame:
+    """One row: the patients left after each step from therapy to both tests, in one pass.
+
+    Each step is a flag on the treated patients rather than a cohort of its own; a
+    patient's onset is one row, so flags are counted as they stand.
+    """
+    treated = metastatic_on_therapy(load)
+    flagged = onset.flag_second_primary(treated, load("condition"))
+    flagged = windowed.flag_tested(flagged, windowed.month_bits(tests_by_kind(load), windowed.KINDS), windowed.KINDS)
+    in_years = onset.in_years(first, last)
+    alone = in_years & ~F.col("second_primary")
+    return count_patients(
+        flagged,
+        n_on_therapy=F.lit(True),
+        n_onset_in_years=in_years,
+        n_no_second_primary=alone,
+        n_her2_in_window=alone & F.col("her2"),
+        n_both_in_window=alone & F.col("her2") & F.col("er_pr"),
+    )
 
 
 # --- receptor status ------------------------------------------------------
@@ -74,15 +131,17 @@ def labelled_merged(load: Load, source: str = "revised") -> DataFrame:
     """The same labels on merged tests, for everything that does not list tests."""
     if source == "genetic":
         tests = her2.her2_tests_with_genetic(load("patient_test"), load("genetic_test"))
-        return her2.label_merged(tests, "revised", vocab.IHC_PATTERNS_GENETIC)
+        return her2.label_merged(tests, "revised", vocab.IHC_PATTERN_GENETIC)
     return her2.label_merged(windowed.her2_test_filter(load("patient_test")), source)
 
 
 def nearest_fish(load: Load, source: str = "revised") -> DataFrame:
     if source == "genetic":
         tests = her2.her2_tests_with_genetic(load("patient_test"), load("genetic_test"))
-        return her2.match_settled(her2.settled_tests(tests, "revised", vocab.IHC_PATTERNS_GENETIC))
-    return her2.match_settled(her2.settled_tests(windowed.her2_test_filter(load("patient_test")), source))
+        settled = her2.settled_tests(tests, "revised", vocab.IHC_PATTERN_GENETIC)
+    else:
+        settled = her2.settled_tests(windowed.her2_test_filter(load("patient_test")), source)
+    return her2.match_settled(settled, placed=isinstance(load, placed))
 
 
 def er_pr_labelled(load: Load, source: str = "revised", columns: Sequence[str] | None = None) -> DataFrame:
@@ -96,7 +155,7 @@ def er_pr_labelled(load: Load, source: str = "revised", columns: Sequence[str] |
 
 def receptor_tests(load: Load, source: str = "revised") -> DataFrame:
     settled = receptor.settled_receptors(er_pr_labelled(load, source, receptor.CONFLICT_COLUMNS))
-    return receptor.receptor_tests(by_patient(settled), nearest_fish(load, source))
+    return receptor.receptor_tests(by_patient(settled, isinstance(load, placed)), nearest_fish(load, source))
 
 
 def her2_results(load: Load, source: str = "revised") -> DataFrame:
@@ -105,13 +164,33 @@ def her2_results(load: Load, source: str = "revised") -> DataFrame:
 
 
 def nearest_to_onset(load: Load, source: str = "revised") -> DataFrame:
-    return receptor.nearest_test_to_onset(receptor_tests(load, source), metastatic_onset(load))
+    cohort = metastatic_onset(load)
+    return receptor.nearest_test_to_onset(receptor_tests(for_cohort(load, cohort), source), cohort)
 
 
 def receptor_status(load: Load, source: str = "revised") -> DataFrame:
     return receptor.receptor_wide(nearest_to_onset(load, source))
 
 
+# The revised and the current rules side by side: one read of the tests, ``ruleset`` in front of each row.
+def nearest_fish_by_ruleset(load: Load) -> DataFrame:
+    settled = her2.settled_by_ruleset(windowed.her2_test_filter(load("patient_test")), RULESETS)
+    return her2.match_settled(settled, by=("ruleset",), placed=isinstance(load, placed))
+
+
+def her2_results_by_ruleset(load: Load) -> DataFrame:
+    return receptor.her2_results(nearest_fish_by_ruleset(load), by=("ruleset",)).distinct()
+
+
+def receptor_status_by_ruleset(load: Load) -> DataFrame:
+    cohort = metastatic_onset(load)
+    cut = for_cohort(load, cohort)
+    settled = receptor.settled_receptors(er_pr_labelled(cut, columns=receptor.CONFLICT_COLUMNS))
+    er_pr = by_patient(settled, isinstance(load, placed)).withColumn("ruleset", F.explode(F.array(*map(F.lit, RULESETS))))
+    tests = receptor.receptor_tests(er_pr, nearest_fish_by_ruleset(cut), by=("ruleset",))
+    return receptor.receptor_wide(receptor.nearest_test_to_onset(tests, cohort, by=("ruleset",)), by=("ruleset",))
+
+
 # --- RAS ------------------------------------------------------------------
 def ras_correct_counts(load: Load) -> DataFrame:
     return ras.ras_correct_counts(ras.ras_variant_ranks(load("biomarker_table")))

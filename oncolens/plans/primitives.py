@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from oncolens.functions import vocab
 from oncolens.functions.columns import (
-    any_like,
     day_diff,
     drop_plus,
     ends_with_plus,
@@ -17,6 +16,7 @@ from oncolens.functions.columns import (
     one_of,
     percent,
 )
+from oncolens.functions.patterns import similar_to
 from oncolens.operators import her2, nearest, ras, receptor, windowed
 from oncolens.operators.grouping import (
     count_patients,
@@ -111,7 +111,7 @@ def p15_ilike(load: Load) -> DataFrame:
 def p16_similar_to(load: Load) -> DataFrame:
     return (
         load("patient_test")
-        .where(any_like(F.lower("genetic_test_type_name"), vocab.AMPLIFICATION_TEST_TYPES))
+        .where(similar_to(F.lower("genetic_test_type_name"), vocab.AMPLIFICATION_TEST_TYPES))
         .select("patient_id", "test_name_code", "genetic_test_type_name")
     )
 
@@ -374,11 +374,15 @@ def o01_order_by(load: Load) -> DataFrame:
 
 
 def o02_limit(load: Load) -> DataFrame:
-    return reports.preview(load("genetic_test"))
+    """The most tested patients; Spark keeps the best 20 of each task and merges those."""
+    counted = load("patient_test").groupBy("patient_id").agg(F.count("*").alias("n_tests"))
+    return counted.orderBy(col("n_tests").desc(), "patient_id").limit(20)
 
 
 def u01_union(load: Load) -> DataFrame:
-    return pipelines.er_pr_tests(load)
+    staged = load("stage").where(col("stage_group_name").ilike("stage 4%")).select("patient_id", col("stage_date").alias("day"))
+    positive = load("biomarker_table").where(col("test_result_name") == "Positive").select("patient_id", "report_date")
+    return staged.union(positive).distinct()
 
 
 def u02_except(load: Load) -> DataFrame:

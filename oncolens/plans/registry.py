@@ -44,7 +44,6 @@ def _her2_steps(load: Load, last: str, ruleset: str = "revised") -> DataFrame:
         "result": lambda d: her2.clean_result(d, ruleset),
         "numeric": her2.clean_numeric,
         "same_day": lambda d: her2.same_day_indicator(d, ruleset),
-        "change": lambda d: her2.apply_change(d, ruleset),
     }
     for name, step in steps.items():
         df = step(df)
@@ -53,6 +52,15 @@ def _her2_steps(load: Load, last: str, ruleset: str = "revised") -> DataFrame:
     raise KeyError(last)
 
 
+def _changed(load: Load, ruleset: str) -> DataFrame:
+    """The rows that ``apply_change`` changes, with their result before."""
+    judged = _her2_steps(load, "same_day", ruleset).where(F.col("sameday_ind") == "change")
+    changed = her2.apply_change(judged.withColumn("result_before", F.col("test_result")), ruleset)
+    return changed.select(
+        *her2.SAME_DAY, "test_value_name", "test_value_numeric", "result_before", "test_result", "sameday_ind"
+    )
+
+
 def _table(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Load], DataFrame]:
     return lambda load: operator(load(name))
 
@@ -77,8 +85,8 @@ COMPOSITES: dict[str, Callable[[Load], DataFrame]] = {
     "clean_numeric": lambda load: _her2_steps(load, "numeric"),
     "same_day_indicator": lambda load: _her2_steps(load, "same_day"),
     "same_day_indicator_current": lambda load: _her2_steps(load, "same_day", "current"),
-    "apply_change": lambda load: _her2_steps(load, "change"),
-    "apply_change_current": lambda load: _her2_steps(load, "change", "current"),
+    "apply_change": lambda load: _changed(load, "revised"),
+    "apply_change_current": lambda load: _changed(load, "current"),
     "her2_label_with_genetic": lambda load: pipelines.labelled(load, "genetic"),
     "er_pr_label": pipelines.er_pr_labelled,
     "er_pr_label_with_genetic": lambda load: pipelines.er_pr_labelled(load, "genetic"),
@@ -138,10 +146,18 @@ def _her2_negative_rows():
     return reports.her2_result("Negative")
 
 
-def _diff(stage, left: str, right: str, rows, others) -> Callable[[Load], DataFrame]:
-    return lambda load: reports.ruleset_diff(
-        stage(load, left).where(rows()), stage(load, right).where(others()), merged=True
-    )
+def _diff(stage, left: str, right: str, condition) -> Callable[[Load], DataFrame]:
+    return lambda load: reports.ruleset_diff_side_by_side(stage(load), left, right, condition(), condition())
+
+
+def _negative_counts(load: Load) -> DataFrame:
+    """The four counts of HER2-negative patients, both rulesets, from one pass."""
+    nearest, found = pipelines.nearest_fish_by_ruleset(load), {}
+    for ruleset in pipelines.RULESETS:
+        own = F.col("ruleset") == ruleset
+        found[f"nearest_{ruleset}"] = own & _ihc_negative()
+        found[f"combined_{ruleset}"] = own & (_ihc_negative() | (F.col("fish_test_result") == "Negative"))
+    return count_patients(nearest, **found)
 
 
 def _any_stained():
@@ -154,6 +170,7 @@ REPORTS: dict[str, Callable[[Load], DataFrame]] = {
     "n_no_second_primary": _n(lambda load: pipelines.no_second_primary(load, *YEARS)),
     "n_her2_in_window": _n(lambda load: pipelines.her2_in_window(load, *YEARS)),
     "n_both_in_window": _n(lambda load: pipelines.both_in_window(load, *YEARS)),
+    "funnel_counts": lambda load: pipelines.funnel(load, *YEARS),
     "q_h13_labelled_genetic": _n(partial(pipelines.labelled_merged, source="genetic")),
     "q_h14_labelled_counts": lambda load: reports.labelled_counts(pipelines.labelled_merged(load)),
     "q_h14_labelled_counts_current": lambda load: reports.labelled_counts(pipelines.labelled_merged(load, "current")),
@@ -172,13 +189,10 @@ REPORTS: dict[str, Callable[[Load], DataFrame]] = {
         "patient_id",
         "test_date",
     ),
-    "q_h17_nearest": _diff(pipelines.nearest_fish, "revised", "current", _ihc_negative, _ihc_negative),
-    "q_h17_combined": _diff(
-        pipelines.her2_results, "revised", "current", _her2_negative_rows, _her2_negative_rows
-    ),
-    "q_h17_wide": _diff(
-        pipelines.receptor_status, "current", "revised", _hr_positive_strict, _hr_positive_strict
-    ),
+    "q_h16_negative_counts": _negative_counts,
+    "q_h17_nearest": _diff(pipelines.nearest_fish_by_ruleset, "revised", "current", _ihc_negative),
+    "q_h17_combined": _diff(pipelines.her2_results_by_ruleset, "revised", "current", _her2_negative_rows),
+    "q_h17_wide": _diff(pipelines.receptor_status_by_ruleset, "current", "revised", _hr_positive_strict),
     "q_h18_negative_tests": lambda load: reports.sorted_by(
         pipelines.labelled(load).where(reports.stained_negative()), "patient_id"
     ),

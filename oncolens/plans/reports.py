@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oncolens.functions import vocab
-from oncolens.functions.columns import any_like, one_of
+from oncolens.functions.columns import one_of
+from oncolens.functions.patterns import similar_to
 from oncolens.operators.grouping import count_patients, keys_in, keys_not_in, repeat_rows
 
 STAINED = ("IHC", "FISH")
@@ -99,6 +100,13 @@ def ruleset_diff(rows: DataFrame, others: DataFrame, merged: bool = False) -> Da
     return keys_not_in(rows, others, merged=merged)
 
 
+def ruleset_diff_side_by_side(both: DataFrame, left: str, right: str, rows: Column, others: Column) -> DataFrame:
+    """``ruleset_diff`` where one table holds both rulesets; its rows lie placed by patient already."""
+    elsewhere = F.max(F.when((F.col("ruleset") == right) & others, 1)).over(Window.partitionBy("patient_id"))
+    kept = both.withColumn("elsewhere", elsewhere).where((F.col("ruleset") == left) & rows & F.col("elsewhere").isNull())
+    return kept.drop("elsewhere", "ruleset")
+
+
 def her2_result(result: str) -> Column:
     return (F.col("biomarker") == "HER2") & (F.col("test_result") == result)
 
@@ -142,4 +150,4 @@ def scored_genetic(genetic_test: DataFrame) -> DataFrame:
 
 def named_her2(patient_test: DataFrame) -> DataFrame:
     """Tests whose name holds ERBB2 or HER2, as written."""
-    return patient_test.where(any_like(F.col("test_name_name"), ("%ERBB2%", "%HER2%")))
+    return patient_test.where(similar_to(F.col("test_name_name"), vocab.HER2_NAMES))

@@ -37,17 +37,25 @@ class Choice:
 
 @dataclass(frozen=True)
 class Either:
-    """One choice where ``condition`` holds, another where not."""
+    """One expression where ``condition`` holds, another where not."""
 
     condition: str
-    then: Choice
-    otherwise: Choice
+    then: str | Choice | Either
+    otherwise: str | Choice | Either
 
     def spark(self) -> str:
-        return f"CASE WHEN {self.condition} THEN {self.then.spark()} ELSE {self.otherwise.spark()} END"
+        return f"CASE WHEN {self.condition} THEN {spark_text(self.then)} ELSE {spark_text(self.otherwise)} END"
 
     def duckdb(self) -> str:
-        return f"CASE WHEN {self.condition} THEN {self.then.duckdb()} ELSE {self.otherwise.duckdb()} END"
+        return f"CASE WHEN {self.condition} THEN {duckdb_text(self.then)} ELSE {duckdb_text(self.otherwise)} END"
+
+
+def spark_text(e: str | Choice | Either) -> str:
+    return e if isinstance(e, str) else e.spark()
+
+
+def duckdb_text(e: str | Choice | Either) -> str:
+    return e if isinstance(e, str) else e.duckdb()
 
 
 def pick(expr: str, *values: str | None) -> Choice:
@@ -66,6 +74,9 @@ PARTIAL_DAY = (
     f"WHEN o_orderkey % 7 = 1 THEN substr({DAY_TEXT},1,7) "
     f"WHEN o_orderkey % 31 = 2 THEN NULL ELSE {DAY_TEXT} END"
 )
+# Patients whose results go by the kind of test, so that every counted receptor group has some.
+SORTED_PATIENTS = "o_custkey % 9 = 8"
+HER2_NAMES = ("Borderline", "Low", "Borderline", "Low", "Negative")
 RESULT_NAMES = ("Positive", "Negative", "Negative", "Borderline", "Equivocal", "Low", None, "Not Recorded")
 
 
@@ -159,7 +170,13 @@ VIEWS: dict[str, View] = {
                 "Progesterone receptor", "Ki-67",
             ),
             "test_value_name": Either(
-                "o_orderkey % 7 < 4", pick("o_custkey % 8", *RESULT_NAMES), pick("l_partkey % 8", *RESULT_NAMES)
+                SORTED_PATIENTS,
+                Either(
+                    "o_orderkey % 12 >= 5",
+                    pick("o_custkey % 2", "Positive", "Negative"),
+                    Either("o_orderkey % 5 IN (1, 2)", "'Negative'", pick("o_custkey % 5", *HER2_NAMES)),
+                ),
+                Either("o_orderkey % 7 < 4", pick("o_custkey % 8", *RESULT_NAMES), pick("l_partkey % 8", *RESULT_NAMES)),
             ),
             "test_value_numeric": pick("l_suppkey % 9", None, None, "1", "1+", "2+", "0", "3+", "1.0", "2"),
             "test_unit_name": "CASE WHEN l_suppkey % 2 = 0 THEN 'Staining Intensity (+)' ELSE NULL END",
@@ -181,7 +198,11 @@ VIEWS: dict[str, View] = {
             ),
             # Not in FIXTURES.md: needed by the report that groups by variant type.
             "biomarker_variant_type": pick("o_orderkey % 3", "Copy number", "Mutation", None),
-            "test_result": pick("l_suppkey % 4", "Positive", "Negative", "Equivocal", None),
+            "test_result": Either(
+                SORTED_PATIENTS,
+                Either("l_partkey % 5 >= 2", "'Negative'", pick("o_custkey % 5", *HER2_NAMES)),
+                pick("l_suppkey % 4", "Positive", "Negative", "Equivocal", None),
+            ),
             "test_result_1_numeric": pick("l_suppkey % 6", "0", "1", "1.0", "2", "3", None),
             "test_result_1_unit": pick("l_suppkey % 3", "Staining Intensity (+)", "HER2/CEP-17 ratio", None),
             "test_result_2_numeric": pick("l_partkey % 6", "0", "1", "2.0", "2", "3", None),
@@ -236,7 +257,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if spec.where:
         df = df.where(spec.where)
     return df.selectExpr(
-        *[f"{e if isinstance(e, str) else e.spark()} AS {column}" for column, e in spec.columns.items()]
+        *[f"{spark_text(e)} AS {column}" for column, e in spec.columns.items()]
     )
 
 
@@ -254,9 +275,7 @@ def delivered(df: DataFrame) -> DataFrame:
 def view_sql(name: str) -> str:
     """The same table as a SELECT over the driver's registered tables."""
     spec = VIEWS[name]
-    columns = ", ".join(
-        f"{e if isinstance(e, str) else e.duckdb()} AS {column}" for column, e in spec.columns.items()
-    )
+    columns = ", ".join(f"{duckdb_text(e)} AS {column}" for column, e in spec.columns.items())
     source = spec.tables[0]
     if spec.tables == ORDER_LINES:
         source += " JOIN orders ON l_orderkey = o_orderkey"

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from oncolens.functions import vocab
 from oncolens.functions.columns import day_diff, month_diff, percent
-from oncolens.operators import onset, receptor, windowed
+from oncolens.operators import grouping, onset, receptor, windowed
+from oncolens.plans import registry
+from tests.conftest import SF
 
 
 def stage_row(patient, day, text, curated=1, group="Stage 4B", m=None):
@@ -169,3 +171,46 @@ def test_enrich_cohort_filters_the_patients_only(frame, rows_of):
     mdx = frame("patient_id bigint, b int", (1, 20))
     got = rows_of(receptor.enrich_cohort(pts, cdx, mdx, "2018-01-01"), "patient_id", "a", "b")
     assert got == {(1, 10, 20), (1, 11, 20), (3, None, None)}
+
+
+def test_cohort_bits_hold_every_key(spark):
+    rows = spark.range(0, 60_000).withColumnRenamed("id", "patient_id")
+    cohort = rows.where("patient_id % 41 = 3").selectExpr("CAST(patient_id AS INT) AS patient_id", "1 AS x")
+    for n_bits in (1 << 15, 1 << 20):
+        kept = rows.where(grouping.may_hold(grouping.cohort_bits(cohort, n_bits=n_bits), n_bits=n_bits))
+        assert cohort.join(kept, "patient_id", "left_anti").count() == 0
+        assert kept.count() < cohort.count() * (1.3 if n_bits > 1 << 15 else 6)
+    nobody = grouping.cohort_bits(cohort.where("x = 2").union(spark.sql("SELECT CAST(NULL AS INT), 1")))
+    assert rows.where(grouping.may_hold(nobody)).count() == 0
+    names = spark.createDataFrame([("a",), ("b",), (None,)], "patient_id string")
+    assert [r[0] for r in names.where(grouping.may_hold(grouping.cohort_bits(names.limit(1)))).collect()] == ["a"]
+
+
+def test_band_of_any_width_equals_pairing_everything(spark, frame):
+    """Every distance from the band's ends, over bitmap borders and centuries."""
+    days = [f"{year}-{month:02d}-15" for year in (1899, 1969, 1970, 1997, 1998, 1999, 2005, 2040) for month in range(1, 13)]
+    cohort = frame("patient_id bigint, met_date date", *[(k % 3, d) for k, d in enumerate(days)])
+    her2 = frame("patient_id bigint, test_date date", *[(k % 3, d) for k, d in enumerate(days[5::7])], (0, None))
+    er_pr = frame("patient_id bigint, test_date date", *[(k % 4, d) for k, d in enumerate(days[1::5])])
+    for lo, hi in ((-12, 1), (0, 0), (-31, 32), (2, 5), (-3, -1)):
+        near = [
+            f"EXISTS (SELECT 1 FROM {t} AS t WHERE t.patient_id = c.patient_id AND (year(test_date) - year(met_date)) * 12"
+            f" + month(test_date) - month(met_date) BETWEEN {lo} AND {hi})"
+            for t in ("her2_t", "er_pr_t")
+        ]
+        for name, df in (("c", cohort), ("her2_t", her2), ("er_pr_t", er_pr)):
+            df.createOrReplaceTempView(name)
+        for kept, where in (
+            (windowed.with_test_in_window(cohort, her2, lo, hi), near[0]),
+            (windowed.with_both_tests_in_window(cohort, her2, er_pr, lo, hi), " AND ".join(near)),
+        ):
+            want = spark.sql(f"SELECT DISTINCT patient_id, met_date FROM c WHERE {where}")
+            assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(ValueError, match="band"):
+        windowed.with_test_in_window(cohort, her2, -40, 40)
+
+
+def test_funnel_equals_its_steps(spark):
+    one = registry.run("funnel_counts", spark, SF).first().asDict()
+    assert one == {name: registry.run(name, spark, SF).first()["n"] for name in one}
+    assert len(one) == 5 and min(one.values()) > 0

@@ -39,7 +39,7 @@ test.__test__ = False
 def test_method(table, method, name, want, genetic):
     df = table("patient_test", test(method=method, name=name))
     assert her2.label_method(df).first().test_method == want
-    assert her2.label_method(df, vocab.IHC_PATTERNS_GENETIC).first().test_method == genetic
+    assert her2.label_method(df, vocab.IHC_PATTERN_GENETIC).first().test_method == genetic
 
 
 @pytest.mark.parametrize(
