@@ -10,13 +10,8 @@ from oncolens.functions.columns import month_number
 from oncolens.operators.grouping import keys_in
 
 
-def metastatic_onset(stage: DataFrame, condition: DataFrame) -> DataFrame:
-    """patient_id, met_date: first curated sign of metastasis in either source.
-
-    A source counts for a patient when its smallest collected text is longer than a
-    year; that test is independent of which row gives the smallest date. Both sources
-    meet in one aggregate, so each patient is shuffled once.
-    """
+def metastatic_signs(stage: DataFrame, condition: DataFrame) -> DataFrame:
+    """Every curated sign of metastasis: patient_id, and day and collected text in the columns of its source."""
     curated = F.col("curation_indicator") == 1
     staged = stage.where(
         curated
@@ -37,7 +32,17 @@ def metastatic_onset(stage: DataFrame, condition: DataFrame) -> DataFrame:
         F.col("diagnosis_date").alias("condition_day"),
         F.col("diagnosis_date_collected").alias("condition_text"),
     )
-    firsts = staged.unionByName(diagnosed).groupBy("patient_id").agg(
+    return staged.unionByName(diagnosed)
+
+
+def metastatic_onset(stage: DataFrame, condition: DataFrame) -> DataFrame:
+    """patient_id, met_date: first curated sign of metastasis in either source.
+
+    A source counts for a patient when its smallest collected text is longer than a
+    year; that test is independent of which row gives the smallest date. Both sources
+    meet in one aggregate, so each patient is shuffled once.
+    """
+    firsts = metastatic_signs(stage, condition).groupBy("patient_id").agg(
         *[F.min(c).alias(c) for c in ("stage_day", "stage_text", "condition_day", "condition_text")]
     )
     dated = {source: F.length(f"{source}_text") > 4 for source in ("stage", "condition")}

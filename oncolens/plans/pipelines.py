@@ -8,19 +8,23 @@ rules on clinical tests, or the revised rules with genetic tests added.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oncolens.functions import vocab
 from oncolens.operators import her2, onset, ras, receptor, windowed
 from oncolens.operators.grouping import by_patient, cohort_bits, count_patients, may_hold
+from oncolens.sources.tables import scanned_bytes
 
 Load = Callable[[str], DataFrame]
 SOURCES = ("revised", "current", "genetic")
 RULESETS = ("revised", "current")
 #: Tables with many rows per patient, of which a cohort needs its own patients' only.
 TEST_TABLES = ("patient_test", "genetic_test", "condition")
+#: From where a table is worth the cohort's bitmap, which costs a small job: where Spark begins with its own such filters.
+CUT_ABOVE = 10 << 30
 
 
 class placed:
@@ -37,16 +41,23 @@ class placed:
         return self.load(name)
 
 
-def for_cohort(load: Load, cohort: DataFrame) -> Load:
-    """``load`` with the test tables cut to the cohort's patients, and a few others, where they are scanned.
+def for_metastatic(load: Load, cut_above: int = CUT_ABOVE) -> Load:
+    """``load`` with the test tables cut, where they are scanned, to patients with a sign of metastasis, and a few others.
 
-    For steps that work patient by patient and end in a join with the cohort: the join
-    stays exact, and what precedes it no longer judges, shuffles and matches everybody.
+    For steps that work patient by patient and end in a join with the metastatic cohort:
+    the join stays exact, and what precedes it no longer judges, shuffles and matches
+    everybody. The signs are taken as they are scanned, which spares an exchange. Tables of
+    less than ``cut_above`` bytes are left as they are.
     """
-    bits = cohort_bits(cohort)
 
+    @cache
+    def bits() -> Column:
+        return cohort_bits(onset.metastatic_signs(load("stage"), load("condition")))
+
+    @cache
     def cut(name: str) -> DataFrame:
-        return load(name).where(may_hold(bits)) if name in TEST_TABLES else load(name)
+        df = load(name)
+        return df.where(may_hold(bits())) if name in TEST_TABLES and scanned_bytes(df) >= cut_above else df
 
     return placed(cut) if isinstance(load, placed) else cut
 
@@ -163,13 +174,13 @@ def her2_results(load: Load, source: str = "revised") -> DataFrame:
     return receptor.her2_results(nearest_fish(load, source)).distinct()
 
 
-def nearest_to_onset(load: Load, source: str = "revised") -> DataFrame:
-    cohort = metastatic_onset(load)
-    return receptor.nearest_test_to_onset(receptor_tests(for_cohort(load, cohort), source), cohort)
+def nearest_to_onset(load: Load, source: str = "revised", cut_above: int = CUT_ABOVE) -> DataFrame:
+    tests = receptor_tests(for_metastatic(load, cut_above), source)
+    return receptor.nearest_test_to_onset(tests, metastatic_onset(load))
 
 
-def receptor_status(load: Load, source: str = "revised") -> DataFrame:
-    return receptor.receptor_wide(nearest_to_onset(load, source))
+def receptor_status(load: Load, source: str = "revised", cut_above: int = CUT_ABOVE) -> DataFrame:
+    return receptor.receptor_wide(nearest_to_onset(load, source, cut_above))
 
 
 # The revised and the current rules side by side: one read of the tests, ``ruleset`` in front of each row.
@@ -182,13 +193,12 @@ def her2_results_by_ruleset(load: Load) -> DataFrame:
     return receptor.her2_results(nearest_fish_by_ruleset(load), by=("ruleset",)).distinct()
 
 
-def receptor_status_by_ruleset(load: Load) -> DataFrame:
-    cohort = metastatic_onset(load)
-    cut = for_cohort(load, cohort)
+def receptor_status_by_ruleset(load: Load, cut_above: int = CUT_ABOVE) -> DataFrame:
+    cut = for_metastatic(load, cut_above)
     settled = receptor.settled_receptors(er_pr_labelled(cut, columns=receptor.CONFLICT_COLUMNS))
     er_pr = by_patient(settled, isinstance(load, placed)).withColumn("ruleset", F.explode(F.array(*map(F.lit, RULESETS))))
     tests = receptor.receptor_tests(er_pr, nearest_fish_by_ruleset(cut), by=("ruleset",))
-    return receptor.receptor_wide(receptor.nearest_test_to_onset(tests, cohort, by=("ruleset",)), by=("ruleset",))
+    return receptor.receptor_wide(receptor.nearest_test_to_onset(tests, metastatic_onset(load), by=("ruleset",)), by=("ruleset",))
 
 
 # --- RAS ------------------------------------------------------------------

@@ -114,6 +114,8 @@ COMPOSITES: dict[str, Callable[[Load], DataFrame]] = {
     "kras_wt_amp_by_variant": _table("biomarker_table", ras.kras_wt_amp_by_variant),
     "kras_wt_amp_percent": _table("biomarker_table", ras.kras_wt_amp_percent),
 }
+# With the test tables cut to the cohort, as large ones are.
+COMPOSITES["receptor_wide_genetic_cut"] = partial(pipelines.receptor_status, source="genetic", cut_above=0)
 for _source in pipelines.SOURCES:
     _suffix = "" if _source == "revised" else f"_{_source}"
     COMPOSITES |= {

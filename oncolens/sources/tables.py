@@ -99,6 +99,12 @@ def read_folder(spark: SparkSession, folder: str, name: str, **options: bool) ->
     return conform(spark.read.parquet(f"{folder}/{name}.parquet"), name, **options)
 
 
+def scanned_bytes(df: DataFrame) -> int:
+    """What the sources of ``df`` hold by Spark's estimate; nothing is run."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def use_namespace(spark: SparkSession, namespace: str) -> None:
     """Make unqualified names resolve in ``namespace`` from here on."""
     spark.catalog.setCurrentDatabase(namespace)

@@ -51,7 +51,7 @@ def _depth(line: str) -> int:
 
 
 def test_status_scans_each_table_no_more_than_needed(spark, folder):
-    df = pipelines.receptor_status(lambda n: tables.read_folder(spark, folder, n))
+    df = pipelines.receptor_status(lambda n: tables.read_folder(spark, folder, n), cut_above=0)
     df.collect()
     executed = df._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan ==")[0]
     lines, scans, skip = executed.splitlines(), 0, None
@@ -67,7 +67,13 @@ def test_status_scans_each_table_no_more_than_needed(spark, folder):
 
 
 def test_cohort_cuts_the_tests_below_the_first_exchange(spark, folder):
-    df = pipelines.receptor_status(lambda n: tables.read_folder(spark, folder, n), "genetic")
+    def load(name):
+        return tables.read_folder(spark, folder, name)
+
+    large = tables.scanned_bytes(load("genetic_test"))
+    assert 0 < large < tables.scanned_bytes(load("patient_test").join(load("genetic_test"), "patient_id"))
+    assert "shiftright" not in pipelines.receptor_status(load, "genetic")._jdf.queryExecution().toString()
+    df = pipelines.receptor_status(load, "genetic", cut_above=0)
     lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
     tests = [k for k, line in enumerate(lines) if "FileScan parquet" in line and ("test_name" in line or "biomarker" in line)]
     assert len(tests) == 4
