@@ -96,13 +96,39 @@ def agreeing_groups(rows: DataFrame, keys: Sequence[str], value: str, **aggregat
     return judged.select(*keys, F.col("min_value").alias(value), *aggregates)
 
 
-def dense_rank_values(rows: DataFrame, keys: Sequence[str], value: str, rank: str) -> DataFrame:
+def value_splitters(values: DataFrame, value: str, n: int) -> Column:
+    """One value: up to ``n`` distinct values in order, a random sample of those that ``values`` holds.
+
+    Of each of ``n`` hash cells the value with the smallest hash, which combines map-side.
+    """
+    cell, draw = F.pmod(F.xxhash64(value), F.lit(n)), F.xxhash64(value, F.lit(1))
+    drawn = values.where(F.col(value).isNotNull()).groupBy(cell.alias("cell")).agg(F.min_by(value, draw).alias("drawn"))
+    return drawn.agg(F.array_sort(F.collect_set("drawn")).alias("splitters")).scalar()
+
+
+def dense_rank_values(rows: DataFrame, keys: Sequence[str], value: str, rank: str, cells: int = 1) -> DataFrame:
     """Distinct (keys, value) with the value's dense rank in its group, nulls last.
 
-    Copies are merged before the window, so it sorts distinct values only.
+    Copies are merged before the window, so it sorts distinct values only. With ``cells``
+    above 1 a group is sorted in about as many ranges of values, each by itself: only the
+    ranges' counts of a group meet, and a value's rank is its place in its range after all
+    that lie in smaller ones. That is for groups whose distinct values fill a task.
     """
-    order = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
-    return rows.select(*keys, value).distinct().withColumn(rank, F.dense_rank().over(order))
+    distinct = rows.select(*keys, value).distinct()
+    if cells == 1:
+        order = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
+        return distinct.withColumn(rank, F.dense_rank().over(order))
+    below = F.size(F.filter("splitters", lambda s: s < F.col(value)))
+    placed = distinct.withColumn("splitters", value_splitters(distinct, value, cells)).select(
+        *keys, value, F.when(F.col(value).isNull(), cells + 1).otherwise(below).alias("rank_cell")
+    )
+    counts = placed.groupBy(*keys, "rank_cell").agg(F.count("*").alias("cell_rows"))
+    before = Window.partitionBy(*keys).orderBy("rank_cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("rank_start", F.coalesce(F.sum("cell_rows").over(before), F.lit(0))).drop("cell_rows")
+    inside = Window.partitionBy(*keys, "rank_cell").orderBy(F.col(value).asc_nulls_last())
+    joined = join_groups(placed, starts, (*keys, "rank_cell"), "inner")
+    ranked = joined.withColumn(rank, (F.col("rank_start") + F.row_number().over(inside)).cast("int"))
+    return ranked.select(*keys, value, rank)
 
 
 def keys_in(rows: DataFrame, other: DataFrame, key: str = "patient_id", merged: bool = False) -> DataFrame:

@@ -44,19 +44,19 @@ def _ras_rows(biomarker: DataFrame) -> DataFrame:
     return with_variant(chosen).select(*RANK_KEYS, "report_date", "variant")
 
 
-def ras_variant_ranks(biomarker: DataFrame) -> DataFrame:
-    """Distinct variants per patient, gene and type with their dense rank."""
-    return dense_rank_values(_ras_rows(biomarker), RANK_KEYS, "variant", "rank_variant_types")
+def ras_variant_ranks(biomarker: DataFrame, cells: int = 1) -> DataFrame:
+    """Distinct variants per patient, gene and type with their dense rank; ``cells`` as in ``dense_rank_values``."""
+    return dense_rank_values(_ras_rows(biomarker), RANK_KEYS, "variant", "rank_variant_types", cells)
 
 
-def ras_mutations(biomarker: DataFrame) -> DataFrame:
+def ras_mutations(biomarker: DataFrame, cells: int = 1) -> DataFrame:
     """Every qualifying RAS result row with its normalised variant and that variant's rank.
 
     Distinct variants are ranked and the rank joined back, so a patient with very many
-    rows is not sorted in one task.
+    rows is not sorted in one task; nor, with ``cells``, one with very many variants.
     """
     rows = _ras_rows(biomarker)
-    ranks = dense_rank_values(rows, RANK_KEYS, "variant", "rank_variant_types")
+    ranks = dense_rank_values(rows, RANK_KEYS, "variant", "rank_variant_types", cells)
     return join_groups(rows, ranks, (*RANK_KEYS, "variant"), "inner")
 
 

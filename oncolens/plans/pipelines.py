@@ -25,6 +25,7 @@ RULESETS = ("revised", "current")
 TEST_TABLES = ("patient_test", "genetic_test", "condition")
 #: From where a table is worth the cohort's bitmap, which costs a small job: where Spark begins with its own such filters.
 CUT_ABOVE = 10 << 30
+RANK_CELLS = 64
 
 
 class placed:
@@ -202,9 +203,19 @@ def receptor_status_by_ruleset(load: Load, cut_above: int = CUT_ABOVE) -> DataFr
 
 
 # --- RAS ------------------------------------------------------------------
+def _with_rank_cells(load: Load, ranks: Callable[..., DataFrame]) -> DataFrame:
+    """``ranks`` of the biomarker table, variants of one patient ranked in ranges where the table is large."""
+    biomarker = load("biomarker_table")
+    return ranks(biomarker, cells=RANK_CELLS if scanned_bytes(biomarker) >= CUT_ABOVE else 1)
+
+
+def ras_mutations(load: Load) -> DataFrame:
+    return _with_rank_cells(load, ras.ras_mutations)
+
+
 def ras_correct_counts(load: Load) -> DataFrame:
-    return ras.ras_correct_counts(ras.ras_variant_ranks(load("biomarker_table")))
+    return ras.ras_correct_counts(_with_rank_cells(load, ras.ras_variant_ranks))
 
 
 def ras_secondary_percent(load: Load) -> DataFrame:
-    return ras.ras_secondary_percent(ras.ras_variant_ranks(load("biomarker_table")))
+    return ras.ras_secondary_percent(_with_rank_cells(load, ras.ras_variant_ranks))

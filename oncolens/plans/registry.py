@@ -106,7 +106,8 @@ COMPOSITES: dict[str, Callable[[Load], DataFrame]] = {
     "normalise_variant": lambda load: ras.with_variant(load("biomarker_table")).select(
         "patient_id", "molecular_variant", "biomarker_variant_type_name", "variant"
     ),
-    "ras_mutations": _table("biomarker_table", ras.ras_mutations),
+    "ras_mutations": pipelines.ras_mutations,
+    "ras_mutations_in_ranges": lambda load: ras.ras_mutations(load("biomarker_table"), cells=8),
     "ras_correct_counts": pipelines.ras_correct_counts,
     "ras_secondary_percent": pipelines.ras_secondary_percent,
     "kras_coamplified_by_variant": _table("biomarker_table", ras.kras_coamplified_by_variant),

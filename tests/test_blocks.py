@@ -56,6 +56,20 @@ def test_dense_rank_of_distinct_values(frame):
     assert got == {(1, "a", 1), (1, "b", 2), (1, None, 3), (2, None, 1)}
 
 
+@pytest.mark.parametrize("cells", [1, 2, 7, 500])
+def test_dense_rank_in_ranges(frame, cells):
+    """However many ranges a group is cut into, null keys and null values among it."""
+    rng = random.Random(cells)
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice(["", "a", "ab", "b", "é", "Z", None, *map(str, range(30))])) for _ in range(300)]
+    want = set()
+    for key in {k for k, _ in rows}:
+        values = {v for k, v in rows if k == key}
+        ordered = [*sorted((v for v in values if v is not None), key=str.encode), *[None] * (None in values)]
+        want |= {(key, v, place) for place, v in enumerate(ordered, 1)}
+    df = frame("k bigint, v string", *rows)
+    assert {tuple(r) for r in dense_rank_values(df, ["k"], "v", "r", cells).collect()} == want
+
+
 def test_in_and_not_in(frame):
     rows = frame("patient_id bigint, v bigint", (1, 1), (1, 2), (2, 3), (None, 4))
     listed = frame("patient_id bigint", (1,), (1,))

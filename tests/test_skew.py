@@ -160,6 +160,28 @@ def test_free_text_does_not_fill_a_patient(spark, tmp_path):
     assert max(sizes) < 60000 / 2
 
 
+def test_ranks_of_a_patient_with_very_many_variants(spark, tmp_path):
+    """10^5 distinct variants of one patient are ranked in ranges: no task sorts more than a few of them, ranks are dense."""
+    rows = spark.range(0, 120_000, numPartitions=6).selectExpr(
+        "if(id < 100000, 7, id) AS patient_id", "if(id = 99999, NULL, concat('p.', sha2(CAST(id AS STRING), 256))) AS variant"
+    )
+    rows.write.parquet(f"{tmp_path}/variants")
+    stored = spark.read.parquet(f"{tmp_path}/variants")
+    ranked = grouping.dense_rank_values(stored, ["patient_id"], "variant", "r", cells=64)
+    hot = ranked.where("patient_id = 7")
+    found = hot.agg(F.count("*"), F.count_distinct("r"), F.min("r"), F.max("r"), F.max(F.when(F.expr("variant IS NULL"), F.col("r")))).first()
+    assert tuple(found) == (100_000, 100_000, 1, 100_000, 100_000)
+    ordered = hot.where("variant IS NOT NULL").orderBy("r").limit(500).select("variant").collect()
+    assert [r[0] for r in ordered] == sorted(r[0] for r in ordered)
+    assert ranked.where("patient_id <> 7 AND r <> 1").isEmpty()
+    cells = hot.groupBy(F.spark_partition_id().alias("task")).count()
+    sizes = with_skew(spark, lambda: [r["count"] for r in cells.collect()])
+    assert len(sizes) > 2 and max(sizes) < 60_000  # four shuffle partitions here; a range has some 1,600
+    splitters = grouping.value_splitters(stored, "variant", 64)
+    sample = spark.range(1).select(splitters.alias("s")).first().s
+    assert sample == sorted(set(sample)) and 40 < len(sample) <= 64
+
+
 def scans_of_tests(df):
     plan = final_plan(df).split("+- == Initial Plan ==")[0]
     return sum("FileScan" in line and "l_orderkey" in line for line in plan.splitlines())
