@@ -93,6 +93,29 @@ def op6_block_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+OP6_SQL = r"""
+WITH split AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+    SELECT doc_id, place, array_to_string(list_slice(words, place, place + 12), ' ') AS seen
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS place FROM split)
+), firsts AS (
+    SELECT seen, min(doc_id) AS first FROM windows GROUP BY seen HAVING count(DISTINCT doc_id) > 1
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(place, place + 13)) AS place
+    FROM windows JOIN firsts USING (seen) WHERE first < doc_id
+), kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text
+    FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM split)
+    ANTI JOIN gone USING (doc_id, place)
+    GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, len(words) - coalesce(n, 0) AS n_removed,
+    sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = best_fit.pack(read(spark, sf_dir, "documents"), capacity=1024, end_id=2, with_ids=True)
     return found.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -144,6 +167,30 @@ def op10_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pca_tiles.near_duplicates(read(spark, sf_dir, "embeddings"), least=0.9)
 
 
+OP10_SQL = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+), sound AS (
+    SELECT * FROM vectors
+    WHERE len([x for x in v if x IS NULL OR NOT isfinite(x)]) = 0 AND list_sum([x * x for x in v]) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
+    ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+    SELECT a AS node, a AS root FROM links
+    UNION
+    SELECT links.b, reach.root FROM reach JOIN links ON reach.node = links.a
+), counts AS (
+    SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+), roots AS (
+    SELECT node AS vec_id, min(root) AS root FROM reach GROUP BY node
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(root, vec_id)) AS component_id,
+    vec_id = least(vec_id, coalesce(root, vec_id)) AS kept
+FROM vectors LEFT JOIN counts USING (vec_id) LEFT JOIN roots USING (vec_id)
+"""
+
+
 def op11_line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_ranges.drop_repeated_lines(read(spark, sf_dir, "documents"), shortest=10)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
@@ -219,6 +266,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_poisson_mixing": OP5_SQL,
+    "op6_block_anchor_dedup": OP6_SQL,
     "op8_filter_cascade": OP8_SQL,
+    "op10_pca_tiles": OP10_SQL,
     "op11_line_ranges": OP11_SQL,
 }
