@@ -29,7 +29,7 @@ from oncolens.llm.best_fit import Encoder
 from oncolens.llm.common import byte_groups, pick, store
 
 CHUNK_BYTES = 8 << 20  # of texts whose pairs are counted together
-SLICE_BYTES = 1 << 20  # of those that are worked on at a time
+SLICE_BYTES = 512 << 10  # of those that are worked on at a time
 END_BITS = 36  # of a document-end key
 FEW = 64  # links of a group that is written out link by link
 
