@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oncolens.llm.common import pick
+from oncolens.llm.common import Numbers, pick
 
 WORD, SIDE = (np.uint64(v) for v in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 NO_ID = np.iinfo(np.int64).max  # a null id: larger than every other, and never smaller than another null
@@ -60,11 +60,11 @@ class Chunk:
     def __init__(self, ids: pa.ChunkedArray, texts: pa.ChunkedArray):
         self.ids = np.array([NO_ID if i is None else i for i in ids.to_pylist()], np.int64)
         self.raw = [(t or "").encode() for t in texts.to_pylist()]
-        number: dict[bytes, int] = {}
+        number = Numbers()
         codes = [np.zeros(0, np.int32)]
         for text in self.raw:
             words = text.split()  # bytes: ASCII white space alone
-            codes.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+            codes.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
         self.counts = np.array([len(c) for c in codes[1:]], np.int64)
         digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in number)
         hashes = np.frombuffer(digests, "<u8").reshape(-1, 2)

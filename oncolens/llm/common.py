@@ -71,6 +71,14 @@ def byte_groups(sizes: list[int], most: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+class Numbers(dict):
+    """Numbers its keys from 0 as they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        found = self[key] = len(self)
+        return found
+
+
 def held_out(id_column: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text leaves ``fold`` modulo ``folds``; ids that are null are not held out."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oncolens.llm.common import byte_groups, pick
+from oncolens.llm.common import Numbers, byte_groups, pick
 
 GROUP_BYTES = 4 << 20
 BLOCK = 1024
@@ -189,9 +190,8 @@ def find_runs(words: np.ndarray, doc: np.ndarray, exponent: int = 4, shortest: i
 def judged(texts: list[str | None], exponent: int, shortest: int) -> list[tuple[int, list[dict[str, int]], str]]:
     """Per text: its number of words, its runs by start and period, its words without the runs' repetitions."""
     split = [(t or "").encode().split() for t in texts]  # bytes: ASCII white space alone
-    number: dict[bytes, int] = {}
-    words = np.array([number.setdefault(w, len(number)) for ws in split for w in ws], np.int64)
     counts = np.array([len(ws) for ws in split], np.int64)
+    words = np.fromiter(map(Numbers().__getitem__, chain.from_iterable(split)), np.int64, counts.sum())
     first = np.cumsum(counts) - counts
     runs: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     found = find_runs(words, np.repeat(np.arange(len(texts)), counts), exponent, shortest)
