@@ -40,6 +40,38 @@ def test_query_matches_sql(spark, duck, name):
     check(spark, duck, name, SF)
 
 
+# Per order (key, patient) the suppliers of its lines: a day to change, one score missing, a conflict, a FISH test.
+CHANGE_ORDERS = [(120, 1, (9, 2)), (540, 1, (9,)), (960, 33, (9, 7)), (156, 25, (9, 2))]
+AFTER_CHANGE = {
+    "apply_change": {
+        (1, "IHC", None, "Low", "none"): 1, (1, "IHC", "1", "Low", "none"): 1, (1, "IHC", None, "Negative", "none"): 1,
+        (33, "IHC", None, "Negative", "conflicting"): 1, (33, "IHC", "1.0", "Low", "conflicting"): 1,
+        (25, "FISH", None, "Negative", "none"): 1, (25, "FISH", "1", "Negative", "none"): 1,
+    },
+}
+
+
+@pytest.mark.parametrize("name", AFTER_CHANGE)
+def test_apply_change_lists_every_test(spark, tmp_path, name):
+    """Every HER2 test with all columns, changed or not, from the query and its SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    orders = ", ".join(f"({k}, {p}, TIMESTAMP '1998-05-0{i + 1}')" for i, (k, p, _) in enumerate(CHANGE_ORDERS))
+    lines = ", ".join(f"({k}, 1, {s}, TIMESTAMP '1998-06-01')" for k, _, suppliers in CHANGE_ORDERS for s in suppliers)
+    for table, columns, rows in (
+        ("orders", "o_orderkey, o_custkey, o_orderdate", orders),
+        ("lineitem", "l_orderkey, l_partkey, l_suppkey, l_shipdate", lines),
+    ):
+        con.execute(f"CREATE TABLE {table} AS SELECT * FROM (VALUES {rows}) AS t({columns})")
+        con.execute(f"COPY {table} TO '{tmp_path}/{table}.parquet'")
+    check(spark, con, name, str(tmp_path))
+    df = registry.run(name, spark, str(tmp_path))
+    shown = ("patient_id", "test_method", "test_value_numeric", "test_result", "sameday_ind")
+    assert Counter(map(tuple, df.select(*shown).collect())) == AFTER_CHANGE[name]
+    step = "same_day_indicator" + name.removeprefix("apply_change")
+    assert df.columns == registry.run(step, spark, str(tmp_path)).columns
+
+
 def test_every_query_has_a_twin():
     assert set(registry.ALL) <= set(driver.queries())
     assert set(registry.ALL) <= set(driver.oracle_sql())
