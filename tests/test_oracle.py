@@ -48,6 +48,11 @@ AFTER_CHANGE = {
         (33, "IHC", None, "Negative", "conflicting"): 1, (33, "IHC", "1.0", "Low", "conflicting"): 1,
         (25, "FISH", None, "Negative", "none"): 1, (25, "FISH", "1", "Negative", "none"): 1,
     },
+    "apply_change_current": {
+        (1, "IHC", None, "Low1+", "none"): 1, (1, "IHC", "1", "Low1+", "none"): 1, (1, "IHC", None, "Negative", "none"): 1,
+        (33, "IHC", None, "Negative", "conflicting"): 1, (33, "IHC", "1.0", "Low1+", "conflicting"): 1,
+        (25, "FISH", None, "Negative", "none"): 1, (25, "FISH", "1", "Negative", "none"): 1,
+    },
 }
 
 
